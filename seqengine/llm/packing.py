@@ -123,27 +123,47 @@ class Complements:
                 return found
         return None
 
+    def nearest(self, length: int, gap: int) -> tuple[int, ...]:
+        """(length, and one to three lengths that leave the least of the gap), or length alone."""
+        for s in range(gap - 1, 0, -1):
+            if (self.one[s] or self.two[s] or self.three[s]) and (found := self.fill(length, s)):
+                return found
+        return (length,)
+
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths that share a sequence, number of such sequences), from the count of each length."""
+    """(lengths that share a sequence, number of such sequences), from the count of each length.
+
+    Exact complements are sought for all lengths, or for those above two thirds of the
+    capacity only, which keeps short pieces for the rest; the plan of fewer sequences counts.
+    """
+    plans = [_plan(counts, capacity, down_to) for down_to in (0, 2 * capacity // 3)]
+    return min(plans, key=lambda found: sum(times for _, times in found))
+
+
+def _plan(counts: np.ndarray, capacity: int, down_to: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     left[: len(counts)] = counts
     out = [((capacity,), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    index = Complements(left)
-    for length in range(capacity - 1, 0, -1):
-        while left[length] and (found := index.fill(length, capacity - length)):
+    index, part = Complements(left), []
+    for length in range(capacity - 1, down_to, -1):
+        while left[length]:
+            found = index.fill(length, capacity - length) or index.nearest(length, capacity - length)
             need = Counter(found)
             times = min(int(left[x]) // n for x, n in need.items())
             for x, n in need.items():
                 left[x] -= n * times
-            out.append((found, times))
-    return out + best_fit(left, capacity)
+            (out if sum(found) == capacity else part).append((found, times))
+    return out + best_fit(left, capacity, part)
 
 
-def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Longest first, each length goes where it leaves the least space; like sequences are handled together."""
+def best_fit(left: np.ndarray, capacity: int, part: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first, each length goes where it leaves the least space, sequences that are
+    filled in part included; like sequences are handled together."""
     open_: dict[int, Counter] = defaultdict(Counter)  # by space left
+    for held, times in part:
+        open_[capacity - sum(held)][held] += times
     for length in range(capacity, 0, -1):
         n = int(left[length])
         while n:
