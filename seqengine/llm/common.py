@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import scratch_folder, ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,35 +26,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='seqengine-')}")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def _remove_scratch() -> None:
-    for spark, path in _scratch:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
-
-
-atexit.register(_remove_scratch)
-
-
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: this cuts the lineage, and the
     table outlives lost executors. The tables go when the driver process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqengine-{uuid.uuid4().hex[:12]}-{name}"
-    _scratch.append((spark, path))
+    path = scratch_folder(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

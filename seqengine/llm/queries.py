@@ -5,12 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontaminate import contamination_report, find_contamination
 from .exact_dedup import exact_groups
+from .html_extract import extract_text
+from .langid import language_report
+from .license_scan import corpus_paths, scan_licenses
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .quality import score_quality, train_quality
+from .token_counts import apply_edit_lists, count_trees
+from .toxicity import score_toxicity, train_toxicity
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts every document, then counts it again after three edits, each a rule of the text's length."""
+    trees = count_trees(read_table(spark, sf_dir, "documents"))
+    n = F.length(F.coalesce("text", F.lit("")))
+    edit = lambda pos, removed, inserted: F.struct(pos.cast("long").alias("pos"), F.lit(removed).cast("long").alias("removed"), inserted.alias("inserted"))
+    edits = F.array(
+        edit(F.floor(n / 3), 0, F.concat(F.lit(" revised "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        edit(F.floor(n / 2), 7, F.lit("")),
+        edit(F.lit(0), 0, F.lit("Revision 2.\n")),
+    )
+    out = apply_edit_lists(trees.withColumn("edits", edits))
+    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_encoded_chars", F.length("text").cast("long").alias("n_chars"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,16 +42,52 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(corpus_paths(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op5_minhash_near_dedup, op8_decontamination)}
+    return {f.__name__: f for f in ALL}
+
+
+ALL = (
+    op1_token_counts,
+    op2_exact_dedup,
+    op3_best_fit_packing,
+    op4_quality,
+    op5_minhash_near_dedup,
+    op6_html_extraction,
+    op7_language_id,
+    op8_decontamination,
+    op9_toxicity,
+    op10_license_scan,
+)
 
 
 def oracle_sql() -> dict[str, str]:
