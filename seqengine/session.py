@@ -1,14 +1,46 @@
-"""Session helpers: how the package reaches the Python workers of a cluster."""
+"""Session helpers: shared scratch folders, and how the package reaches the Python workers."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local temporary one only where none is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='seqengine-')}")
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; it is removed when the driver process ends."""
+    path = f"{shared_dir(spark)}/seqengine-{uuid.uuid4().hex[:12]}-{name}"
+    _scratch.append((spark, path))
+    return path
+
+
+def _remove_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            return
+
+
+atexit.register(_remove_scratch)
 
 
 def ship(spark: SparkSession) -> None:
