@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clips import ordered
@@ -35,7 +35,7 @@ def anchored_frame(df: DataFrame, clip: str, pos: str, payload: str, size: int,
     """Adds the last `size` payloads, of which the first `anchors` are always those of the clip's first rows (WIN09)."""
     w = ordered(clip, pos)
     recent = F.collect_list(payload).over(w.rowsBetween(1 - size, 0))
-    first = F.array(*(F.nth_value(payload, i + 1).over(w.rowsBetween(-(2**31), 0)) for i in range(anchors)))
+    first = F.array(*(F.nth_value(payload, i + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) for i in range(anchors)))
     full = F.row_number().over(w) > size
     return df.withColumn("_recent", recent).withColumn("_first", first).withColumn("_full", full).withColumn(out, F.when(F.col("_full"), F.concat("_first", F.slice("_recent", anchors + 1, size - anchors))).otherwise(F.col("_recent"))).drop("_recent", "_first", "_full")
 

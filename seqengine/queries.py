@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import metrics, names, rates
 from .functions.weights import blend_weights, shutter_samples
 from .operators import blur, cuts, dedup, detections, kernels, normalise, quality, resample, smooth, windows
-from .operators.clips import with_position
+from .operators.clips import ordered, with_position
 from .plans.spec import Pipeline
 from .sources import readers
 from .streaming import processors
@@ -52,7 +52,7 @@ def thumbs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 P = "p AS (SELECT user_id, event_id, CAST(value AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)"
-V = "v AS (SELECT label, vec_id, list_transform(embedding, x -> 1 / (1 + exp(-CAST(x AS DOUBLE)))) AS vec, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings)"
+V = "v AS (SELECT label, vec_id, list_transform(embedding, lambda x: 1 / (1 + exp(-CAST(x AS DOUBLE)))) AS vec, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings)"
 
 
 def _fold_sql(repeat: str) -> str:
@@ -78,8 +78,8 @@ def _vector_fold_sql(repeat: str) -> str:
 
 def _ssim_sql(a: str, b: str) -> str:
     ma, mb = f"list_avg({a})", f"list_avg({b})"
-    va = f"(list_sum(list_transform({a}, x -> x * x)) / len({a}) - {ma} * {ma})"
-    vb = f"(list_sum(list_transform({b}, x -> x * x)) / len({b}) - {mb} * {mb})"
+    va = f"(list_sum(list_transform({a}, lambda x: x * x)) / len({a}) - {ma} * {ma})"
+    vb = f"(list_sum(list_transform({b}, lambda x: x * x)) / len({b}) - {mb} * {mb})"
     cov = f"(list_dot_product({a}, {b}) / len({a}) - {ma} * {mb})"
     return f"((2 * {ma} * {mb} + 0.0001) * (2 * {cov} + 0.0009) / (({ma} * {ma} + {mb} * {mb} + 0.0001) * ({va} + {vb} + 0.0009)))"
 
@@ -185,8 +185,8 @@ def autoclip_rising_edge(spark, sf):
 
 
 @query(
-    f"""WITH {P}, s AS (SELECT user_id, event_id, value, pos - 1 + 25 AS at FROM p), w AS (SELECT *, unnest(range(greatest((at - 100 + 50) // 50 + CASE WHEN at - 100 < -50 THEN -1 ELSE 0 END, 0), at // 50 + 1)) AS window_id FROM s)
-SELECT user_id, window_id, count(*) AS n_rows, round(sum(value), 6) AS total, count(*) FILTER (at - window_id * 50 >= 25 AND at - window_id * 50 < 75) AS n_core FROM w GROUP BY user_id, window_id"""
+    f"""WITH {P}, s AS (SELECT user_id, event_id, value, pos - 1 + 25 AS place FROM p), w AS (SELECT *, unnest(range(CASE WHEN place < 100 THEN 0 ELSE (place - 100) // 50 + 1 END, place // 50 + 1)) AS window_id FROM s)
+SELECT user_id, window_id, count(*) AS n_rows, round(sum(value), 6) AS total, count(*) FILTER (place - window_id * 50 >= 25 AND place - window_id * 50 < 75) AS n_core FROM w GROUP BY user_id, window_id"""
 )
 def window_batches_100_50(spark, sf):
     spread = cuts.overlapping_windows(events(spark, sf), "user_id", 100, 50, 25)
@@ -281,10 +281,10 @@ def interpolate_lookahead(spark, sf):
 @query(f"{KEPT}, q AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS pos FROM k), {_gaps_sql('q', 2, 1)} {_linear_sql('q', 2, 1)}")
 def plain_dedup_interpolate(spark, sf):
     spec = Pipeline("user_id", ("pos",), "value", dedup="mse", dedup_sens=25.0, interpolate=True, factor=2.0)
-    return _rounded(spec.run(events(spark, sf).drop("event_id").withColumnRenamed("pos", "at").withColumnRenamed("at", "pos")))
+    return _rounded(spec.run(events(spark, sf)))
 
 
-TAIL = "SELECT user_id, unnest(range(last_pos * {n} // {d} + 1, (last_pos + trailing) * {n} // {d} + 1)) AS slot, 'tail' AS kind, round(value, 6) AS value FROM (SELECT user_id, max(pos) FILTER (kept) AS last_pos, max(pos) - max(pos) FILTER (kept) AS trailing, max_by(value, pos) FILTER (kept) AS value FROM r GROUP BY user_id)"
+TAIL = "SELECT user_id, unnest(range(last_pos * {n} // {d} + 1, (last_pos + dropped) * {n} // {d} + 1)) AS slot, 'tail' AS kind, round(value, 6) AS value FROM (SELECT user_id, max(pos) FILTER (kept) AS last_pos, max(pos) - max(pos) FILTER (kept) AS dropped, max_by(value, pos) FILTER (kept) AS value FROM r GROUP BY user_id)"
 
 
 @query(f"{KEPT}, {_gaps_sql('k', 2, 1)} {_linear_sql('k', 2, 1)} UNION ALL {TAIL.format(n=2, d=1)}")
@@ -341,11 +341,11 @@ def trim_range(spark, sf):
 @query(
     f"""WITH {P}, c AS (SELECT user_id, floor(value / 8) AS x0, floor(pos / 5.0) AS y0, value / 8 - floor(value / 8) AS fx, pos / 5.0 - floor(pos / 5.0) AS fy, value FROM p),
 e AS (SELECT user_id, x0 + i AS cx, y0 + j AS cy, CASE WHEN i = 1 THEN fx ELSE 1 - fx END * CASE WHEN j = 1 THEN fy ELSE 1 - fy END AS w, value FROM c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(i, j))
-SELECT user_id, CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, round(sum(w * value), 6) AS total, round(sum(w), 6) AS weight FROM e GROUP BY ALL"""
+SELECT user_id, CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, round(sum(w * value), 10) AS total, round(sum(w), 10) AS weight FROM e GROUP BY ALL"""
 )
 def scatter_splat(spark, sf):
     out = resample.splat(events(spark, sf), "user_id", F.col("value") / 8, F.col("pos") / 5.0, F.col("value"))
-    return out.select("user_id", "cx", "cy", r6("total").alias("total"), r6("weight").alias("weight"))
+    return out.select("user_id", "cx", "cy", F.round("total", 10).alias("total"), F.round("weight", 10).alias("weight"))
 
 
 # --- metadata and names -------------------------------------------------------------------
@@ -429,7 +429,7 @@ def motion_blur_gamma(spark, sf):
 
 @query(
     f"""WITH {V}, m AS (SELECT vec AS weight FROM v WHERE vec_id = (SELECT min(vec_id) FROM v)), n AS (SELECT *, lag(vec) OVER (PARTITION BY label ORDER BY pos) AS prev FROM v)
-SELECT label, vec_id, round(list_sum(list_transform(range(1, 65), i -> prev[i] + weight[i] * ((prev[i] + vec[i]) / 2 - prev[i]))), 6) AS total FROM n, m WHERE prev IS NOT NULL"""
+SELECT label, vec_id, round(list_sum(list_transform(range(1, 65), lambda i: prev[i] + weight[i] * ((prev[i] + vec[i]) / 2 - prev[i]))), 6) AS total FROM n, m WHERE prev IS NOT NULL"""
 )
 def masked_interpolation(spark, sf):
     rows = thumbs(spark, sf)
@@ -458,15 +458,15 @@ AVG5 = """ma AS (SELECT *, (sum(path_dx) OVER (w ROWS BETWEEN 2 PRECEDING AND 2
 FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM tr) WINDOW w AS (PARTITION BY user_id ORDER BY pos))"""
 
 
-@query(f"WITH {T} SELECT user_id, event_id, round(weight, 6) AS weight, round(path_dx, 6) AS path_dx FROM tr")
+@query(f"WITH {T} SELECT user_id, event_id, round(weight, 6) AS weight, round(path_dx, 10) AS path_dx FROM tr")
 def trajectory_cumsum(spark, sf):
-    return _motion(spark, sf).select("user_id", "event_id", r6("weight").alias("weight"), r6("path_dx").alias("path_dx"))
+    return _motion(spark, sf).select("user_id", "event_id", r6("weight").alias("weight"), F.round("path_dx", 10).alias("path_dx"))
 
 
-@query(f"WITH {T}, {AVG5} SELECT user_id, event_id, round(smooth_dx, 6) AS smooth_dx FROM ma")
+@query(f"WITH {T}, {AVG5} SELECT user_id, event_id, round(smooth_dx, 10) AS smooth_dx FROM ma")
 def trajectory_moving_average(spark, sf):
     out = smooth.moving_average(_motion(spark, sf), "user_id", "pos", "path_dx", 2, "smooth_dx")
-    return out.select("user_id", "event_id", r6("smooth_dx").alias("smooth_dx"))
+    return out.select("user_id", "event_id", F.round("smooth_dx", 10).alias("smooth_dx"))
 
 
 @query()
@@ -475,12 +475,12 @@ def trajectory_quadratic(spark, sf):
     return out.select("user_id", "pos", r6("smooth_path_dx").alias("smooth_path_dx"))
 
 
-@query(f"WITH {T}, {AVG5} SELECT user_id, event_id, round(value + (smooth_dx - path_dx), 6) AS steadied FROM ma")
+@query(f"WITH {T}, {AVG5} SELECT user_id, event_id, round(value + (smooth_dx - path_dx), 10) AS steadied FROM ma")
 def stabilise_correction(spark, sf):
     out = smooth.moving_average(_motion(spark, sf), "user_id", "pos", "path_dx", 2, "smooth_dx")
     fixes = out.select("user_id", "pos", (F.col("smooth_dx") - F.col("path_dx")).alias("fix_dx"))
     fixed = smooth.correct(events(spark, sf), fixes, "user_id", "pos", ["dx"])
-    return fixed.select("user_id", "event_id", r6(F.col("value") + F.col("fix_dx")).alias("steadied"))
+    return fixed.select("user_id", "event_id", F.round(F.col("value") + F.col("fix_dx"), 10).alias("steadied"))
 
 
 # --- ranges -------------------------------------------------------------------------------
@@ -488,7 +488,7 @@ def stabilise_correction(spark, sf):
 Q = f"{V}, q AS (SELECT *, quantile_cont(x, 0.02) AS low, quantile_cont(x, 0.98) AS high FROM (SELECT label, vec_id, pos, vec, unnest(vec) AS x FROM v) GROUP BY label, vec_id, pos, vec)".replace("SELECT *, quantile", "SELECT label, vec_id, pos, vec, quantile")
 
 
-@query(f"WITH {Q} SELECT label, vec_id, round(low, 6) AS low, round(high, 6) AS high, round(list_sum(list_transform(vec, x -> least(greatest((x - low) / greatest(high - low, 0.000001), 0.0), 1.0))), 6) AS total FROM q")
+@query(f"WITH {Q} SELECT label, vec_id, round(low, 6) AS low, round(high, 6) AS high, round(list_sum(list_transform(vec, lambda x: least(greatest((x - low) / greatest(high - low, 0.000001), 0.0), 1.0))), 6) AS total FROM q")
 def normalise_quantile(spark, sf):
     out = normalise.normalise_rows(thumbs(spark, sf), "vec")
     total = F.aggregate("normalised", F.lit(0.0), lambda a, x: a + x)
@@ -552,7 +552,7 @@ def detections_filter_rescale(spark, sf):
     return out.select("vec_id", "class_id", *(r6(c).alias(c) for c in ("x1", "y1", "x2", "y2", "conf")), detections.caption(label, F.col("conf")).alias("caption"))
 
 
-@query(f"WITH {V} SELECT label, vec_id, round(list_sum(list_transform(vec, x -> least(greatest((floor(x * 255) / 255) * 1.2 - 0.1, 0.0), 1.0))), 6) AS total FROM v")
+@query(f"WITH {V} SELECT label, vec_id, round(list_sum(list_transform(vec, lambda x: least(greatest((floor(x * 255) / 255) * 1.2 - 0.1, 0.0), 1.0))), 6) AS total FROM v")
 def restore_chain(spark, sf):
     steps = [kernels.from_unit, kernels.to_unit, lambda v: F.transform(v, lambda x: metrics.clamp(x * 1.2 - 0.1))]
     out = kernels.chain(thumbs(spark, sf), "vec", steps, "restored")
@@ -618,7 +618,7 @@ def ledger_resampled(spark, sf):
 @query("SELECT conv_id, turn, role, CASE WHEN role <> lag(role) OVER w THEN TRUE ELSE FALSE END AS is_cut, CASE WHEN length(text) > 60 THEN left(text, 57) || '...' ELSE text END AS short_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def turn_changes(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet")
-    before = F.lag("role").over(resample.ordered("conv_id", "turn"))
+    before = F.lag("role").over(ordered("conv_id", "turn"))
     return rows.select("conv_id", "turn", "role", F.coalesce(F.col("role") != before, F.lit(False)).alias("is_cut"), names.truncated(F.col("text")).alias("short_text"))
 
 
