@@ -30,7 +30,8 @@ def blur(df: DataFrame, clip: str, pos: str, payload: str, factor: int = 8, angl
     total = reduce(lambda a, b: a + b, (F.lit(x) * s for x, s in zip(weights, samples, strict=True)))
     if gamma:
         total = clamp(F.pow(total, F.lit(1 / gamma)))
-    return df.withColumn(out, F.coalesce(total, here)).drop("_prev", "_next")
+    inside = F.lag(pos).over(w).isNotNull() & F.lead(pos).over(w).isNotNull()
+    return df.withColumn("_inside", inside).withColumn(out, F.when(F.col("_inside"), total).otherwise(here)).drop("_prev", "_next", "_inside")
 
 
 def mask_weight(red: Column, green: Column, blue: Column, alpha: Column | None = None) -> Column:

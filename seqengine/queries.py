@@ -405,7 +405,7 @@ def _blur_sql(scheme: str, gamma: bool = False) -> str:
         total = "least(greatest(pow(" + " + ".join(f"CAST({w!r} AS DOUBLE) * pow(least(greatest({s}, 0.0), 1.0), 2.2)" for w, s in zip(weights, samples, strict=True)) + ", 1 / 2.2), 0.0), 1.0)"
     else:
         total = " + ".join(f"CAST({w!r} AS DOUBLE) * {s}" for w, s in zip(weights, samples, strict=True))
-    return f"WITH {P}, n AS (SELECT *, lag(value) OVER w AS prev, lead(value) OVER w AS next FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)) SELECT user_id, event_id, round(coalesce({total}, {x}), 6) AS blurred FROM n"
+    return f"WITH {P}, n AS (SELECT *, lag(value) OVER w AS prev, lead(value) OVER w AS next FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)) SELECT user_id, event_id, round(CASE WHEN prev IS NULL OR next IS NULL THEN {x} ELSE {total} END, 6) AS blurred FROM n"
 
 
 def _blurred(scheme: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -607,12 +607,12 @@ def ledger_quantiles(spark, sf):
 LEDGER = "SELECT l_suppkey AS user_id, l_orderkey AS event_id, CAST(l_extendedprice AS DOUBLE) AS value, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS pos FROM lineitem"
 
 
-@query(f"WITH p AS ({LEDGER}), {_gaps_sql('p', 2, 1)} SELECT user_id AS l_suppkey, count(*) AS n, round(sum((1 - t) * prev_value + t * value), 2) AS total FROM g GROUP BY user_id")
+@query(f"WITH p AS ({LEDGER}), {_gaps_sql('p', 2, 1)} SELECT user_id AS l_suppkey, count(*) AS n, round(sum((1 - t) * prev_value + t * value), 4) AS total FROM g GROUP BY user_id")
 def ledger_resampled(spark, sf):
     rows = readers.signal(spark, f"{sf}/lineitem.parquet", "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], "l_extendedprice")
     rows = with_position(rows, "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]).select("l_suppkey", "pos", "value")
     out = resample.interpolate(rows, "l_suppkey", "pos", "value", 2, 1).filter("kind = 'interp'")
-    return out.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return out.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("SELECT conv_id, turn, role, CASE WHEN role <> lag(role) OVER w THEN TRUE ELSE FALSE END AS is_cut, CASE WHEN length(text) > 60 THEN left(text, 57) || '...' ELSE text END AS short_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
