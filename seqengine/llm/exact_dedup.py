@@ -74,6 +74,19 @@ def _split(rows: DataFrame, width: int, first: bool) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text a row with a larger doc_id repeats."""
-    gone = exact_groups(docs).groupBy("doc_id").agg(F.max("kept").alias("any_kept")).filter("not any_kept")
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")), docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    """docs, with all their columns, with one row of each text: that with the largest doc_id.
+
+    Rows are found again by id and text, so that ids that are null or repeated do no harm.
+    """
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), "text_sha256")
+    groups = exact_groups(docs).filter("group_size > 1").groupBy(key.alias("key"))
+    groups = groups.agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("stay")).filter("stay = 0 or n > stay")
+    groups = materialize(groups, "copies")
+    text_key = F.struct(docs.doc_id.cast("long").alias("doc_id"), F.sha2(lower_ascii(whole_text()).cast("binary"), 256).alias("text_sha256"))
+    kept = docs.join(groups.select(F.col("key").alias("_key")), text_key.eqNullSafe(F.col("_key")), "left_anti")
+    repeated = groups.filter("stay > 0").select(F.col("key").alias("_key"))
+    if repeated.isEmpty():
+        return kept
+    # the same id and text in several rows: one of them
+    once = docs.withColumn("_own", text_key).join(repeated, F.col("_own").eqNullSafe(F.col("_key")), "left_semi").dropDuplicates(["_own"])
+    return kept.unionByName(once.drop("_own"))

@@ -2,8 +2,8 @@
 
 Voters are words of small hand-made lexicons, patterns (shouting, masked letters, "you
 are a ..."), and word beginnings induced from labelled rows for learning. A generative
-label model with a hidden class estimates by expectation maximisation how often each
-voter fires in either class, and from the covariances that the classes don't explain
+label model with a hidden class, anchored by the labels, estimates by expectation maximisation how
+often each voter fires in either class, and from the covariances that the classes don't explain
 which voters are correlated; correlated voters are joined to one. A linear classifier on
 words and word beginnings is trained on the posterior labels and scores every whole text.
 
@@ -58,10 +58,15 @@ def words_of(text: bytes) -> set[str]:
 
 
 class LabelModel:
-    """Class-conditional firing rates of voters, fitted without labels by expectation maximisation."""
+    """Class-conditional firing rates of voters with a hidden class, by expectation maximisation.
 
-    def __init__(self, votes: np.ndarray, prior: float, correlated: float = 0.35, rounds: int = 60):
-        self.groups = [[j] for j in range(votes.shape[1])]
+    Voters that never meet don't determine the class. So, where labels y are given, the rates
+    in either class count `anchor` times as much as the hidden ones, and a voter's precision
+    stays near its precision in the labels.
+    """
+
+    def __init__(self, votes: np.ndarray, prior: float, y: np.ndarray | None = None, correlated: float = 0.35, rounds: int = 60, anchor: float = 1.0):
+        self.groups, self.y, self.anchor = [[j] for j in range(votes.shape[1])], y, anchor
         self._fit(votes, prior, rounds)
         # what the classes leave unexplained: voters that still move together are one voter
         post = self.posterior(votes)
@@ -85,13 +90,20 @@ class LabelModel:
         v = self.joined(votes)
         n = len(v)
         self.prior = prior
-        self.fires, self.misfires = np.full(v.shape[1], 0.3), np.clip(0.2 * v.mean(axis=0), 1e-4, 0.5)
+        seen, unseen, weight = np.full(v.shape[1], 0.3), np.clip(0.2 * v.mean(axis=0), 1e-4, 0.5), 0.0
+        most = np.full(v.shape[1], np.inf)
+        if self.y is not None:
+            right = 0.95 * (v[self.y == 1].sum(axis=0) + 0.5) / (v.sum(axis=0) + 1)
+            most = (1 - right) / right
+            seen, unseen, weight = (v[self.y == 1].sum(axis=0) + 0.5) / ((self.y == 1).sum() + 1), (v[self.y == 0].sum(axis=0) + 0.02) / ((self.y == 0).sum() + 1), self.anchor * n
+        self.fires, self.misfires = seen, unseen
         for _ in range(rounds):
             post = self._posterior(v)
             ones = post.sum()
-            self.fires = (post @ v + 0.5) / (ones + 1)
-            self.misfires = ((1 - post) @ v + 0.02) / (n - ones + 1)
-            self.prior = float(np.clip(ones / n, 1e-3, 0.6))
+            self.fires = (post @ v + 0.5 + weight * seen) / (ones + 1 + weight)
+            self.misfires = ((1 - post) @ v + 0.02 + weight * unseen) / (n - ones + 1 + weight)
+            self.prior = float(np.clip((ones + weight * prior) / (n + weight), 1e-3, 0.6))
+            self.misfires = np.minimum(self.misfires, self.fires * self.prior / (1 - self.prior) * most)
 
     def _posterior(self, v: np.ndarray) -> np.ndarray:
         clip = lambda p: np.clip(p, 1e-5, 1 - 1e-5)
@@ -199,7 +211,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     votes = votes[:, votes.any(axis=0)]
     if not votes.shape[1]:
         return Toxicity(own, -2.3)
-    post = LabelModel(votes, prior=float(np.clip((y == 1).mean(), 0.01, 0.5))).posterior(votes)
+    post = LabelModel(votes, prior=float(np.clip((y == 1).mean(), 0.01, 0.5)), y=y).posterior(votes)
     # features that the posterior labels set apart
     ones, rows = post @ x, x.sum(axis=0)
     useful = np.flatnonzero(ones >= 0.7 * rows)
