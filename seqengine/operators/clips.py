@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -19,9 +19,21 @@ def ordered(clip: str, *order: str) -> Window:
     return Window.partitionBy(clip).orderBy(*order)
 
 
-def with_position(df: DataFrame, clip: str, order: list[str], pos: str = "pos") -> DataFrame:
-    """Adds the 1-based position of each row in its clip."""
-    return df.withColumn(pos, F.row_number().over(ordered(clip, *order)).cast("bigint"))
+def with_position(df: DataFrame, clip: str, order: list[str], pos: str = "pos", bucket: Column | None = None) -> DataFrame:
+    """Adds the 1-based position of each row in its clip.
+
+    bucket: for clips too long for one task, a coarse form of the first order column (such as
+    its day) that never falls along the order. Rows are then numbered within buckets, and
+    those before them are counted; only the counts of a clip's buckets meet in one task.
+    """
+    if bucket is None:
+        return df.withColumn(pos, F.row_number().over(ordered(clip, *order)).cast("bigint"))
+    df = df.withColumn("_bucket", bucket)
+    counts = df.groupBy(clip, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(ordered(clip, "_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(clip, "_bucket", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(clip, "_bucket").orderBy(*order))
+    return df.withColumn("_inside", inside).join(counts, [clip, "_bucket"]).withColumn(pos, (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_bucket", "_before", "_inside")
 
 
 def fold(df: DataFrame, clip: str, order: list[str], step: Callable[[pd.DataFrame, Any], tuple[pd.DataFrame, Any]], schema: str) -> DataFrame:

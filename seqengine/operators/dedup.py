@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import SSIM_K1, SSIM_K2
+from ..session import materialize
 from .clips import fold, ordered
 
 
@@ -85,3 +86,60 @@ def trailing_repeats(marked: DataFrame, clip: str, pos: str = "pos") -> DataFram
     """For each clip its last kept position and the number of rows dropped after it (INT09)."""
     ends = marked.groupBy(clip).agg(F.max(F.when(F.col("kept"), F.col(pos))).alias("last_pos"), F.max(pos).alias("end_pos"))
     return ends.select(clip, "last_pos", (F.col("end_pos") - F.col("last_pos")).alias("trailing"))
+
+
+def mark_repeats_spread(df: DataFrame, clip: str, pos: str, payload: str, method: str, threshold: float, rows_per_chunk: int = 100_000) -> DataFrame:
+    """mark_repeats for clips too long for one task, over rows with positions from 1.
+
+    Clips are cut into chunks of consecutive positions, and each is folded by itself as if
+    its first row were kept. Then chunks are folded again, each from the row that the chunk
+    before it kept last, as long as an end differs from that of the last pass. Folds from different
+    references soon keep the same rows, so the second pass is usually the last; in each pass
+    at least the next chunk becomes right.
+    """
+    repeats = METHODS[method]
+    chunk = ((F.col(pos) - 1) / rows_per_chunk).cast("bigint")
+    rows = df.withColumn("_chunk", chunk)
+    number = not dict(df.dtypes)[payload].startswith("array")
+    kind, clip_kind = dict(df.dtypes)[payload], dict(df.dtypes)[clip]
+
+    def walk(values, last):
+        kept, at = [], None
+        for i, x in enumerate(values):
+            if x is None or (number and x != x):
+                kept.append(False)
+                continue
+            v = np.atleast_1d(np.asarray(x, dtype=np.float64))
+            kept.append(last is None or not repeats(last, v, threshold))
+            if kept[-1]:
+                last, at = v, i
+        return kept, at
+
+    def first(key):
+        return None if key is None or (isinstance(key, float) and key != key) else np.atleast_1d(np.asarray(key, dtype=np.float64))
+
+    def ends(frame):
+        """The payload that a chunk keeps last, or what it began with."""
+        frame = frame.sort_values(pos)
+        _, at = walk(frame[payload].tolist(), first(frame["_from"].iloc[0]))
+        last = frame["_from"].iloc[0] if at is None else frame[payload].iloc[at]
+        return frame.iloc[:1][[clip, "_chunk"]].assign(_end=[last])
+
+    def marks(frame):
+        frame = frame.sort_values(pos)
+        return frame.assign(kept=walk(frame[payload].tolist(), first(frame["_from"].iloc[0]))[0]).drop(columns=["_chunk", "_from"])
+
+    light = rows.select(clip, "_chunk", pos, payload)
+    given = None
+    while True:
+        source = light.withColumn("_from", F.lit(None).cast(kind)) if given is None else light.join(given, [clip, "_chunk"], "left")
+        found = materialize(source.groupBy(clip, "_chunk").applyInPandas(ends, f"`{clip}` {clip_kind}, _chunk bigint, _end {kind}"), "ends")
+        before = found.select(clip, (F.col("_chunk") + 1).alias("_chunk"), F.col("_end").alias("_from"))
+        if given is not None:
+            now, then = before.alias("n"), given.alias("t")
+            changed = now.join(then, [clip, "_chunk"], "left").filter(~F.col("n._from").eqNullSafe(F.col("t._from")))
+            if changed.isEmpty():
+                break
+        given = before
+    schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
+    return rows.join(given, [clip, "_chunk"], "left").groupBy(clip, "_chunk").applyInPandas(marks, f"{schema}, kept boolean")

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _scratch: list[tuple[SparkSession, str]] = []
@@ -31,6 +31,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Writes df to the shared folder and reads it back: this cuts the lineage, and the
+    table outlives lost executors."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _remove_scratch() -> None:
     for spark, path in _scratch:
         try:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from seqengine.functions import metrics, names, rates
 from seqengine.operators import blur, cuts, dedup, normalise, quality, resample, smooth, windows
+from seqengine.operators.clips import with_position
 from seqengine.plans.spec import Pipeline
 from seqengine.sources import readers, writers
 
@@ -36,6 +37,22 @@ def test_dedup_by_clip_over_vectors(spark):
     assert sorted((r.c, r.pos) for r in marked.filter("kept").collect()) == [(1, 1), (2, 1), (2, 2)]
 
 
+def test_positions_by_bucket(spark):
+    rows = spark.createDataFrame([(c, t * 1.7 % 13) for c in (1, 2) for t in range(40)], "c int, t double").distinct()
+    plain = with_position(rows, "c", ["t"])
+    spread = with_position(rows, "c", ["t"], bucket=F.floor(F.col("t") / 3))
+    assert {tuple(r) for r in spread.select("c", "t", "pos").collect()} == {tuple(r) for r in plain.collect()}
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_spread_dedup_equals_the_fold(spark, size):
+    steps = [(i * 37 % 11) * 0.6 + i * 0.4 for i in range(60)] + [5.0] * 20
+    rows = clip(spark, steps).union(clip(spark, [1, None, 1, 2, 9], name=2))
+    whole = dedup.mark_repeats(rows, "c", ["pos"], "value", "mad", 2.5).collect()
+    spread = dedup.mark_repeats_spread(rows, "c", "pos", "value", "mad", 2.5, rows_per_chunk=size).collect()
+    assert {(r.c, r.pos, r.kept) for r in spread} == {(r.c, r.pos, r.kept) for r in whole} and len(spread) == 85
+
+
 def test_dropped_rows_land_on_the_next_kept_one(spark):
     marked = dedup.mark_repeats(clip(spark, [0, 0, 0, 9, 9]), "c", ["pos"], "value", "mse", 1)
     assert values(dedup.keep_first_of_repeats(marked, "c"), "pos", "dups_before") == [(1, 0), (4, 2)]
