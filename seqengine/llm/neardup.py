@@ -7,9 +7,13 @@ so both have the same key for that chunk with one value left out: 40 keys a docu
 every pair within that distance. A pair at similarity 0.8 exceeds it with a probability
 below 0.0001. A pair's link is confirmed on the full sets.
 
-Groups are not expanded into pairs. Documents with the same words are one class. Classes
-that share a key are first compared with the key's hub; components follow, and only
-pairs of one key in different components are compared after that. No key is capped.
+Groups are not expanded into pairs. Documents with the same words are one class. Each key
+has a hub, its class with the smallest id, and the other classes of the key are compared
+with it. Two classes near the same hub are compared by what sets them apart from it (their
+delta): if one of them isn't linked to the hub, their link needs an overlap of more than
+half of the other's delta, so that they meet in a join of deltas with a prefix of deltas.
+Only classes of a key that are not near its hub are compared with each other, each pair
+in the first key that both have. No key is capped, and no link is lost in a large group.
 
 Rows and edge cases: null and empty texts have no words, an empty set and no link; a text
 of fewer words than a shingle is one shingle; repeated rows are linked by their equal
@@ -31,6 +35,7 @@ from .common import ASCII_LOWER, WordHashes, byte_texts, connected_components, g
 CHUNKS, PER_CHUNK = 10, 4
 VALUES = CHUNKS * PER_CHUNK
 MOST_DIFFERENT = 2 * CHUNKS - 1
+LEAST_PERCENT = 80
 #: A signature is kept as 10 numbers of 4 values each.
 LANES = [f"s{i}" for i in range(CHUNKS)]
 
@@ -61,11 +66,6 @@ def _digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """uid, doc_id, n_shingles, digest of the words, and the signature, for each row of docs (doc_id, text)."""
 
@@ -108,65 +108,110 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", *LANES).mapInArrow(keys, "key long, id long")
 
 
-def _within(a: str, b: str, percent: int):
-    """SQL: may the two be similar? Their signatures are within the distance, their sizes within the share."""
-    same = " + ".join(f"int(((({a}.{x} ^ {b}.{x}) >>> {16 * k}) & 65535) = 0)" for x in LANES for k in range(PER_CHUNK))
-    sizes = f"100 * least({a}.n_shingles, {b}.n_shingles) >= {percent} * greatest({a}.n_shingles, {b}.n_shingles)"
-    return F.expr(f"{sizes} and ({same}) >= {VALUES - MOST_DIFFERENT}")
+def _same_values(lane: str) -> str:
+    """SQL: how many of the four values of a lane the rows a and b share."""
+    return " + ".join(f"int((((a.{lane} ^ b.{lane}) >>> {16 * k}) & 65535) = 0)" for k in range(PER_CHUNK))
+
+
+_AGREEMENT = " + ".join(f"({_same_values(lane)})" for lane in LANES)
+
 
+def _first_shared_key() -> str:
+    """SQL: is the key of row a the first one that the signatures of a and b share? Keys are numbered by chunk and value left out."""
+    number = f"(a.key >>> 48) % {PER_CHUNK}"
+    cases = " ".join(
+        f"when {c} then ({_same_values(lane)} = {PER_CHUNK - 1} or {number} = 0)" + "".join(f" and {_same_values(before)} < {PER_CHUNK - 1}" for before in LANES[:c]) for c, lane in enumerate(LANES)
+    )
+    return f"case (a.key >>> 48) div {PER_CHUNK} {cases} end"
 
-def _agreement(a: str, b: str):
-    return F.expr(" + ".join(f"int(((({a}.{x} ^ {b}.{x}) >>> {16 * k}) & 65535) = 0)" for x in LANES for k in range(PER_CHUNK)))
 
+class Bounds:
+    """What a similarity of percent means for signatures and deltas.
 
-def _star_pairs(shared: DataFrame, classes: DataFrame, percent: int, turn: int) -> DataFrame:
-    """For each class the nearest hub of its keys, if within the distance. shared: key, id, comp.
+    A hub's halo is what is similar to it by `inner`; whatever is similar enough to link to a
+    class that is similar to the hub by inner + 1 - percent, is in the halo as well.
+    """
 
-    A key's hub is the class with the smallest id; in later turns, in an order by hash.
+    def __init__(self, percent: int):
+        if not LEAST_PERCENT <= percent <= 100:
+            raise ValueError(f"the index finds similarities of {LEAST_PERCENT} to 100 percent")
+        p = percent / 100
+        self.percent, self.inner = percent, 2 * p - 1 - 0.15
+        spread = lambda q: (VALUES * q * (1 - q)) ** 0.5
+        self.halo_same = int(VALUES * self.inner - 2.2 * spread(self.inner))
+        covered = self.inner + 1 - p
+        self.covered_same = int(VALUES * covered + 0.7 * spread(covered)) + 1
+        #: linked: the symmetric difference is at most this share of the sum of the sizes
+        self.apart = (1 - p) / (1 + p)
+        self.halo_apart = (1 - self.inner) / (1 + self.inner)
+
+
+def _star(shared: DataFrame, classes: DataFrame, bounds: Bounds) -> DataFrame:
+    """(id, hub, same) for each class in the halo of a hub of one of its keys; shared: key, id, hub."""
+    pairs = shared.filter("id <> hub").select("id", "hub").distinct()
+    pairs = pairs.join(classes.select("id", F.struct("n_shingles", *LANES).alias("a")), "id").select("id", "hub", "a")
+    pairs = pairs.join(classes.select(F.col("id").alias("hub"), F.struct("n_shingles", *LANES).alias("b")), "hub")
+    near = pairs.select("id", "hub", F.expr(_AGREEMENT).alias("same"), (F.least("a.n_shingles", "b.n_shingles") / F.greatest("a.n_shingles", "b.n_shingles")).alias("sizes"))
+    return near.filter((F.col("same") >= bounds.halo_same) & (F.col("sizes") >= bounds.inner)).select("id", "hub", "same")
+
+
+def _strays(shared: DataFrame, star: DataFrame, classes: DataFrame, bounds: Bounds) -> DataFrame:
+    """(a, b): pairs of a key within the distance, of which neither is well within the halo of the key's hub."""
+    covered = star.filter(F.col("same") >= bounds.covered_same).select("id", "hub")
+    left = shared.filter("id <> hub").join(covered, ["id", "hub"], "left_anti").select("key", "id")
+    several = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.struct("key").alias("of"))
+    rows = left.join(several, F.struct("key") == F.col("of")).drop("of")
+    rows = materialize(rows.join(classes, "id"), "strays")
+    sizes = f"100 * least(a.n_shingles, b.n_shingles) >= {bounds.percent} * greatest(a.n_shingles, b.n_shingles)"
+    near = f"{sizes} and {_AGREEMENT} >= {VALUES - MOST_DIFFERENT} and {_first_shared_key()}"
+    met = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & F.expr(near))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+COMPARED = "a long, b long, linked boolean, close boolean, delta array<long>, prefix int"
+
+
+def _compare(pairs: DataFrame, texts: DataFrame, words: int, bounds: Bounds) -> DataFrame:
+    """COMPARED for each pair (a, b): are the full sets similar, are they as similar as a halo,
+    and if so what sets a apart from b, its own shingles first, and how much of that is its prefix.
     """
-    rank = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
-    hubs = shared.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "id", "comp")).alias("hub"))
-    hubs = hubs.select(F.struct("key").alias("of"), F.col("hub.id").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-    pairs = shared.join(hubs, F.struct("key") == F.col("of")).filter("comp <> hub_comp").select("id", "hub").distinct()
-    pairs = pairs.join(classes.alias("a"), "id").select("hub", F.struct("a.*").alias("a"))
-    pairs = pairs.join(classes.alias("b").select(F.col("id").alias("hub"), F.struct("b.*").alias("b")), "hub")
-    near = pairs.filter(_within("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("hub").alias("b"), _agreement("a", "b").alias("n"))
-    best = near.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("best"))
-    return best.select("a", (-F.col("best.b")).alias("b"))
-
-
-def _cross_pairs(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one key that are in different components and within the distance."""
-    mixed = shared.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    rows = shared.join(mixed.select(F.struct("key").alias("of")), F.struct("key") == F.col("of")).drop("of")
-    rows = materialize(rows.join(classes, "id"), "mixed")
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & _within("a", "b", percent))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. texts: id, text."""
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
-    def check(batches: Iterator) -> Iterator:
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         hashed, last, hub = WordHashes(), None, None
         for batch in batches:
-            keep = []
+            linked, close, deltas, prefixes = [], [], [], []
             for b, one, other in zip(batch.column("b").to_pylist(), byte_texts(batch.column("text_a")), byte_texts(batch.column("text_b")), strict=True):
                 if b != last:
                     last, hub = b, shingle_set(hashed(words_of(other)), words)
-                keep.append(similar(shingle_set(hashed(words_of(one)), words), hub, percent))
-            import pyarrow as pa
+                own = shingle_set(hashed(words_of(one)), words)
+                added, gone = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
+                delta, both = len(added) + len(gone), len(own) - len(added)
+                linked.append(100 * both >= bounds.percent * (len(added) + len(hub)))
+                close.append(delta <= bounds.halo_apart * (len(own) + len(hub)))
+                deltas.append(np.concatenate([added, gone]).view(np.int64) if close[-1] else [])
+                need = int((delta + bounds.apart * (len(hub) - len(own))) // 2) + 1
+                prefixes.append(max(delta - need + 1, 0))
+            columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(close, pa.bool_()), pa.array(deltas, pa.list_(pa.int64())), pa.array(prefixes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "close", "delta", "prefix"])
 
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return both.mapInArrow(compare, COMPARED)
 
-    return both.mapInArrow(check, "a long, b long")
 
+def _by_delta(compared: DataFrame) -> DataFrame:
+    """(a, b): classes of one hub's halo, not both linked to it, that may be similar.
 
-def _label(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """shared (key, id) with the component of each id."""
-    return shared.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    With x not linked to the hub, a link of x and y needs more common elements of their deltas
+    than half of y's delta (corrected for sizes), so one of them is in y's prefix.
+    """
+    halo = compared.filter("close")
+    apart = halo.filter("not linked").select(F.col("b").alias("hub"), F.col("a").alias("x"), F.explode("delta").alias("element"))
+    prefix = halo.select(F.col("b").alias("hub"), F.col("a").alias("y"), F.explode(F.expr("slice(delta, 1, prefix)")).alias("element"))
+    met = apart.join(prefix, ["hub", "element"]).filter("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -174,31 +219,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Links documents with 100 * intersection >= percent * union of their shingle sets.
     """
+    bounds = Bounds(percent)
     rows = materialize(signatures(docs, words), "signatures")
     classes = rows.filter("n_shingles > 0").groupBy("same", "n_shingles", *LANES).agg(F.min("uid").alias("id"), F.min("doc_id").alias("low_doc"))
     classes = materialize(classes, "classes")
     narrow = classes.select("id", "n_shingles", *LANES)
-    counted = chunk_keys(narrow).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = chunk_keys(narrow).join(counted.select(F.struct("key").alias("of")), F.struct("key") == F.col("of")).select("key", "id")
+    hubs = chunk_keys(narrow).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1")
+    shared = chunk_keys(narrow).join(hubs.select(F.struct("key").alias("of"), "hub"), F.struct("key") == F.col("of")).select("key", "id", "hub")
     shared = materialize(shared, "keys")
-
-    # Components under the signature distance: only documents in one of them can have a link.
-    start = shared.withColumn("comp", F.col("id"))
-    found = materialize(_star_pairs(start, narrow, percent, 0), "near")
-    comps = connected_components(found)
-    found = materialize(found.union(_cross_pairs(_label(shared, comps), narrow, percent)), "near")
-    near = materialize(found.select(F.col("a").alias("id")).union(found.select(F.col("b"))).distinct(), "near")
-    texts = _texts_of(docs, rows.select(F.col("uid").alias("id"), "doc_id", "same").join(near, "id"))
-    shared = materialize(shared.join(near, "id").select("key", "id"), "keys")
-
-    # The same on the full sets: hubs, hubs in another order, then what is in different components.
-    start = shared.withColumn("comp", F.col("id"))
-    links = materialize(_confirm(_star_pairs(start, narrow, percent, 0), texts, words, percent), "links")
-    for turn in (1, 2):
-        comps = connected_components(links)
-        labelled = _label(shared, comps)
-        more = _star_pairs(labelled, narrow, percent, turn) if turn == 1 else _cross_pairs(labelled, narrow, percent)
-        links = materialize(links.union(_confirm(more, texts, words, percent)), "links")
+    star = materialize(_star(shared, narrow, bounds), "star")
+    strays = _strays(shared, star, narrow, bounds)
+    pairs = star.select(F.col("id").alias("a"), F.col("hub").alias("b"), F.lit(True).alias("of_hub")).union(strays.withColumn("of_hub", F.lit(False)))
+    pairs = materialize(pairs, "pairs")
+
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
+    texts = _texts_of(docs, rows.select(F.col("uid").alias("id"), "doc_id", "same").join(wanted, "id"))
+    compared = materialize(_compare(pairs.filter("of_hub"), texts, words, bounds), "compared")
+    more = _compare(pairs.filter("not of_hub").select("a", "b").union(_by_delta(compared)).distinct(), texts, words, bounds)
+    links = compared.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b"))
     comps = connected_components(links)
 
     members = classes.select("same", "id", "low_doc").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
