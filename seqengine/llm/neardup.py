@@ -7,13 +7,17 @@ so both have the same key for that chunk with one value left out: 40 keys a docu
 every pair within that distance. A pair at similarity 0.8 exceeds it with a probability
 below 0.0001. A pair's link is confirmed on the full sets.
 
-Groups are not expanded into pairs. Documents with the same words are one class. Each key
-has a hub, its class with the smallest id, and the other classes of the key are compared
-with it. Two classes near the same hub are compared by what sets them apart from it (their
-delta): if one of them isn't linked to the hub, their link needs an overlap of more than
-half of the other's delta, so that they meet in a join of deltas with a prefix of deltas.
-Only classes of a key that are not near its hub are compared with each other, each pair
-in the first key that both have. No key is capped, and no link is lost in a large group.
+Groups are not expanded into pairs. Documents with the same words are one class. A class is
+the more central the more classes share its keys. Each key has a hub, its most central
+class, and each class a home, the most central of the hubs of its keys. Classes are first
+compared with their homes only, and what links is one component. A key whose classes are in
+one component by then is settled. In the others, classes near the same hub are compared by
+what sets them apart from it (their delta): if x isn't linked to the hub, a link of x and y
+needs an overlap of more than half of y's delta, so a prefix of that length of y's delta
+meets x's delta. Prefixes take the elements first that the fewest such x have. Classes of a
+key that are not near its hub are compared with each other, each pair in the first key that
+both have. Pairs within a component are left out. No key is capped, and no link between
+components is lost in a large group.
 
 Rows and edge cases: null and empty texts have no words, an empty set and no link; a text
 of fewer words than a shingle is one shingle; repeated rows are linked by their equal
@@ -146,25 +150,53 @@ class Bounds:
         self.halo_apart = (1 - self.inner) / (1 + self.inner)
 
 
-def _star(shared: DataFrame, classes: DataFrame, bounds: Bounds) -> DataFrame:
-    """(id, hub, same) for each class in the halo of a hub of one of its keys; shared: key, id, hub."""
-    pairs = shared.filter("id <> hub").select("id", "hub").distinct()
-    pairs = pairs.join(classes.select("id", F.struct("n_shingles", *LANES).alias("a")), "id").select("id", "hub", "a")
+def central_hubs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id, hub) for each key that several classes have, and (id, home) for each class with such a key."""
+    several = chunk_keys(classes).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = chunk_keys(classes).join(several.select(F.struct("key").alias("of"), "n"), F.struct("key") == F.col("of")).select("key", "id", "n")
+    shared = materialize(shared, "keys")
+    central = shared.groupBy("id").agg(F.sum("n").alias("fame"))
+    famed = materialize(shared.select("key", "id").join(central, "id"), "fame")
+    top = famed.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("least"))).alias("top"))
+    keyed = famed.join(top.select(F.struct("key").alias("of"), "top"), F.struct("key") == F.col("of")).select("key", "id", "top")
+    keyed = materialize(keyed, "hubs")
+    homes = keyed.groupBy("id").agg((-F.max("top")["least"]).alias("home"))
+    return keyed.select("key", "id", (-F.col("top.least")).alias("hub")), homes
+
+
+def _near_hubs(pairs: DataFrame, classes: DataFrame, bounds: Bounds) -> DataFrame:
+    """(id, hub, same) of the pairs (id, hub) that may be as similar as a halo; same: equal values of the signatures."""
+    pairs = pairs.filter("id <> hub").join(classes.select("id", F.struct("n_shingles", *LANES).alias("a")), "id").select("id", "hub", "a")
     pairs = pairs.join(classes.select(F.col("id").alias("hub"), F.struct("n_shingles", *LANES).alias("b")), "hub")
     near = pairs.select("id", "hub", F.expr(_AGREEMENT).alias("same"), (F.least("a.n_shingles", "b.n_shingles") / F.greatest("a.n_shingles", "b.n_shingles")).alias("sizes"))
     return near.filter((F.col("same") >= bounds.halo_same) & (F.col("sizes") >= bounds.inner)).select("id", "hub", "same")
 
 
-def _strays(shared: DataFrame, star: DataFrame, classes: DataFrame, bounds: Bounds) -> DataFrame:
-    """(a, b): pairs of a key within the distance, of which neither is well within the halo of the key's hub."""
-    covered = star.filter(F.col("same") >= bounds.covered_same).select("id", "hub")
-    left = shared.filter("id <> hub").join(covered, ["id", "hub"], "left_anti").select("key", "id")
-    several = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.struct("key").alias("of"))
-    rows = left.join(several, F.struct("key") == F.col("of")).drop("of")
-    rows = materialize(rows.join(classes, "id"), "strays")
+def _within(bounds: Bounds) -> str:
+    """SQL: may the classes a and b be linked, by their sizes and the distance of their signatures?"""
     sizes = f"100 * least(a.n_shingles, b.n_shingles) >= {bounds.percent} * greatest(a.n_shingles, b.n_shingles)"
-    near = f"{sizes} and {_AGREEMENT} >= {VALUES - MOST_DIFFERENT} and {_first_shared_key()}"
-    met = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & F.expr(near))
+    return f"{sizes} and {_AGREEMENT} >= {VALUES - MOST_DIFFERENT}"
+
+
+def _open_keys(keyed: DataFrame, state: DataFrame) -> DataFrame:
+    """(key, id, hub, comp) of the keys with classes of several components, but for those whose
+    classes are all near one home; state: id, comp, home, at_home."""
+    members = keyed.join(state, "id")
+    keys = members.groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("comp", "home") for n, f in (("low", F.min), ("top", F.max))), F.bool_and("at_home").alias("all_home"))
+    keys = keys.filter("low_comp <> top_comp and not (low_home = top_home and all_home)").select(F.struct("key").alias("of"))
+    return members.join(keys, F.struct("key") == F.col("of")).select("key", "id", "hub", "comp")
+
+
+def _strays(rows: DataFrame, star: DataFrame, classes: DataFrame, bounds: Bounds) -> DataFrame:
+    """(a, b): pairs of a key within the distance, of different components, of which neither is well
+    within the halo of the key's hub; rows: key, id, hub, comp."""
+    covered = star.filter(F.col("same") >= bounds.covered_same).select("id", "hub")
+    left = rows.filter("id <> hub").join(covered, ["id", "hub"], "left_anti").select("key", "id", "comp")
+    several = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).filter("low <> top").select(F.struct("key").alias("of"))
+    left = left.join(several, F.struct("key") == F.col("of")).drop("of")
+    left = materialize(left.join(classes, "id"), "strays")
+    near = f"a.comp <> b.comp and {_within(bounds)} and {_first_shared_key()}"
+    met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & F.expr(near))
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
@@ -201,19 +233,33 @@ def _compare(pairs: DataFrame, texts: DataFrame, words: int, bounds: Bounds) ->
     return both.mapInArrow(compare, COMPARED)
 
 
-def _by_delta(compared: DataFrame) -> DataFrame:
-    """(a, b): classes of one hub's halo, not both linked to it, that may be similar.
+def _by_delta(compared: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b): classes of one hub's halo and of different components that may be similar.
 
     With x not linked to the hub, a link of x and y needs more common elements of their deltas
-    than half of y's delta (corrected for sizes), so one of them is in y's prefix.
+    than half of y's delta (corrected for sizes), so x's delta has one of y's prefix. An element
+    that no such x has fills the prefix first, then those that the fewest have.
     """
-    halo = compared.filter("close")
-    apart = halo.filter("not linked").select(F.col("b").alias("hub"), F.col("a").alias("x"), F.explode("delta").alias("element"))
-    prefix = halo.select(F.col("b").alias("hub"), F.col("a").alias("y"), F.explode(F.expr("slice(delta, 1, prefix)")).alias("element"))
-    met = apart.join(prefix, ["hub", "element"]).filter("x <> y")
+    halo = with_components(compared.filter("close"), comps)
+    halo = materialize(halo.select(F.col("a").alias("y"), F.col("b").alias("hub"), F.col("comp_a").alias("comp"), (F.col("linked") | (F.col("comp_a") == F.col("comp_b"))).alias("settled"), "delta", "prefix"), "halo")
+    lone = halo.filter("not settled").select("hub", F.col("y").alias("x"), F.col("comp").alias("comp_x"), F.explode("delta").alias("element"))
+    counts = lone.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n"))
+    found = halo.select("hub", "y", "comp", "prefix", F.size("delta").alias("size"), F.explode("delta").alias("element"))
+    found = found.join(counts, ["hub", "element"]).groupBy("hub", "y", "comp", "prefix", "size").agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("met"))
+    room = F.col("prefix") - (F.col("size") - F.size("met"))
+    prefix = found.filter(room > 0).select("hub", "y", "comp", F.explode(F.slice("met", F.lit(1), room)).alias("first"))
+    prefix = prefix.select("hub", "y", "comp", F.col("first.element").alias("element"))
+    met = lone.join(prefix, ["hub", "element"]).filter("comp_x <> comp and x <> y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def with_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """pairs (a, b) with comp_a and comp_b; comps: id, comp."""
+    for side in ("a", "b"):
+        pairs = pairs.join(comps.select(F.col("id").alias(side), F.col("comp").alias(f"comp_{side}")), side)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -224,20 +270,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = rows.filter("n_shingles > 0").groupBy("same", "n_shingles", *LANES).agg(F.min("uid").alias("id"), F.min("doc_id").alias("low_doc"))
     classes = materialize(classes, "classes")
     narrow = classes.select("id", "n_shingles", *LANES)
-    hubs = chunk_keys(narrow).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1")
-    shared = chunk_keys(narrow).join(hubs.select(F.struct("key").alias("of"), "hub"), F.struct("key") == F.col("of")).select("key", "id", "hub")
-    shared = materialize(shared, "keys")
-    star = materialize(_star(shared, narrow, bounds), "star")
-    strays = _strays(shared, star, narrow, bounds)
-    pairs = star.select(F.col("id").alias("a"), F.col("hub").alias("b"), F.lit(True).alias("of_hub")).union(strays.withColumn("of_hub", F.lit(False)))
-    pairs = materialize(pairs, "pairs")
-
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
-    texts = _texts_of(docs, rows.select(F.col("uid").alias("id"), "doc_id", "same").join(wanted, "id"))
-    compared = materialize(_compare(pairs.filter("of_hub"), texts, words, bounds), "compared")
-    more = _compare(pairs.filter("not of_hub").select("a", "b").union(_by_delta(compared)).distinct(), texts, words, bounds)
+    keyed, homes = central_hubs(narrow)
+    homes = materialize(homes, "homes")
+    texts = _texts_of(docs, rows.select(F.col("uid").alias("id"), "doc_id", "same").join(homes.select("id"), "id"))
+
+    # each class against its home
+    pairs = _near_hubs(homes.select("id", F.col("home").alias("hub")), narrow, bounds).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    at_home = materialize(_compare(pairs, texts, words, bounds), "at-home")
+    first = connected_components(at_home.filter("linked").select("a", "b"))
+    state = homes.join(first, "id", "left").join(at_home.select(F.col("a").alias("id"), "close"), "id", "left")
+    state = materialize(state.select("id", "home", F.coalesce("comp", "id").alias("comp"), ((F.col("id") == F.col("home")) | F.coalesce("close", F.lit(False))).alias("at_home")), "state")
+    comps = state.select("id", "comp")
+
+    # keys that this leaves open
+    left = materialize(_open_keys(keyed, state), "open")
+    star = materialize(_near_hubs(left.select("id", "hub").distinct(), narrow, bounds), "star")
+    strays = _strays(left, star, narrow, bounds)
+    of_hub = with_components(star.select(F.col("id").alias("a"), F.col("hub").alias("b")), comps)
+    split = of_hub.filter("comp_a <> comp_b").select(F.struct("b").alias("of")).distinct()
+    of_hub = of_hub.join(split, F.struct("b") == F.col("of"), "left_semi").select("a", "b")
+    of_hub = of_hub.join(state.select(F.col("id").alias("a"), F.col("home").alias("b")), ["a", "b"], "left_anti")
+    compared = materialize(_compare(of_hub, texts, words, bounds), "compared")
+    met = materialize(_by_delta(at_home.union(compared), comps), "met")
+    met = met.join(narrow.select(F.col("id").alias("a"), F.struct("n_shingles", *LANES).alias("one")), "a").join(narrow.select(F.col("id").alias("b"), F.struct("n_shingles", *LANES).alias("other")), "b")
+    met = met.select(F.struct("a", "one.*").alias("a"), F.struct("b", "other.*").alias("b")).filter(_within(bounds)).select("a.a", "b.b")
+    more = _compare(strays.union(met).distinct(), texts, words, bounds)
     links = compared.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b"))
-    comps = connected_components(links)
+    between = with_components(links, comps).filter("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    last = connected_components(between).select(F.col("id").alias("comp"), F.col("comp").alias("joined"))
+    comps = comps.join(last, "comp", "left").select("id", F.coalesce("joined", "comp").alias("comp"))
 
     members = classes.select("same", "id", "low_doc").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     lows = members.groupBy("comp").agg(F.min("low_doc").alias("component_id"))
