@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, byte_texts, gram_hashes, materialize
+from .common import ASCII_LOWER, WordHashes, byte_texts, fresh, gram_hashes, materialize
 
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: Lower-cases A-Z; any other ASCII that is no letter or digit becomes a space.
@@ -88,7 +88,7 @@ def _found(batch, found: list[tuple[int, list[int], list[str]]]):
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "hits", "items"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, passage: int = 10, gram: int = 6, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, passage: int = 10, gram: int = 6, broadcast_bytes: int = 2 << 20) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, hits (positions of hit words), items.
 
     broadcast_bytes: a benchmark (item_id, text) of at most so many bytes of text goes to
@@ -190,13 +190,14 @@ def contamination_report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, passage: int = 10, gram: int = 6, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, passage: int = 10, gram: int = 6, broadcast_bytes: int = 2 << 20) -> DataFrame:
     """docs, with all their columns, without the documents in which a passage of the benchmark stands."""
     items, small = _items(benchmark, broadcast_bytes)
     if not small:
         hit = _by_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, passage, gram)
-        hit = hit.filter(F.size("hits") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-        return docs.join(hit, docs.doc_id.eqNullSafe(F.col("_hit")), "left_anti")
+        name = fresh(docs, "_hit")
+        hit = hit.filter(F.size("hits") > 0).select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(hit, docs.doc_id.eqNullSafe(F.col(name)), "left_anti")
     texts = _broadcast(docs.sparkSession, items)
 
     def clean(batches: Iterator) -> Iterator:

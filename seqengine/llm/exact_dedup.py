@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, whole_text
+from .common import fresh, lower_ascii, materialize, whole_text
 
 
 def exact_groups(docs: DataFrame, first_digit: int = 64, growth: int = 16) -> DataFrame:
@@ -83,10 +83,11 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     groups = groups.agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("stay")).filter("stay = 0 or n > stay")
     groups = materialize(groups, "copies")
     text_key = F.struct(docs.doc_id.cast("long").alias("doc_id"), F.sha2(lower_ascii(whole_text()).cast("binary"), 256).alias("text_sha256"))
-    kept = docs.join(groups.select(F.col("key").alias("_key")), text_key.eqNullSafe(F.col("_key")), "left_anti")
-    repeated = groups.filter("stay > 0").select(F.col("key").alias("_key"))
+    key, own = fresh(docs, "_key"), fresh(docs, "_own")
+    kept = docs.join(groups.select(F.col("key").alias(key)), text_key.eqNullSafe(F.col(key)), "left_anti")
+    repeated = groups.filter("stay > 0").select(F.col("key").alias(key))
     if repeated.isEmpty():
         return kept
     # the same id and text in several rows: one of them
-    once = docs.withColumn("_own", text_key).join(repeated, F.col("_own").eqNullSafe(F.col("_key")), "left_semi").dropDuplicates(["_own"])
-    return kept.unionByName(once.drop("_own"))
+    once = docs.withColumn(own, text_key).join(repeated, F.col(own).eqNullSafe(F.col(key)), "left_semi").dropDuplicates([own])
+    return kept.unionByName(once.drop(own))

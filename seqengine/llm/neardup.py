@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, byte_texts, connected_components, gram_hashes, materialize, mix64
+from .common import ASCII_LOWER, WordHashes, byte_texts, connected_components, fresh, gram_hashes, materialize, mix64
 
 CHUNKS, PER_CHUNK = 10, 4
 VALUES = CHUNKS * PER_CHUNK
@@ -326,4 +326,5 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document, that with the smallest id, of each component."""
     gone = near_duplicates(docs, words, percent).groupBy("doc_id").agg(F.max("kept").alias("any_kept")).filter("not any_kept")
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")), docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    name = fresh(docs, "_gone")
+    return docs.join(gone.select(F.col("doc_id").alias(name)), docs.doc_id.eqNullSafe(F.col(name)), "left_anti")
