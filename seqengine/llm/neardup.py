@@ -200,12 +200,12 @@ def _strays(rows: DataFrame, star: DataFrame, classes: DataFrame, bounds: Bounds
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-COMPARED = "a long, b long, linked boolean, close boolean, delta array<long>, prefix int"
+COMPARED = "a long, b long, linked boolean, close boolean, delta array<long>, prefix int, own int"
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, words: int, bounds: Bounds) -> DataFrame:
     """COMPARED for each pair (a, b): are the full sets similar, are they as similar as a halo,
-    and if so what sets a apart from b, its own shingles first, and how much of that is its prefix.
+    and if so what sets a apart from b, its own shingles first, how much of that is its prefix, and the size of a's set.
     """
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -215,7 +215,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, words: int, bounds: Bounds) ->
 
         hashed, last, hub = WordHashes(), None, None
         for batch in batches:
-            linked, close, deltas, prefixes = [], [], [], []
+            linked, close, deltas, prefixes, sizes = [], [], [], [], []
             for b, one, other in zip(batch.column("b").to_pylist(), byte_texts(batch.column("text_a")), byte_texts(batch.column("text_b")), strict=True):
                 if b != last:
                     last, hub = b, shingle_set(hashed(words_of(other)), words)
@@ -227,30 +227,35 @@ def _compare(pairs: DataFrame, texts: DataFrame, words: int, bounds: Bounds) ->
                 deltas.append(np.concatenate([added, gone]).view(np.int64) if close[-1] else [])
                 need = int((delta + bounds.apart * (len(hub) - len(own))) // 2) + 1
                 prefixes.append(max(delta - need + 1, 0))
-            columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(close, pa.bool_()), pa.array(deltas, pa.list_(pa.int64())), pa.array(prefixes, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "close", "delta", "prefix"])
+                sizes.append(len(own))
+            columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(close, pa.bool_()), pa.array(deltas, pa.list_(pa.int64())), pa.array(prefixes, pa.int32()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "close", "delta", "prefix", "own"])
 
     return both.mapInArrow(compare, COMPARED)
 
 
-def _by_delta(compared: DataFrame, comps: DataFrame) -> DataFrame:
+def _by_delta(compared: DataFrame, comps: DataFrame, bounds: Bounds) -> DataFrame:
     """(a, b): classes of one hub's halo and of different components that may be similar.
 
     With x not linked to the hub, a link of x and y needs more common elements of their deltas
     than half of y's delta (corrected for sizes), so x's delta has one of y's prefix. An element
-    that no such x has fills the prefix first, then those that the fewest have.
+    that no such x has fills the prefix first, then those that the fewest have. Behind the first
+    common element, both deltas must have room for the overlap that the two sizes need.
     """
     halo = with_components(compared.filter("close"), comps)
-    halo = materialize(halo.select(F.col("a").alias("y"), F.col("b").alias("hub"), F.col("comp_a").alias("comp"), (F.col("linked") | (F.col("comp_a") == F.col("comp_b"))).alias("settled"), "delta", "prefix"), "halo")
-    lone = halo.filter("not settled").select("hub", F.col("y").alias("x"), F.col("comp").alias("comp_x"), F.explode("delta").alias("element"))
-    counts = lone.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n"))
-    found = halo.select("hub", "y", "comp", "prefix", F.size("delta").alias("size"), F.explode("delta").alias("element"))
-    found = found.join(counts, ["hub", "element"]).groupBy("hub", "y", "comp", "prefix", "size").agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("met"))
-    room = F.col("prefix") - (F.col("size") - F.size("met"))
-    prefix = found.filter(room > 0).select("hub", "y", "comp", F.explode(F.slice("met", F.lit(1), room)).alias("first"))
-    prefix = prefix.select("hub", "y", "comp", F.col("first.element").alias("element"))
-    met = lone.join(prefix, ["hub", "element"]).filter("comp_x <> comp and x <> y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    settled = F.col("linked") | (F.col("comp_a") == F.col("comp_b"))
+    halo = materialize(halo.select("b", "a", "comp_a", settled.alias("settled"), "prefix", "own", F.size("delta").alias("size"), "delta").toDF("hub", "y", "comp", "settled", "prefix", "own", "size", "delta"), "halo")
+    parts = halo.select(*halo.columns[:-1], F.explode("delta").alias("element"))
+    counts = parts.filter("not settled").groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n"))
+    found = parts.join(counts, ["hub", "element"]).groupBy(*halo.columns[:-1]).agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("met"))
+    found = found.select("*", F.posexplode("met").alias("i", "one"))
+    places = found.select("hub", "y", "comp", "settled", "prefix", "own", "size", (F.col("size") - F.size("met") + F.col("i") + 1).alias("place"), F.col("one.element").alias("element"))
+    places = materialize(places.filter("place <= prefix or not settled"), "places")
+    x = places.filter("not settled").select("hub", "element", *(F.col(c).alias(f"{c}_x") for c in ("y", "comp", "own", "size", "place")))
+    room = 2 * (1 + F.least(F.col("size") - F.col("place"), F.col("size_x") - F.col("place_x")))
+    enough = room >= F.col("size") + F.col("size_x") - bounds.apart * (F.col("own") + F.col("own_x")) - 1e-6
+    met = x.join(places.filter("place <= prefix"), ["hub", "element"]).filter((F.col("comp_x") != F.col("comp")) & (F.col("y_x") != F.col("y")) & enough)
+    return met.select(F.least("y_x", "y").alias("a"), F.greatest("y_x", "y").alias("b")).distinct()
 
 
 def with_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -291,7 +296,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     of_hub = of_hub.join(split, F.struct("b") == F.col("of"), "left_semi").select("a", "b")
     of_hub = of_hub.join(state.select(F.col("id").alias("a"), F.col("home").alias("b")), ["a", "b"], "left_anti")
     compared = materialize(_compare(of_hub, texts, words, bounds), "compared")
-    met = materialize(_by_delta(at_home.union(compared), comps), "met")
+    met = materialize(_by_delta(at_home.union(compared), comps, bounds), "met")
     met = met.join(narrow.select(F.col("id").alias("a"), F.struct("n_shingles", *LANES).alias("one")), "a").join(narrow.select(F.col("id").alias("b"), F.struct("n_shingles", *LANES).alias("other")), "b")
     met = met.select(F.struct("a", "one.*").alias("a"), F.struct("b", "other.*").alias("b")).filter(_within(bounds)).select("a.a", "b.b")
     more = _compare(strays.union(met).distinct(), texts, words, bounds)
