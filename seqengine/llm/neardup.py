@@ -15,7 +15,7 @@ one component by then is settled. In the others, classes near the same hub are c
 what sets them apart from it (their delta): if x isn't linked to the hub, a link of x and y
 needs an overlap of more than half of y's delta, so a prefix of that length of y's delta
 meets x's delta. Prefixes take the elements first that the fewest such x have. Classes of a
-key that are not near its hub are compared with each other, each pair in the first key that
+key that are not well within reach of its hub, by their full sets, are compared with each other, each pair in the first key that
 both have. Pairs within a component are left out. No key is capped, and no link between
 components is lost in a large group.
 
@@ -141,10 +141,9 @@ class Bounds:
             raise ValueError(f"the index finds similarities of {LEAST_PERCENT} to 100 percent")
         p = percent / 100
         self.percent, self.inner = percent, 2 * p - 1 - 0.15
-        spread = lambda q: (VALUES * q * (1 - q)) ** 0.5
-        self.halo_same = int(VALUES * self.inner - 2.2 * spread(self.inner))
+        self.halo_same = int(VALUES * self.inner - 2.2 * (VALUES * self.inner * (1 - self.inner)) ** 0.5)
         covered = self.inner + 1 - p
-        self.covered_same = int(VALUES * covered + 0.7 * spread(covered)) + 1
+        self.covered_apart = (1 - covered) / (1 + covered)
         #: linked: the symmetric difference is at most this share of the sum of the sizes
         self.apart = (1 - p) / (1 + p)
         self.halo_apart = (1 - self.inner) / (1 + self.inner)
@@ -164,12 +163,12 @@ def central_hubs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("key", "id", (-F.col("top.least")).alias("hub")), homes
 
 
-def _near_hubs(pairs: DataFrame, classes: DataFrame, bounds: Bounds) -> DataFrame:
-    """(id, hub, same) of the pairs (id, hub) that may be as similar as a halo; same: equal values of the signatures."""
+def _near_hubs(pairs: DataFrame, classes: DataFrame, bounds: Bounds, signed: bool) -> DataFrame:
+    """The pairs (id, hub) that may be as similar as a halo by their sizes, and if signed, by their signatures too."""
     pairs = pairs.filter("id <> hub").join(classes.select("id", F.struct("n_shingles", *LANES).alias("a")), "id").select("id", "hub", "a")
     pairs = pairs.join(classes.select(F.col("id").alias("hub"), F.struct("n_shingles", *LANES).alias("b")), "hub")
-    near = pairs.select("id", "hub", F.expr(_AGREEMENT).alias("same"), (F.least("a.n_shingles", "b.n_shingles") / F.greatest("a.n_shingles", "b.n_shingles")).alias("sizes"))
-    return near.filter((F.col("same") >= bounds.halo_same) & (F.col("sizes") >= bounds.inner)).select("id", "hub", "same")
+    near = pairs.filter(F.least("a.n_shingles", "b.n_shingles") / F.greatest("a.n_shingles", "b.n_shingles") >= bounds.inner)
+    return (near.filter(F.expr(_AGREEMENT) >= bounds.halo_same) if signed else near).select("id", "hub")
 
 
 def _within(bounds: Bounds) -> str:
@@ -187,10 +186,13 @@ def _open_keys(keyed: DataFrame, state: DataFrame) -> DataFrame:
     return members.join(keys, F.struct("key") == F.col("of")).select("key", "id", "hub", "comp")
 
 
-def _strays(rows: DataFrame, star: DataFrame, classes: DataFrame, bounds: Bounds) -> DataFrame:
+def _strays(rows: DataFrame, compared: DataFrame, classes: DataFrame, bounds: Bounds) -> DataFrame:
     """(a, b): pairs of a key within the distance, of different components, of which neither is well
-    within the halo of the key's hub; rows: key, id, hub, comp."""
-    covered = star.filter(F.col("same") >= bounds.covered_same).select("id", "hub")
+    within the halo of the key's hub by its full set; rows: key, id, hub, comp.
+
+    What links to a class well within has a delta to the hub itself.
+    """
+    covered = compared.filter("covered").select(F.col("a").alias("id"), F.col("b").alias("hub"))
     left = rows.filter("id <> hub").join(covered, ["id", "hub"], "left_anti").select("key", "id", "comp")
     several = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).filter("low <> top").select(F.struct("key").alias("of"))
     left = left.join(several, F.struct("key") == F.col("of")).drop("of")
@@ -200,12 +202,12 @@ def _strays(rows: DataFrame, star: DataFrame, classes: DataFrame, bounds: Bounds
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-COMPARED = "a long, b long, linked boolean, close boolean, delta array<long>, prefix int, own int"
+COMPARED = "a long, b long, linked boolean, close boolean, covered boolean, delta array<long>, prefix int, own int"
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, words: int, bounds: Bounds) -> DataFrame:
-    """COMPARED for each pair (a, b): are the full sets similar, are they as similar as a halo,
-    and if so what sets a apart from b, its own shingles first, how much of that is its prefix, and the size of a's set.
+    """COMPARED for each pair (a, b): are the full sets similar, are they as similar as a halo
+    and well within it, and if so what sets a apart from b, its own shingles first, how much of that is its prefix, and the size of a's set.
     """
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -215,7 +217,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, words: int, bounds: Bounds) ->
 
         hashed, last, hub = WordHashes(), None, None
         for batch in batches:
-            linked, close, deltas, prefixes, sizes = [], [], [], [], []
+            linked, close, covered, deltas, prefixes, sizes = [], [], [], [], [], []
             for b, one, other in zip(batch.column("b").to_pylist(), byte_texts(batch.column("text_a")), byte_texts(batch.column("text_b")), strict=True):
                 if b != last:
                     last, hub = b, shingle_set(hashed(words_of(other)), words)
@@ -224,12 +226,13 @@ def _compare(pairs: DataFrame, texts: DataFrame, words: int, bounds: Bounds) ->
                 delta, both = len(added) + len(gone), len(own) - len(added)
                 linked.append(100 * both >= bounds.percent * (len(added) + len(hub)))
                 close.append(delta <= bounds.halo_apart * (len(own) + len(hub)))
+                covered.append(delta <= bounds.covered_apart * (len(own) + len(hub)) - 1e-6)
                 deltas.append(np.concatenate([added, gone]).view(np.int64) if close[-1] else [])
                 need = int((delta + bounds.apart * (len(hub) - len(own))) // 2) + 1
                 prefixes.append(max(delta - need + 1, 0))
                 sizes.append(len(own))
-            columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(close, pa.bool_()), pa.array(deltas, pa.list_(pa.int64())), pa.array(prefixes, pa.int32()), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "close", "delta", "prefix", "own"])
+            columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(close, pa.bool_()), pa.array(covered, pa.bool_()), pa.array(deltas, pa.list_(pa.int64())), pa.array(prefixes, pa.int32()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "close", "covered", "delta", "prefix", "own"])
 
     return both.mapInArrow(compare, COMPARED)
 
@@ -280,7 +283,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = _texts_of(docs, rows.select(F.col("uid").alias("id"), "doc_id", "same").join(homes.select("id"), "id"))
 
     # each class against its home
-    pairs = _near_hubs(homes.select("id", F.col("home").alias("hub")), narrow, bounds).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    pairs = _near_hubs(homes.select("id", F.col("home").alias("hub")), narrow, bounds, True).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     at_home = materialize(_compare(pairs, texts, words, bounds), "at-home")
     first = connected_components(at_home.filter("linked").select("a", "b"))
     state = homes.join(first, "id", "left").join(at_home.select(F.col("a").alias("id"), "close"), "id", "left")
@@ -289,13 +292,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # keys that this leaves open
     left = materialize(_open_keys(keyed, state), "open")
-    star = materialize(_near_hubs(left.select("id", "hub").distinct(), narrow, bounds), "star")
-    strays = _strays(left, star, narrow, bounds)
+    star = materialize(_near_hubs(left.select("id", "hub").distinct(), narrow, bounds, False), "star")
     of_hub = with_components(star.select(F.col("id").alias("a"), F.col("hub").alias("b")), comps)
     split = of_hub.filter("comp_a <> comp_b").select(F.struct("b").alias("of")).distinct()
     of_hub = of_hub.join(split, F.struct("b") == F.col("of"), "left_semi").select("a", "b")
-    of_hub = of_hub.join(state.select(F.col("id").alias("a"), F.col("home").alias("b")), ["a", "b"], "left_anti")
+    of_hub = of_hub.join(at_home.select("a", "b"), ["a", "b"], "left_anti")
     compared = materialize(_compare(of_hub, texts, words, bounds), "compared")
+    strays = _strays(left, at_home.union(compared), narrow, bounds)
     met = materialize(_by_delta(at_home.union(compared), comps, bounds), "met")
     met = met.join(narrow.select(F.col("id").alias("a"), F.struct("n_shingles", *LANES).alias("one")), "a").join(narrow.select(F.col("id").alias("b"), F.struct("n_shingles", *LANES).alias("other")), "b")
     met = met.select(F.struct("a", "one.*").alias("a"), F.struct("b", "other.*").alias("b")).filter(_within(bounds)).select("a.a", "b.b")

@@ -3,6 +3,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from seqengine.llm import neardup
 from seqengine.llm.neardup import drop_near_duplicates, near_duplicates
 
 from .conftest import invented
@@ -76,3 +77,19 @@ def test_edges(docs_of, empty):
     assert left.columns == docs.columns and left.filter("doc_id = 7").isEmpty()
     with pytest.raises(ValueError):
         near_duplicates(docs, percent=50)
+
+
+def test_full_sets_tell_strays(spark, docs_of):
+    """A signature that agrees with the hub's more than the sets do leaves a class among the strays; what is compared with a hub doesn't depend on it."""
+    lanes = ", ".join(f"{x} long" for x in neardup.LANES)
+    classes = spark.createDataFrame([(i, n, *[0] * 10) for i, n in ((1, 100), (2, 100), (3, 100))], f"id long, n_shingles long, {lanes}")
+    rows = spark.createDataFrame([(0, 1, 1, 1), (0, 2, 1, 2), (0, 3, 1, 3)], "key long, id long, hub long, comp long")
+    bounds = neardup.Bounds(80)
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    texts = spark.createDataFrame([(1, words(0, 100)), (2, words(24, 124)), (3, words(38, 138)), (4, words(18, 118))], "id long, text string")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "a long, b long")
+    compared = neardup._compare(pairs, texts, 1, bounds)
+    assert {(r.a, r.close, r.covered) for r in compared.collect()} == {(2, True, False), (3, False, False), (4, True, True)}
+    assert [tuple(r) for r in neardup._strays(rows, compared, classes, bounds).collect()] == [(2, 3)]
+    unlike = classes.selectExpr("id", "n_shingles", *(f"id * {0x0001000100010001} as {x}" for x in neardup.LANES))
+    assert neardup._near_hubs(rows.select("id", "hub"), unlike, bounds, False).count() == 2
