@@ -116,9 +116,12 @@ def edit(text: str, tree: CountTree, pos: int, removed: int, inserted: str, coun
     if not text or not new:
         return new, build(new, counter, leaf), len(new)
     first, start = tree.leaf_at(pos)
-    if first:
+    # one leaf with characters before it; edits leave empty ones
+    while first:
         first -= 1
         start -= int(tree.chars[tree.width + first])
+        if tree.chars[tree.width + first]:
+            break
     shift, settled = len(inserted) - removed, pos + len(inserted)
     # starts of old leaves behind the edit, in new positions, as far as they are needed
     last, ahead = first, start

@@ -47,3 +47,14 @@ def test_tables(spark, docs_of, empty):
     assert all(n == len(full(t)) for _, t, n in out)
     assert apply_edits(count_trees(empty), edits).isEmpty()
     assert apply_edit_lists(trees.selectExpr("*", "cast(null as array<struct<pos: long, removed: long, inserted: string>>) as edits")).count() == 6
+
+
+def test_insertion_behind_an_empty_leaf(counter):
+    full = encoder(default_ranks()).encode_ordinary
+    text = " word" * 16
+    tree = build(text, counter, 2)
+    text, tree, _ = edit(text, tree, 10, 30, "", counter, 2)
+    leaves = tree.chars[tree.width :].tolist()
+    at = next(i for i in range(1, len(leaves)) if leaves[i] and not leaves[i - 1])
+    text, tree, _ = edit(text, tree, sum(leaves[:at]), 0, "s", counter, 2)
+    assert "words" in text and tree.tokens[1] == len(full(text)) and tree.chars[1] == len(text)
