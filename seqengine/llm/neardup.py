@@ -11,13 +11,14 @@ Groups are not expanded into pairs. Documents with the same words are one class.
 the more central the more classes share its keys. Each key has a hub, its most central
 class, and each class a home, the most central of the hubs of its keys. Classes are first
 compared with their homes only, and what links is one component. A key whose classes are in
-one component by then is settled. In the others, classes near the same hub are compared by
-what sets them apart from it (their delta): if x isn't linked to the hub, a link of x and y
-needs an overlap of more than half of y's delta, so a prefix of that length of y's delta
-meets x's delta. Prefixes take the elements first that the fewest such x have. Classes of a
-key that are not well within reach of its hub, by their full sets, are compared with each other, each pair in the first key that
-both have. Pairs within a component are left out. No key is capped, and no link between
-components is lost in a large group.
+one component by then is settled. In the others all classes are compared with the hub, on
+full sets. Two classes near the same hub are compared by what sets them apart from it
+(their delta): if x isn't linked to the hub, a link of x and y needs an overlap of more than
+half of y's delta, so a prefix of that length of y's delta meets x's delta. A class that is
+not near its key's hub meets the others by prefixes of their sets, the rarest shingles
+first: a link needs a common one in both. Pairs within a component are left out. No key is
+capped, and a pair within the distance is lost by none of this: all of it is decided on full
+sets.
 
 Rows and edge cases: null and empty texts have no words, an empty set and no link; a text
 of fewer words than a shingle is one shingle; repeated rows are linked by their equal
@@ -34,6 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import ASCII_LOWER, WordHashes, byte_texts, connected_components, fresh, gram_hashes, materialize, mix64
 
 CHUNKS, PER_CHUNK = 10, 4
@@ -70,8 +72,14 @@ def _digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, kept in the shared folder with a number for each row, and the name of that column."""
+    uid = fresh(docs, "uid")
+    return materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "documents"), uid
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """uid, doc_id, n_shingles, digest of the words, and the signature, for each row of docs (doc_id, text)."""
+    """uid, doc_id, n_shingles, digest of the words, and the signature, for each row of docs (uid, doc_id, text)."""
 
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -89,27 +97,18 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             columns = [batch.column("uid"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(lanes[:, i].copy()) for i in range(CHUNKS))]
             yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n_shingles", "same", *LANES])
 
-    docs = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(sign, "uid long, doc_id long, n_shingles long, same binary, " + ", ".join(f"{x} long" for x in LANES))
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
     """(key, id): each chunk of each signature with each one of its values left out, exactly as bits."""
-
-    def keys(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            lanes = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in LANES], axis=1).astype(np.int64)
-            values = np.ascontiguousarray(lanes).view(np.uint16).reshape(-1, CHUNKS, PER_CHUNK).astype(np.int64)
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for chunk in range(CHUNKS):
-                for out in range(PER_CHUNK):
-                    a, b, c = (values[:, chunk, i] for i in range(PER_CHUNK) if i != out)
-                    key = a | (b << 16) | (c << 32) | ((chunk * PER_CHUNK + out) << 48)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], names=["key", "id"])
-
-    return classes.select("id", *LANES).mapInArrow(keys, "key long, id long")
+    keys = []
+    for chunk, lane in enumerate(LANES):
+        for out in range(PER_CHUNK):
+            low = (1 << 16 * out) - 1
+            high = ((1 << 48) - 1) & ~low
+            keys.append(f"(({lane} & {low}L) | (shiftrightunsigned({lane}, 16) & {high}L) | {(chunk * PER_CHUNK + out) << 48}L)")
+    return classes.select(F.explode(F.array(*map(F.expr, keys))).alias("key"), "id")
 
 
 def _same_values(lane: str) -> str:
@@ -120,20 +119,13 @@ def _same_values(lane: str) -> str:
 _AGREEMENT = " + ".join(f"({_same_values(lane)})" for lane in LANES)
 
 
-def _first_shared_key() -> str:
-    """SQL: is the key of row a the first one that the signatures of a and b share? Keys are numbered by chunk and value left out."""
-    number = f"(a.key >>> 48) % {PER_CHUNK}"
-    cases = " ".join(
-        f"when {c} then ({_same_values(lane)} = {PER_CHUNK - 1} or {number} = 0)" + "".join(f" and {_same_values(before)} < {PER_CHUNK - 1}" for before in LANES[:c]) for c, lane in enumerate(LANES)
-    )
-    return f"case (a.key >>> 48) div {PER_CHUNK} {cases} end"
-
-
 class Bounds:
     """What a similarity of percent means for signatures and deltas.
 
     A hub's halo is what is similar to it by `inner`; whatever is similar enough to link to a
     class that is similar to the hub by inner + 1 - percent, is in the halo as well.
+    A home is compared only with what agrees with it in halo_same values; what that leaves
+    out is compared in the keys that stay open.
     """
 
     def __init__(self, percent: int):
@@ -186,20 +178,42 @@ def _open_keys(keyed: DataFrame, state: DataFrame) -> DataFrame:
     return members.join(keys, F.struct("key") == F.col("of")).select("key", "id", "hub", "comp")
 
 
-def _strays(rows: DataFrame, compared: DataFrame, classes: DataFrame, bounds: Bounds) -> DataFrame:
-    """(a, b): pairs of a key within the distance, of different components, of which neither is well
-    within the halo of the key's hub by its full set; rows: key, id, hub, comp.
+def _strays(rows: DataFrame, compared: DataFrame, texts: DataFrame, words: int, bounds: Bounds) -> DataFrame:
+    """(a, b): classes of open keys and different components that may be similar, of which at least one is not near
+    the hub of a key; rows: key, id, hub, comp.
 
-    What links to a class well within has a delta to the hub itself.
+    Two classes near a key's hub have deltas to it, and what links to a class well within the
+    halo is near; so neither of these is left out. The rest meet by prefixes of their
+    shingles, the rarest among them first: similar sets have one of each other's prefix, and
+    behind the first common place room for the overlap that they need.
     """
-    covered = compared.filter("covered").select(F.col("a").alias("id"), F.col("b").alias("hub"))
-    left = rows.filter("id <> hub").join(covered, ["id", "hub"], "left_anti").select("key", "id", "comp")
-    several = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).filter("low <> top").select(F.struct("key").alias("of"))
-    left = left.join(several, F.struct("key") == F.col("of")).drop("of")
-    left = materialize(left.join(classes, "id"), "strays")
-    near = f"a.comp <> b.comp and {_within(bounds)} and {_first_shared_key()}"
-    met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & F.expr(near))
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    near = compared.filter("close").select(F.col("a").alias("id"), F.col("b").alias("hub"), "covered")
+    left = rows.filter("id <> hub").join(near, ["id", "hub"], "left").select("key", "id", "comp", F.col("covered").isNull().alias("far"), F.coalesce("covered", F.lit(False)).alias("covered"))
+    left = left.filter("not covered")
+    several = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), F.bool_or("far").alias("any_far")).filter("low <> top and any_far").select(F.struct("key").alias("of"))
+    left = left.join(several, F.struct("key") == F.col("of")).groupBy("id").agg(F.first("comp").alias("comp"), F.bool_or("far").alias("far"))
+
+    def sets(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        hashed = WordHashes()
+        for batch in batches:
+            found = [shingle_set(hashed(words_of(t)), words).view(np.int64) for t in byte_texts(batch.column("text"))]
+            columns = [batch.column("id"), batch.column("comp"), batch.column("far"), pa.array([len(f) for f in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "comp", "far", "size", "shingles"])
+
+    left = materialize(left.join(texts, "id").select("id", "comp", "far", "text").mapInArrow(sets, "id long, comp long, far boolean, size int, shingles array<long>"), "strays")
+    parts = left.select("id", "comp", "far", "size", F.explode("shingles").alias("shingle"))
+    # a shingle of one class alone only takes a place before the others
+    counts = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = parts.join(counts, "shingle").groupBy("id", "comp", "far", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("met"))
+    places = met.select("id", "comp", "far", "size", F.size("met").alias("shared"), F.posexplode("met").alias("i", "one"))
+    places = places.select("id", "comp", "far", "size", (F.col("size") - F.col("shared") + F.col("i") + 1).alias("place"), F.col("one.shingle").alias("shingle"))
+    places = materialize(places.filter(f"place <= size - ceil({bounds.percent} * size / 100) + 1"), "prefixes")
+    other = places.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("id", "comp", "far", "size", "place")))
+    room = f"{100 + bounds.percent} * (1 + least(size - place, size_b - place_b)) >= {bounds.percent} * (size + size_b)"
+    pairs = places.join(other, "shingle").filter(f"id < id_b and comp <> comp_b and (far or far_b) and {room}")
+    return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 COMPARED = "a long, b long, linked boolean, close boolean, covered boolean, delta array<long>, prefix int, own int"
@@ -268,71 +282,65 @@ def with_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    Links documents with 100 * intersection >= percent * union of their shingle sets.
-    """
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """uid, doc_id, n_shingles, component_id and stays (is it the row with the smallest doc_id of its component?)
+    for each row of docs (uid, doc_id, text)."""
     bounds = Bounds(percent)
     rows = materialize(signatures(docs, words), "signatures")
-    classes = rows.filter("n_shingles > 0").groupBy("same", "n_shingles", *LANES).agg(F.min("uid").alias("id"), F.min("doc_id").alias("low_doc"))
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid")
+    classes = rows.filter("n_shingles > 0").groupBy("same", "n_shingles", *LANES).agg(F.min("uid").alias("id"), F.min(first).alias("first"))
     classes = materialize(classes, "classes")
     narrow = classes.select("id", "n_shingles", *LANES)
     keyed, homes = central_hubs(narrow)
     homes = materialize(homes, "homes")
-    texts = _texts_of(docs, rows.select(F.col("uid").alias("id"), "doc_id", "same").join(homes.select("id"), "id"))
+    texts = materialize(docs.select(F.col("uid").alias("id"), "text").join(homes.select("id"), "id"), "texts")
 
     # each class against its home
     pairs = _near_hubs(homes.select("id", F.col("home").alias("hub")), narrow, bounds, True).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     at_home = materialize(_compare(pairs, texts, words, bounds), "at-home")
-    first = connected_components(at_home.filter("linked").select("a", "b"))
-    state = homes.join(first, "id", "left").join(at_home.select(F.col("a").alias("id"), "close"), "id", "left")
+    linked = connected_components(at_home.filter("linked").select("a", "b"))
+    state = homes.join(linked, "id", "left").join(at_home.select(F.col("a").alias("id"), "close"), "id", "left")
     state = materialize(state.select("id", "home", F.coalesce("comp", "id").alias("comp"), ((F.col("id") == F.col("home")) | F.coalesce("close", F.lit(False))).alias("at_home")), "state")
     comps = state.select("id", "comp")
 
     # keys that this leaves open
     left = materialize(_open_keys(keyed, state), "open")
-    star = materialize(_near_hubs(left.select("id", "hub").distinct(), narrow, bounds, False), "star")
-    of_hub = with_components(star.select(F.col("id").alias("a"), F.col("hub").alias("b")), comps)
-    split = of_hub.filter("comp_a <> comp_b").select(F.struct("b").alias("of")).distinct()
-    of_hub = of_hub.join(split, F.struct("b") == F.col("of"), "left_semi").select("a", "b")
+    of_hub = _near_hubs(left.select("id", "hub").distinct(), narrow, bounds, False).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     of_hub = of_hub.join(at_home.select("a", "b"), ["a", "b"], "left_anti")
     compared = materialize(_compare(of_hub, texts, words, bounds), "compared")
-    strays = _strays(left, at_home.union(compared), narrow, bounds)
-    met = materialize(_by_delta(at_home.union(compared), comps, bounds), "met")
+    strays = _strays(left, at_home.union(compared), texts, words, bounds)
+    met = strays.union(_by_delta(at_home.union(compared), comps, bounds)).distinct()
     met = met.join(narrow.select(F.col("id").alias("a"), F.struct("n_shingles", *LANES).alias("one")), "a").join(narrow.select(F.col("id").alias("b"), F.struct("n_shingles", *LANES).alias("other")), "b")
     met = met.select(F.struct("a", "one.*").alias("a"), F.struct("b", "other.*").alias("b")).filter(_within(bounds)).select("a.a", "b.b")
-    more = _compare(strays.union(met).distinct(), texts, words, bounds)
+    more = _compare(materialize(met, "met"), texts, words, bounds)
     links = compared.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b"))
     between = with_components(links, comps).filter("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
     last = connected_components(between).select(F.col("id").alias("comp"), F.col("comp").alias("joined"))
     comps = comps.join(last, "comp", "left").select("id", F.coalesce("joined", "comp").alias("comp"))
 
-    members = classes.select("same", "id", "low_doc").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    lows = members.groupBy("comp").agg(F.min("low_doc").alias("component_id"))
-    members = members.join(lows.select(F.struct("comp").alias("of"), "component_id"), F.struct("comp") == F.col("of")).select(F.struct("same").alias("as"), "component_id")
+    members = classes.select("same", "id", "first").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    lows = members.groupBy("comp").agg(F.min("first").alias("low"))
+    members = members.join(lows.select(F.struct("comp").alias("of"), "low"), F.struct("comp") == F.col("of")).select(F.struct("same").alias("as"), "low")
     out = rows.join(members, (F.struct("same") == F.col("as")) & (F.col("n_shingles") > 0), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("uid", "doc_id", "n_shingles", F.coalesce("low.doc_id", "doc_id").alias("component_id"), F.coalesce(F.col("uid") == F.col("low.uid"), F.lit(True)).alias("stays"))
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of the wanted (id, doc_id, same). A doc_id may come with other texts too."""
-
-    def own(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = [_digest(words_of(t)) == same for t, same in zip(byte_texts(batch.column("text")), batch.column("same").to_pylist(), strict=True)]
-            yield batch.select(["id", "text"]).filter(pa.array(keep, pa.bool_()))
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    met = texts.join(wanted.withColumnRenamed("doc_id", "wanted"), texts.doc_id.eqNullSafe(F.col("wanted")))
-    return materialize(met.select("id", "text", "same").mapInArrow(own, "id long, text string"), "texts")
+    Links documents with 100 * intersection >= percent * union of their shingle sets.
+    """
+    own, uid = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = _components(own.select(F.col(uid).alias("uid"), "doc_id", "text"), words, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document, that with the smallest id, of each component."""
-    gone = near_duplicates(docs, words, percent).groupBy("doc_id").agg(F.max("kept").alias("any_kept")).filter("not any_kept")
-    name = fresh(docs, "_gone")
-    return docs.join(gone.select(F.col("doc_id").alias(name)), docs.doc_id.eqNullSafe(F.col(name)), "left_anti")
+    """docs, with all their columns, with one row of each component: that with the smallest doc_id, of equal ones any one.
+
+    Rows are told apart by a number of their own, so null and repeated ids do no harm.
+    """
+    ship(docs.sparkSession)
+    own, uid = numbered(docs)
+    found = _components(own.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent)
+    return own.join(found.filter("not stays").select(F.col("uid").alias(uid)), uid, "left_anti").select(*docs.columns)

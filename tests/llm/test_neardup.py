@@ -51,12 +51,16 @@ def test_like_brute_force(docs_of, rng):
         chain = edited(rng, chain, 2)
     passage = invented(rng, 60)
     texts += [f"{invented(rng, 40)} {passage} {invented(rng, 40)}" for _ in range(40)]
-    texts += ["a b c", "A B  C", "a b c d", "a b c d e", "", None, "   "]
+    # two thirds of them are one passage: keys without a link; some have a partner
+    passage = invented(rng, 200)
+    own = [f"{invented(rng, 60)} {passage} {invented(rng, 60)}" for _ in range(40)]
+    texts += own + [edited(rng, t, 3) for t in own[::6]]
+    long = invented(rng, 100_000)
+    texts += [long, long + " and a few words more", "a b c", "A B  C", "a b c d", "a b c d e", "", None, "   "]
     order = list(range(len(texts)))
     rng.shuffle(order)
     rows = [(i, texts[k]) for i, k in enumerate(order)]
-    for words in (4, 5):
-        assert {tuple(r) for r in near_duplicates(docs_of(rows), words, 80).collect()} == brute(rows, words, 80)
+    assert {tuple(r) for r in near_duplicates(docs_of(rows), 4, 80).collect()} == brute(rows, 4, 80)
 
 
 def test_links_without_the_hub(docs_of, rng):
@@ -74,22 +78,46 @@ def test_edges(docs_of, empty):
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in found.collect()) == [(-1, 5, False), (5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True), (9, 9, True)]
     assert near_duplicates(empty).isEmpty()
     left = drop_near_duplicates(docs)
-    assert left.columns == docs.columns and left.filter("doc_id = 7").isEmpty()
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [5, 8, 9]
     with pytest.raises(ValueError):
         near_duplicates(docs, percent=50)
 
 
-def test_full_sets_tell_strays(spark, docs_of):
-    """A signature that agrees with the hub's more than the sets do leaves a class among the strays; what is compared with a hub doesn't depend on it."""
-    lanes = ", ".join(f"{x} long" for x in neardup.LANES)
-    classes = spark.createDataFrame([(i, n, *[0] * 10) for i, n in ((1, 100), (2, 100), (3, 100))], f"id long, n_shingles long, {lanes}")
-    rows = spark.createDataFrame([(0, 1, 1, 1), (0, 2, 1, 2), (0, 3, 1, 3)], "key long, id long, hub long, comp long")
+def test_full_sets_tell_strays(spark):
+    """What is near a hub is decided on full sets; of classes that aren't, only similar ones meet."""
+    rows = spark.createDataFrame([(0, 1, 1, 1), (0, 2, 1, 2), (0, 3, 1, 3), (0, 5, 1, 5), (0, 6, 1, 6)], "key long, id long, hub long, comp long")
     bounds = neardup.Bounds(80)
     words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
-    texts = spark.createDataFrame([(1, words(0, 100)), (2, words(24, 124)), (3, words(38, 138)), (4, words(18, 118))], "id long, text string")
-    pairs = spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "a long, b long")
+    texts = spark.createDataFrame([(1, words(0, 100)), (2, words(24, 124)), (3, words(30, 130)), (5, words(44, 144)), (6, words(45, 145))], "id long, text string")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (5, 1), (6, 1)], "a long, b long")
     compared = neardup._compare(pairs, texts, 1, bounds)
-    assert {(r.a, r.close, r.covered) for r in compared.collect()} == {(2, True, False), (3, False, False), (4, True, True)}
-    assert [tuple(r) for r in neardup._strays(rows, compared, classes, bounds).collect()] == [(2, 3)]
-    unlike = classes.selectExpr("id", "n_shingles", *(f"id * {0x0001000100010001} as {x}" for x in neardup.LANES))
-    assert neardup._near_hubs(rows.select("id", "hub"), unlike, bounds, False).count() == 2
+    assert {(r.a, r.close, r.covered) for r in compared.collect()} == {(2, True, False), (3, True, False), (5, False, False), (6, False, False)}
+    assert (5, 6) in {tuple(r) for r in neardup._strays(rows, compared, texts, 1, bounds).collect()}
+    lanes = ", ".join(f"{x} long" for x in neardup.LANES)
+    unlike = spark.createDataFrame([(i, 100, *[i * 0x0001000100010001] * 10) for i in (1, 2, 3)], f"id long, n_shingles long, {lanes}")
+    assert neardup._near_hubs(rows.filter("id < 4").select("id", "hub"), unlike, bounds, False).count() == 2
+
+
+def test_chunk_keys(spark, rng):
+    """Two classes share a key just if a chunk of theirs has at most one different value."""
+    values = [[rng.randrange(1 << 16) for _ in range(40)]]
+    for k in (0, 1, 2):  # change k values of each chunk
+        values.append([v ^ 0x8001 if i % 4 < k else v for i, v in enumerate(values[0])])
+    lane = lambda v: [int.from_bytes(b"".join(x.to_bytes(2, "little") for x in v[i : i + 4]), "little", signed=True) for i in range(0, 40, 4)]
+    classes = spark.createDataFrame([(i, *lane(v)) for i, v in enumerate(values)], "id long, " + ", ".join(f"{x} long" for x in neardup.LANES))
+    keys = {i: {r.key for r in neardup.chunk_keys(classes).filter(f"id = {i}").collect()} for i in range(4)}
+    assert [len(keys[0] & keys[i]) for i in range(4)] == [40, 40, 10, 0] and len(keys[0] & keys[2]) == 10
+
+
+def test_drop_by_row(spark, docs_of):
+    """Null and repeated ids, and columns named like the operator's own: one row of each group stays, in whatever order ids come."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    more = text + " more"
+    rows = [(3, text), (5, more), (5, "another clean text of its own words that nobody else has"), (None, more), (None, "a clean text without an id but of some length"), (7, None), (7, ""), (None, None), (9, "x y"), (9, "x y"), (None, "q r s"), (None, "Q r  s")]
+    docs = docs_of(rows).withColumn("uid", F.lit(4)).withColumn("UID_", F.lit(5)).withColumn("stays", F.lit(True))
+    left = drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    found = sorted(((r.doc_id or 0, r.text) for r in left.collect()), key=str)
+    texts = [t for _, t in found]
+    assert (3, text) in found and more not in texts and rows[2] in found and texts.count("x y") == 1
+    assert texts.count(None) == 2 and texts.count("") == 1 and len([t for t in texts if (t or "").lower().startswith("q")]) == 1 and len(found) == 8
