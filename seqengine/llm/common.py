@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_folder, ship
+from ..session import materialize, ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,13 +35,10 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: this cuts the lineage, and the
-    table outlives lost executors. The tables go when the driver process ends."""
-    spark = df.sparkSession
-    path = scratch_folder(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, kept in the shared folder with a number for each row, and the name of that column."""
+    uid = fresh(docs, "uid")
+    return materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "documents"), uid
 
 
 #: For bytes.translate: A-Z to a-z.

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import ASCII_LOWER, WordHashes, byte_texts, connected_components, fresh, gram_hashes, materialize, mix64
+from .common import ASCII_LOWER, WordHashes, byte_texts, connected_components, gram_hashes, materialize, mix64, numbered
 
 CHUNKS, PER_CHUNK = 10, 4
 VALUES = CHUNKS * PER_CHUNK
@@ -72,12 +72,6 @@ def _digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, kept in the shared folder with a number for each row, and the name of that column."""
-    uid = fresh(docs, "uid")
-    return materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "documents"), uid
-
-
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """uid, doc_id, n_shingles, digest of the words, and the signature, for each row of docs (uid, doc_id, text)."""
 

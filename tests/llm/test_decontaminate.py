@@ -49,6 +49,28 @@ def test_like_brute_force(spark, docs_of, rng, most):
     assert left.columns == docs_of(docs).columns and {r.doc_id for r in left.collect()} == clean
 
 
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_drop_by_row(spark, docs_of, rng, most):
+    """Null and repeated ids: each row goes or stays by its own text; clashing columns are kept."""
+    item = invented(rng, 14)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, "a clean text"), (None, f"x {item} y"), (7, "clean seven"), (7, item), (8, "z"), (None, None), (7, "")]
+    docs = docs_of(rows).selectExpr("*", "1 as uid", "2 as hits", "3 as n_words", "4 as Uid_")
+    left = drop_contaminated(docs, benchmark, broadcast_bytes=most)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(((i, t) for i, t in rows if item not in (t or "")), key=str)
+    found = find_contamination(docs, benchmark, broadcast_bytes=most).collect()
+    assert sorted((r.doc_id or -1, len(r.hits)) for r in found) == [(-1, 0), (-1, 0), (-1, 14), (7, 0), (7, 0), (7, 14), (8, 0)]
+
+
+def test_long_text(docs_of, spark, rng):
+    item, long = invented(rng, 12), invented(rng, 120_000)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for most in (1 << 24, 0):
+        found = find_contamination(docs_of([(1, f"{long} {item} {long}")]), benchmark, broadcast_bytes=most).first()
+        assert found.n_words == 240_012 and found.hits == list(range(120_000, 120_012))
+
+
 def test_empty(spark, docs_of, empty):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     report = contamination_report(find_contamination(docs_of([(1, "a b"), (None, None)]), benchmark))
