@@ -12,7 +12,7 @@ from .decontaminate import contamination_report, find_contamination
 from .exact_dedup import exact_groups
 from .html_extract import extract_text
 from .langid import language_report
-from .license_scan import TEMPLATES, corpus_paths, scan_licenses
+from .license_scan import SPEAKS, TEMPLATES, corpus_paths, scan_licenses
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import score_quality, train_quality
@@ -119,29 +119,35 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_SPEAKS = "licen[sc]|permission is hereby|redistribution and use|public domain"
-_WORDS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+_QUOTED = [(name, text.replace("'", "''")) for name, text in TEMPLATES]
+_ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"list_filter(string_split_regex({_ASCII}, '[^a-z0-9]+'), lambda w: w <> '')"
+_JOINED = r"trim(regexp_replace({}, '[ \t\r\n]+', ' ', 'g'))"
 OP10_SQL = rf"""
-WITH templates(template, license, notice) AS (VALUES {", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))}),
+WITH templates(template, license, notice) AS (VALUES {", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(_QUOTED))}),
 files AS (
-  SELECT doc_id, text, CASE WHEN doc_id % 1000 = 0 THEN '/corpus/' || doc_id // 1000 || '/LICENSE' WHEN doc_id % 50 = 0 THEN '/corpus/' || doc_id // 1000 || '/' || doc_id // 50 || '/LICENSE'
+  SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 1000 = 0 THEN '/corpus/' || doc_id // 1000 || '/LICENSE' WHEN doc_id % 50 = 0 THEN '/corpus/' || doc_id // 1000 || '/' || doc_id // 50 || '/LICENSE'
     ELSE '/corpus/' || doc_id // 1000 || '/' || doc_id // 50 || '/' || doc_id || '.txt' END AS path FROM documents
-), lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM files),
+), speaking AS (SELECT * FROM files WHERE regexp_matches(text, '(?i)(?:{SPEAKS})')),
+blocks AS (SELECT doc_id, {_JOINED.format("part")} AS notice FROM (SELECT doc_id, unnest(string_split_regex(text, '\n[ \t\r]*\n')) AS part FROM speaking)),
+lines AS (SELECT doc_id, {_JOINED.format("part")} AS notice FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS part FROM speaking)),
+sentences AS (SELECT doc_id, unnest(string_split(regexp_replace(notice, '([.;!?]) ', '\1' || chr(10), 'g'), chr(10))) AS notice FROM (SELECT * FROM lines UNION ALL SELECT * FROM blocks)),
 said AS (
-  SELECT DISTINCT doc_id, trim(part) AS sentence FROM (SELECT doc_id, unnest(string_split(regexp_replace(line, '([.;!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS part FROM lines WHERE regexp_matches(line, '(?i)(?:{_SPEAKS})'))
-  WHERE regexp_matches(trim(part), '(?i)(?:{_SPEAKS})')
-), sentences AS (SELECT sentence, count(*) AS n FROM said GROUP BY sentence),
-total AS (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS n FROM sentences),
-df AS (SELECT word, sum(n) AS df FROM (SELECT n, unnest(list_distinct({_WORDS.format("sentence")})) AS word FROM sentences) GROUP BY word),
-own AS (SELECT sentence, word, count(*) * (ln((1 + any_value(total.n)) / (1 + coalesce(any_value(df), 0))) + 1) AS weight FROM (SELECT sentence, unnest({_WORDS.format("sentence")}) AS word FROM sentences) LEFT JOIN df USING (word), total GROUP BY sentence, word),
-theirs AS (SELECT template, license, word, count(*) * (ln((1 + any_value(total.n)) / (1 + coalesce(any_value(df), 0))) + 1) AS weight FROM (SELECT template, license, unnest({_WORDS.format("notice")}) AS word FROM templates) LEFT JOIN df USING (word), total GROUP BY template, license, word),
-own_norms AS (SELECT sentence, sqrt(sum(weight * weight)) AS norm FROM own GROUP BY sentence),
+  SELECT DISTINCT doc_id, notice FROM (SELECT * FROM blocks UNION ALL SELECT * FROM sentences UNION ALL SELECT doc_id, {_JOINED.format("text")} FROM speaking WHERE regexp_matches(path, '/LICENSE$'))
+  WHERE regexp_matches(notice, '(?i)(?:{SPEAKS})')
+), units AS (SELECT notice, count(*) AS n FROM said GROUP BY notice),
+everything AS (SELECT notice, n FROM units UNION ALL SELECT notice, 1 FROM templates),
+total AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM everything),
+idf AS (SELECT word, ln((1 + any_value(total.n)) / (1 + sum(e.n))) + 1 AS idf FROM (SELECT n, unnest(list_distinct({_WORDS.format("notice")})) AS word FROM everything) e, total GROUP BY word),
+own AS (SELECT notice, word, count(*) * any_value(idf) AS weight FROM (SELECT notice, unnest({_WORDS.format("notice")}) AS word FROM units) JOIN idf USING (word) GROUP BY notice, word),
+theirs AS (SELECT template, license, word, count(*) * any_value(idf) AS weight FROM (SELECT template, license, unnest({_WORDS.format("notice")}) AS word FROM templates) JOIN idf USING (word) GROUP BY template, license, word),
+own_norms AS (SELECT notice, sqrt(sum(weight * weight)) AS norm FROM own GROUP BY notice),
 their_norms AS (SELECT template, sqrt(sum(weight * weight)) AS norm FROM theirs GROUP BY template),
 scored AS (
-  SELECT sentence, license, round(sum(own.weight * theirs.weight) / (any_value(own_norms.norm) * any_value(their_norms.norm)), 6) AS score
-  FROM own JOIN theirs USING (word) JOIN own_norms USING (sentence) JOIN their_norms USING (template) GROUP BY sentence, template, license
-), known AS (SELECT sentence, license, score FROM (SELECT *, row_number() OVER (PARTITION BY sentence ORDER BY score DESC, license) AS k FROM scored WHERE score >= 0.7) WHERE k = 1),
-best AS (SELECT doc_id, license AS own_license, score AS own_score FROM (SELECT doc_id, license, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM said JOIN known USING (sentence)) WHERE k = 1),
+  SELECT notice, license, round(sum(own.weight * theirs.weight) / (any_value(own_norms.norm) * any_value(their_norms.norm)), 6) AS score
+  FROM own JOIN theirs USING (word) JOIN own_norms USING (notice) JOIN their_norms USING (template) GROUP BY notice, template, license
+), known AS (SELECT notice, license, score FROM (SELECT *, row_number() OVER (PARTITION BY notice ORDER BY score DESC, license) AS k FROM scored WHERE score >= 0.7) WHERE k = 1),
+best AS (SELECT doc_id, license AS own_license, score AS own_score FROM (SELECT doc_id, license, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM said JOIN known USING (notice)) WHERE k = 1),
 found AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, own_license, own_score FROM files LEFT JOIN best USING (doc_id)),
 licensed AS (SELECT dir AS above, own_license AS dir_license FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license) AS k FROM found WHERE own_license IS NOT NULL AND regexp_matches(path, '/LICENSE$')) WHERE k = 1),
 near AS (SELECT dir, above, dir_license FROM (SELECT d.dir, l.above, l.dir_license, row_number() OVER (PARTITION BY d.dir ORDER BY length(l.above) DESC) AS k FROM (SELECT DISTINCT dir FROM found) d JOIN licensed l ON d.dir = l.above OR starts_with(d.dir, l.above || '/')) WHERE k = 1)
