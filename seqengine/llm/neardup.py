@@ -42,6 +42,8 @@ CHUNKS, PER_CHUNK = 10, 4
 VALUES = CHUNKS * PER_CHUNK
 MOST_DIFFERENT = 2 * CHUNKS - 1
 LEAST_PERCENT = 80
+#: Shingles are counted in so many buckets (2 MB) to find the common ones.
+BUCKET_BITS = 18
 #: A signature is kept as 10 numbers of 4 values each.
 LANES = [f"s{i}" for i in range(CHUNKS)]
 
@@ -197,19 +199,52 @@ def _strays(rows: DataFrame, compared: DataFrame, texts: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays(columns, names=["id", "comp", "far", "size", "shingles"])
 
     left = materialize(left.join(texts, "id").select("id", "comp", "far", "text").mapInArrow(sets, "id long, comp long, far boolean, size int, shingles array<long>"), "strays")
-    parts = left.select("id", "comp", "far", "size", F.explode("shingles").alias("shingle"))
-    # a shingle of one class alone only takes a place before the others
-    counts = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = parts.join(counts, "shingle").groupBy("id", "comp", "far", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("met"))
-    places = met.select("id", "comp", "far", "size", F.size("met").alias("shared"), F.posexplode("met").alias("i", "one"))
-    places = places.select("id", "comp", "far", "size", (F.col("size") - F.col("shared") + F.col("i") + 1).alias("place"), F.col("one.shingle").alias("shingle"))
-    places = materialize(places.filter(f"place <= size - ceil({bounds.percent} * size / 100) + 1"), "prefixes")
+    counts = left.sparkSession.sparkContext.broadcast(_bucket_counts(left))
+
+    def prefixes(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, places, found = [], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+            for i, own in enumerate(batch.column("shingles")):
+                own = own.values.to_numpy()
+                length = len(own) - -(-bounds.percent * len(own) // 100) + 1
+                found.append(own[np.lexsort([own, counts.value[_bucket(own)]])][:length])
+                places.append(np.arange(1, length + 1, dtype=np.int32))
+                rows += [i] * length
+            columns = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("id", "comp", "far", "size")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(places)), pa.array(np.concatenate(found))], names=["id", "comp", "far", "size", "place", "shingle"])
+
+    places = materialize(left.mapInArrow(prefixes, "id long, comp long, far boolean, size int, place int, shingle long"), "prefixes")
     other = places.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("id", "comp", "far", "size", "place")))
     room = f"{100 + bounds.percent} * (1 + least(size - place, size_b - place_b)) >= {bounds.percent} * (size + size_b)"
     pairs = places.join(other, "shingle").filter(f"id < id_b and comp <> comp_b and (far or far_b) and {room}")
     return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _bucket_counts(sets: DataFrame) -> np.ndarray:
+    """In how many sets the shingles of each bucket are, a table of fixed size. It tells common shingles from rare ones;
+    any order that is the same for all sets gives right prefixes."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(_bucket(batch.column("shingles").flatten().to_numpy()), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    summed = sets.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    out[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
+    return out
+
+
 COMPARED = "a long, b long, linked boolean, close boolean, covered boolean, delta array<long>, prefix int, own int"
 
 
