@@ -1,17 +1,21 @@
 """Toxicity by weak supervision.
 
-Voters are words of small hand-made lexicons, patterns (shouting, masked letters, "you
-are a ..."), and word beginnings induced from labelled rows for learning. A generative
-label model with a hidden class, anchored by the labels, estimates by expectation maximisation how
-often each voter fires in either class, and from the covariances that the classes don't explain
-which voters are correlated; correlated voters are joined to one. A linear classifier on
-words and word beginnings is trained on the posterior labels and scores every whole text.
+Voters are small hand-made lexicons, patterns (shouting, masked letters, "you are a ..."),
+and words and word beginnings that labelled rows for learning suggest. A generative label
+model with a hidden type estimates, by expectation maximisation and from the votes alone, how
+often each voter fires in either type, and which voters are correlated beyond the type; these
+depend on each other in the model (a forest). A type is started for each group of voters that
+fire together (those of a language, as a rule), and one for rows without a vote that counts.
+A small part of the rows (`anchor`) shows its labels, which tell what share of each type is
+toxic. A linear classifier on words, word beginnings, lexicons and patterns is trained on the
+posterior labels and scores every whole text.
 
 The voters and models are fitted on a bounded sample of labelled rows (`sample`). Rows
 and edge cases: a null or empty text has no features and gets the score of the bias; with
-no labelled row the hand-made lexicons alone decide (any hit scores 0.9); repeated rows
-get equal scores; a null doc_id is not held out; an empty table gives an empty result;
-other columns are ignored.
+no labelled row of label 1 the hand-made lexicons alone decide (any hit scores 0.9), and a lexicon
+without a hit in the sample scores 0.73 by itself; rows of an id that is repeated in docs
+teach once, by their least text; repeated rows get equal scores; a null doc_id is not held out; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import byte_texts
 from .linear import fold, labelled_sample, soft_logistic
 
@@ -57,62 +62,102 @@ def words_of(text: bytes) -> set[str]:
     return set(_WORD.findall(text.decode("utf-8", "replace").lower()))
 
 
-class LabelModel:
-    """Class-conditional firing rates of voters with a hidden class, by expectation maximisation.
+def _forest(strength: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """(parent, tree) of each voter: the strongest links first, as long as they close no circle; a tree hangs from its first voter."""
+    m, tree = len(strength), list(range(len(strength)))
+    near: list[list[int]] = [[] for _ in range(m)]
+    pairs = [(strength[i, j], i, j) for i in range(m) for j in range(i + 1, m) if strength[i, j] > least]
+    for _, i, j in sorted(pairs, reverse=True):
+        if tree[i] != tree[j]:
+            old, new = sorted((tree[i], tree[j]))[::-1]
+            tree = [new if t == old else t for t in tree]
+            near[i].append(j)
+            near[j].append(i)
+    parents, reached = [-1] * m, set()
+    for root in range(m):
+        todo = [] if root in reached else [root]
+        while todo:
+            one = todo.pop()
+            reached.add(one)
+            for other in near[one]:
+                if other not in reached:
+                    parents[other] = one
+                    todo.append(other)
+    return parents, tree
+
 
-    Voters that never meet don't determine the class. So, where labels y are given, the rates
-    in either class count `anchor` times as much as the hidden ones, and a voter's precision
-    stays near its precision in the labels.
+class LabelModel:
+    """Votes (0 or 1) of voters given a hidden type, by expectation maximisation.
+
+    Type 0 is the rest; each group of voters that fire together starts a type of its own. At
+    first voters are independent in a type, but for near copies of each other. Then the
+    strongest correlations that the types leave unexplained, above `correlated`, make a forest;
+    the vote of a voter depends on the type and on its parent's vote, and the model is fitted
+    again. labels: the class (0 or 1) of the
+    first rows, which gives each type its share of class 1; without any, types but 0 are class 1.
     """
 
-    def __init__(self, votes: np.ndarray, prior: float, y: np.ndarray | None = None, correlated: float = 0.35, rounds: int = 60, anchor: float = 1.0):
-        self.groups, self.y, self.anchor = [[j] for j in range(votes.shape[1])], y, anchor
-        self._fit(votes, prior, rounds)
-        # what the classes leave unexplained: voters that still move together are one voter
-        post = self.posterior(votes)
-        left = np.zeros((votes.shape[1],) * 2)
-        for weight, rate in ((post, self.fires), (1 - post, self.misfires)):
-            apart = votes - rate
-            left += (apart * weight[:, None]).T @ apart
+    def __init__(self, votes: np.ndarray, labels: np.ndarray, together: float = 0.15, correlated: float = 0.2, copies: float = 0.7, rounds: int = 40):
+        n, m = votes.shape
+        mean = votes.mean(axis=0)
+        phi = np.nan_to_num(np.corrcoef(votes, rowvar=False)) if m > 1 else np.ones((1, 1))
+        groups = _forest(phi, together)[1]
+        self.parents = _forest(phi, copies)[0]
+        start, prior = [np.clip(0.05 * mean, 1e-4, 0.5)], []
+        for g in sorted(set(groups)):
+            own = np.array(groups) == g
+            start.append(np.where(own, 0.5, start[0]))
+            prior.append(np.clip(votes[:, own].any(axis=1).mean(), 1e-4, 0.3))
+        self.types = np.array([max(1 - sum(prior), 0.2), *prior])
+        self.types /= self.types.sum()
+        #: P(vote | type, vote of the parent) by voter
+        self.rates = np.stack([np.stack(start, axis=1)] * 2, axis=2)
+        self._fit(votes, rounds)
+        post, left = self.type_posterior(votes), np.zeros((m, m))
+        for t in range(len(self.types)):
+            apart = votes - post[:, t] @ votes / max(post[:, t].sum(), 1e-9)
+            left += (apart * post[:, [t]]).T @ apart
         spread = np.sqrt(np.maximum(np.diag(left), 1e-9))
         self.correlations = left / np.outer(spread, spread)
-        group = list(range(votes.shape[1]))
-        for i, j in zip(*np.where(np.triu(self.correlations, 1) > correlated), strict=True):
-            a, b = group[i], group[j]
-            group = [a if g == b else g for g in group]
-        self.groups = [[j for j, g in enumerate(group) if g == one] for one in sorted(set(group))]
-        self._fit(votes, prior, rounds)
-
-    def joined(self, votes: np.ndarray) -> np.ndarray:
-        return np.stack([votes[:, g].max(axis=1) for g in self.groups], axis=1)
-
-    def _fit(self, votes: np.ndarray, prior: float, rounds: int) -> None:
-        v = self.joined(votes)
-        n = len(v)
-        self.prior = prior
-        seen, unseen, weight = np.full(v.shape[1], 0.3), np.clip(0.2 * v.mean(axis=0), 1e-4, 0.5), 0.0
-        most = np.full(v.shape[1], np.inf)
-        if self.y is not None:
-            right = 0.95 * (v[self.y == 1].sum(axis=0) + 0.5) / (v.sum(axis=0) + 1)
-            most = (1 - right) / right
-            seen, unseen, weight = (v[self.y == 1].sum(axis=0) + 0.5) / ((self.y == 1).sum() + 1), (v[self.y == 0].sum(axis=0) + 0.02) / ((self.y == 0).sum() + 1), self.anchor * n
-        self.fires, self.misfires = seen, unseen
+        self.parents = _forest(np.abs(self.correlations), correlated)[0]
+        self._fit(votes, rounds)
+        post = self.type_posterior(votes)
+        #: the share of class 1 of each type, from the rows with labels
+        shown, doubt = post[: len(labels)], np.where(np.arange(len(self.types)) == 0, 0.0, 1.0)
+        self.toxic = (shown.T @ labels + 0.5 * doubt) / (shown.sum(axis=0) + 0.5)
+        self.prior = float((post @ self.toxic).mean())
+        ones, zeros = post @ self.toxic, 1 - post @ self.toxic
+        #: how often each voter fires in either class, and the share of class 1 where it fires
+        self.fires, self.misfires = (ones @ votes + 0.02) / (ones.sum() + 1), (zeros @ votes + 0.02) / (zeros.sum() + 1)
+        self.precisions = (ones @ votes) / np.maximum(votes.sum(axis=0), 1)
+
+    def _split(self, votes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Where the parent of a voter has not voted and where it has, and the votes in these places."""
+        above = np.stack([votes[:, p] if p >= 0 else np.zeros(len(votes)) for p in self.parents], axis=1)
+        masks = [1.0 - above, above]
+        return masks, [mask * votes for mask in masks]
+
+    def _fit(self, votes: np.ndarray, rounds: int) -> None:
+        split = self._split(votes)
         for _ in range(rounds):
-            post = self._posterior(v)
-            ones = post.sum()
-            self.fires = (post @ v + 0.5 + weight * seen) / (ones + 1 + weight)
-            self.misfires = ((1 - post) @ v + 0.02 + weight * unseen) / (n - ones + 1 + weight)
-            self.prior = float(np.clip((ones + weight * prior) / (n + weight), 1e-3, 0.6))
-            self.misfires = np.minimum(self.misfires, self.fires * self.prior / (1 - self.prior) * most)
-
-    def _posterior(self, v: np.ndarray) -> np.ndarray:
-        clip = lambda p: np.clip(p, 1e-5, 1 - 1e-5)
-        a, b = clip(self.fires), clip(self.misfires)
-        odds = np.log(self.prior / (1 - self.prior)) + v @ np.log(a / b) + (1 - v) @ np.log((1 - a) / (1 - b))
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            post = self._types(*split)
+            self.types = np.clip(post.mean(axis=0), 1e-5, 1.0)
+            own = (post.T @ votes + 0.02) / (post.sum(axis=0)[:, None] + 1)
+            for u, (mask, cast) in enumerate(zip(*split, strict=True)):
+                self.rates[:, :, u] = ((post.T @ cast + 2 * own) / (post.T @ mask + 2)).T
+
+    def _types(self, masks: list[np.ndarray], cast: list[np.ndarray]) -> np.ndarray:
+        rates = np.clip(self.rates, 1e-5, 1 - 1e-5)
+        log = np.log(self.types)[None, :] + sum(cast[u] @ np.log(rates[:, :, u]) + (masks[u] - cast[u]) @ np.log(1 - rates[:, :, u]) for u in (0, 1))
+        post = np.exp(log - log.max(axis=1, keepdims=True))
+        return post / post.sum(axis=1, keepdims=True)
+
+    def type_posterior(self, votes: np.ndarray) -> np.ndarray:
+        return self._types(*self._split(votes))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return self._posterior(self.joined(votes))
+        """P(class 1 | votes) of each row."""
+        return self.type_posterior(votes) @ self.toxic
 
 
 def candidates(sample: DataFrame, most: int, support: int) -> list[str]:
@@ -131,7 +176,7 @@ def candidates(sample: DataFrame, most: int, support: int) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64()), pa.array([ones[p] for p in rows], pa.int64())], names=["part", "n", "ones"])
 
     sums = sample.select("y", "text").mapInArrow(count, "part string, n long, ones long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-    marked = sums.filter((F.col("ones") >= support) & (F.col("ones") >= 0.8 * F.col("n")))
+    marked = sums.filter((F.col("ones") >= support) & (F.col("ones") >= 0.5 * F.col("n")))
     return [r["part"] for r in marked.orderBy(F.desc("ones"), "part").limit(most).collect()]
 
 
@@ -162,65 +207,84 @@ def sample_hits(sample: DataFrame, parts: list[str]) -> tuple[np.ndarray, np.nda
     return table.column("y").to_numpy()[order], x[order], fixed[order]
 
 
-def cover(y: np.ndarray, x: np.ndarray, most: int, purity: float) -> list[int]:
-    """The parts that one after another mark the most rows of label 1 not marked yet, among those of which few mark others."""
+def cover(y: np.ndarray, x: np.ndarray, most: int, purity: float, times: int = 3) -> list[int]:
+    """The parts that one after another mark the most rows of label 1 that fewer than `times` parts mark, among those of which few mark others."""
     ones, others, chosen = x[y == 1], x[y == 0], []
     pure = others.sum(axis=0) <= (1 - purity) * x.sum(axis=0)
-    left = np.ones(len(ones), dtype=bool)
+    marked = np.zeros(len(ones), dtype=int)
     while len(chosen) < most:
-        gain = np.where(pure, ones[left].sum(axis=0), 0)
-        if not len(gain) or gain.max() < 3:
+        gain = np.where(pure, ones[marked < times].sum(axis=0), 0)
+        gain[chosen] = 0
+        if not len(gain) or gain.max() < 2:
             break
         chosen.append(int(gain.argmax()))
-        left &= ~ones[:, chosen[-1]]
+        marked += ones[:, chosen[-1]]
     return chosen
 
 
 class Toxicity:
-    """A weight for each known word or word beginning, and a bias."""
+    """A weight for each known word or word beginning, lexicon (:en) and pattern (:masked), and a bias."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias, self.known = weights, bias, {}
-
-    def score(self, words: set[str]) -> float:
+        self.lexicon: dict[str, list[str]] = {}
+        for name, words in LEXICONS.items():
+            if weights.get(f":{name}"):
+                for w in words.split():
+                    self.lexicon.setdefault(w, []).append(f":{name}")
+        self.patterns = [(f":{name}", p) for name, p in _COMPILED.items() if weights.get(f":{name}")]
+
+    def score(self, text: bytes) -> float:
         known, own = self.known, set()
-        for w in words:
+        for w in words_of(text):
             hit = known.get(w)
             if hit is None:
                 if len(known) > 300_000:
                     known.clear()
-                hit = known[w] = tuple(p for p in parts_of(w) if p in self.weights)
+                hit = known[w] = (*(p for p in parts_of(w) if p in self.weights), *self.lexicon.get(w, ()))
             if hit:
                 own.update(hit)
+        if self.patterns:
+            whole = text.decode("utf-8", "replace")
+            own.update(name for name, p in self.patterns if p.search(whole))
         total = self.bias + sum(self.weights[p] for p in sorted(own))
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, sample: int = 16_000, most: int = 600, voters: int = 60) -> Toxicity:
-    """Voters from at most `sample` labelled rows outside fold 0, the label model on their votes,
-    and the classifier on the posterior labels. Counts, and hits of at most `most` parts, come to the driver."""
+def train_toxicity(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, sample: int = 16_000, most: int = 600, voters: int = 60, anchor: int = 1_000
+) -> Toxicity:
+    """Voters from at most `sample` labelled rows outside fold 0, the label model on their votes, of which the first
+    `anchor` rows show their label, and the classifier on the posterior labels. Counts, and hits of at most `most`
+    parts, come to the driver."""
+    ship(docs.sparkSession)
     chosen = labelled_sample(labels, label, sample, folds)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
-    parts = candidates(texts, most, support=5)
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))
+    parts = candidates(texts, most, support=3)
     y, x, fixed = sample_hits(texts, parts)
-    own = {w: 4.5 for words in LEXICONS.values() for w in words.split()}
+    names = [f":{name}" for name in (*LEXICONS, *PATTERNS)]
     if not len(y) or not (y == 1).any():
-        return Toxicity(own, -2.3)
-    induced = cover(y, x, voters, purity=0.9)
+        return Toxicity({f":{name}": 4.5 for name in LEXICONS}, -2.3)
+    induced = cover(y, x, voters, purity=0.8)
     votes = np.column_stack([fixed, x[:, induced]]).astype(np.float64)
     votes = votes[:, votes.any(axis=0)]
     if not votes.shape[1]:
-        return Toxicity(own, -2.3)
-    post = LabelModel(votes, prior=float(np.clip((y == 1).mean(), 0.01, 0.5)), y=y).posterior(votes)
+        return Toxicity({f":{name}": 4.5 for name in LEXICONS}, -2.3)
+    post = LabelModel(votes, y[:anchor]).posterior(votes)
     # features that the posterior labels set apart
-    ones, rows = post @ x, x.sum(axis=0)
-    useful = np.flatnonzero(ones >= 0.7 * rows)
-    beta = soft_logistic(x[:, useful].astype(np.float64), post, ridge=0.05)
-    return Toxicity({parts[j]: float(b) for j, b in zip(useful, beta, strict=False) if b}, float(beta[-1]))
+    hits = np.column_stack([x, fixed])
+    ones, rows = post @ hits, hits.sum(axis=0)
+    useful = np.flatnonzero((ones >= 0.7 * rows) & (rows > 0))
+    beta = soft_logistic(hits[:, useful].astype(np.float64), post, ridge=0.05)
+    named, bias = [*parts, *names], float(beta[-1])
+    weights = {named[j]: float(b) for j, b in zip(useful, beta, strict=False) if b}
+    return Toxicity({f":{name}": 1.0 - bias for i, name in enumerate(LEXICONS) if not fixed[:, i].any()} | weights, bias)
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, folds: int = 5, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def score(batches: Iterator) -> Iterator:
@@ -228,7 +292,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, folds: int = 5, threshold:
 
         own = Toxicity(*shared.value)
         for batch in batches:
-            found = [own.score(words_of(t)) for t in byte_texts(batch.column("text"))]
+            found = [own.score(t) for t in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
