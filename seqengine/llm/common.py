@@ -41,6 +41,11 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "documents"), uid
 
 
+def small(rows: DataFrame, most: int = 50_000) -> bool:
+    """Is it at most so many rows, to be sent to every task? For rows of a bounded size."""
+    return rows.limit(most + 1).count() <= most
+
+
 #: For bytes.translate: A-Z to a-z.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 

@@ -19,18 +19,22 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, byte_texts
+from ..session import ship
+from .common import ASCII_LOWER, byte_texts, materialize, small
 from .linear import fold
 
 DIMENSIONS = 1 << 14
-MOST_LANGUAGES = 10_000
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _SPACES = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
+def has_letter(text: bytes) -> bool:
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 def gram_counts(text: bytes) -> np.ndarray:
     """How often each hashed n-gram of the letters of a text occurs. Words stand apart by one space."""
     own = np.frombuffer(b" " + _SPACES.sub(b" ", text.translate(ASCII_LOWER)) + b" ", dtype=np.uint8).astype(np.uint32)
@@ -100,20 +104,23 @@ class Centroids:
 
 
 def train_languages(docs: DataFrame, clusters: int = 3, sample: int = 800) -> Centroids | None:
-    """Fits on docs (doc_id, text, lang). sample: rows of a language, about, that its centroids are made from."""
-    known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
+    """Fits on docs (doc_id, text, lang). sample: at most so many rows of a language, the least by hash, make its centroids."""
+    ship(docs.sparkSession)
+    rank = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text")
+    known = docs.select(F.col("lang").cast("string").alias("lang"), "text", rank.alias("rank")).filter("text is not null and lang is not null")
     frequencies, rows = document_frequencies(known.select("text"))
     if not rows:
         return None
     idf = np.log((1 + rows) / (1 + frequencies)) + 1
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.xxhash64("text")), F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("n")
-    if sizes.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES:
-        sizes = F.broadcast(sizes)  # so many small rows at most; beyond, a shuffled join
-    chosen = known.join(sizes, "lang").filter(part)
+    # copies have one rank; the least are found in parts of a language, then in all of it
+    least = known.select("lang", "rank").distinct()
+    for by in (["lang", F.pmod("rank", F.lit(64))], ["lang"]):
+        least = least.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("rank"))).filter(F.col("k") <= sample).drop("k")
+    least = materialize(least, "sample")
+    chosen = known.join(F.broadcast(least) if small(least, 100_000) else least, ["lang", "rank"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
 
     def centre(rows):
-        texts = [t.encode() for t in rows["text"]][: 4 * sample]  # about `sample` by the hash above
+        texts = [t.encode() for t in rows["text"]]
         centroids, reach = spherical_kmeans(unit_vectors(sorted(texts), idf), clusters)
         import pandas as pd
 
@@ -126,6 +133,7 @@ def train_languages(docs: DataFrame, clusters: int = 3, sample: int = 800) -> Ce
 
 def identify_languages(docs: DataFrame, model: Centroids | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def identify(batches: Iterator) -> Iterator:
@@ -134,7 +142,7 @@ def identify_languages(docs: DataFrame, model: Centroids | None) -> DataFrame:
         for batch in batches:
             texts = byte_texts(batch.column("text"))
             langs, scores, far = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-            spoken = [i for i, t in enumerate(texts) if shared.value is not None and _LETTER.search(t.decode("utf-8", "replace"))]
+            spoken = [i for i, t in enumerate(texts) if shared.value is not None and has_letter(t)]
             for i in range(0, len(spoken), 64):
                 own = spoken[i : i + 64]
                 names, scores[own], far[own] = shared.value.nearest([texts[j] for j in own])
