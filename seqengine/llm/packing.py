@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -61,6 +62,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of at most capacity tokens of docs (doc_id, text)."""
+    ship(docs.sparkSession)
     ranks = ranks or default_ranks()
 
     def pieces(batches: Iterator) -> Iterator:
@@ -187,6 +189,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, shard_pieces: int = 163
 
     shard_pieces: pieces packed together, on average; a shard wastes a sequence or two.
     """
+    ship(pieces.sparkSession)
     kept = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-kept.count() // shard_pieces))
 

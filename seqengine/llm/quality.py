@@ -9,7 +9,8 @@ fitted to a part that the model of that step has not seen, gives the score.
 The model is fitted on a bounded sample of labelled rows (`sample`); every whole text is
 scored. Rows and edge cases: a null or empty text has no n-gram and gets the score of the
 bias; without labels of both classes every score is the share of label 1, or 0.5; a null
-doc_id is scored and counts as not held out; repeated rows get equal scores; an empty table
+doc_id is scored and counts as not held out; repeated rows get equal scores, and an id that
+is repeated in docs teaches once, by its least text; an empty table
 gives an empty result; clashing or further columns are ignored by `score_quality` and kept
 by `drop_low_quality`.
 """
@@ -23,6 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import ASCII_LOWER, WordHashes, byte_texts, gram_hashes
 from .linear import dual_coordinate_descent, fold, labelled_sample, logistic_of_margins
 
@@ -78,6 +80,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, smooth: float, cost: float, pass
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, sample: int = 12_000, smooth: float = 1.0, cost: float = 1.0, passes: int = 8) -> Model:
     """Fits on at most `sample` labelled rows outside fold 0. Only their positions come to the driver."""
+    ship(docs.sparkSession)
     chosen = labelled_sample(labels, label, sample, folds)
 
     def features(batches: Iterator) -> Iterator:
@@ -89,8 +92,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], names=["id", "y", "at"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    table = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(features, "id long, y int, at binary").toArrow()
-    order = np.lexsort([table.column("at").to_numpy(), table.column("id").to_numpy()]) if len(table) else []
+    texts = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # a repeated id teaches once
+    table = texts.mapInArrow(features, "id long, y int, at binary").toArrow()
+    order = np.argsort(table.column("id").to_numpy()) if len(table) else []
     at = [np.frombuffer(x, dtype=np.int32) for x in table.column("at").to_pylist()]
     rows, y = [at[i] for i in order], np.array([1 if table.column("y")[int(i)].as_py() else -1 for i in order])
     if len(set(y.tolist())) < 2:
@@ -109,6 +113,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
 
 def score_quality(docs: DataFrame, model: Model, folds: int = 5, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator) -> Iterator:
@@ -126,6 +131,7 @@ def score_quality(docs: DataFrame, model: Model, folds: int = 5, threshold: floa
 
 def drop_low_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs, with all their columns, without the rows that score below the threshold."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator) -> Iterator:

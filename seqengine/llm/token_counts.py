@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .packing import default_ranks, encoder
 
 TREES = "doc_id long, text string, n_tokens long, tree struct<chars: array<int>, tokens: array<int>>"
@@ -161,6 +162,7 @@ def _arrow_tree(trees: list[CountTree]):
 
 def count_trees(docs: DataFrame, leaf: int = 64, ranks: str | None = None) -> DataFrame:
     """doc_id, text, n_tokens and the segment tree of every row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
     ranks = ranks or default_ranks()
 
     def count(batches: Iterator) -> Iterator:
@@ -177,6 +179,7 @@ def count_trees(docs: DataFrame, leaf: int = 64, ranks: str | None = None) -> Da
 
 def apply_edit_lists(trees: DataFrame, edits: str = "edits", leaf: int = 64, ranks: str | None = None) -> DataFrame:
     """Applies each row's list of edits (pos, removed, inserted), one after another, to its text and tree."""
+    ship(trees.sparkSession)
     ranks = ranks or default_ranks()
 
     def apply(batches: Iterator) -> Iterator:
