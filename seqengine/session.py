@@ -15,13 +15,16 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir; where none is set, the context's checkpoint folder, or in local mode a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='seqengine-')}")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='seqengine-')}")
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
