@@ -70,3 +70,21 @@ def sigmoid(x: Column) -> Column:
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """An aggregate: the mean of value by weight, null without weight (AGG08)."""
+    total = F.sum(F.when(value.isNotNull(), weight))
+    return F.when(total != 0, F.sum(value * weight) / total)
+
+
+def min_max(values: Column) -> Column:
+    """An array scaled from its own least and greatest value to [0, 1]; a flat one is all 0 (AGG09)."""
+    low, span = F.array_min(values), F.array_max(values) - F.array_min(values)
+    return F.transform(values, lambda x: F.when(span > 0, (x - low) / span).otherwise(F.lit(0.0)))
+
+
+def histogram(values: Column, bins: int, low: float = 0.0, high: float = 1.0) -> Column:
+    """How many values fall in each of equal bins; those outside count in the first and last (AGG14)."""
+    at = F.transform(values, lambda x: F.least(F.greatest(F.floor((x - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)))
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(at, lambda x: x == b)).cast("double"))

@@ -7,6 +7,8 @@ import difflib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.clips import fold
+
 #: Extensions of readable inputs, and of media that are named but skipped.
 READABLE = ["mp4", "mkv", "webm", "avi", "mov", "gif", "m4v", "m2ts", "mts", "mpg", "mpeg", "m2v", "flv", "wmv", "ogv"]
 SKIPPED = ["ts", "vob", "asf", "rm", "rmvb", "3gp", "divx", "mxf", "f4v", "y4m"]
@@ -14,9 +16,13 @@ SKIPPED = ["ts", "vob", "asf", "rm", "rmvb", "3gp", "divx", "mxf", "f4v", "y4m"]
 SOFTWARE_CODECS = ["rawvideo", "ffv1", "ffvhuff", "huffyuv", "lagarith", "utvideo", "qtrle", "qdraw", "8bps", "cinepak", "msrle", "msvideo1", "rle", "vp6", "vp6a", "vp6f"]
 
 
+#: Characters that file systems refuse.
+UNSAFE = r'[<>:"/\\|?*\x00-\x1F]'
+
+
 def safe_name(name: Column) -> Column:
-    """Characters that file systems refuse become underscores (SNK11)."""
-    return F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1F\s]', "_")
+    """Characters that file systems refuse become underscores; spaces stay (SNK11)."""
+    return F.regexp_replace(name, UNSAFE, "_")
 
 
 def output_name(stem: Column, features: list[tuple[str, Column | None]], extension: str) -> Column:
@@ -26,13 +32,37 @@ def output_name(stem: Column, features: list[tuple[str, Column | None]], extensi
 
 
 def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
-    """Adds a name that is unique in df: a repeated one gets -1, -2, … before its extension (SNK12).
+    """Adds a name that is unique in df: one that is taken gets the least of -1, -2, … before its extension that is free (SNK12).
 
-    A name is expected to repeat little: equal names meet in one window.
+    Names are handed out in order among those that can meet: equal but for such suffixes. The
+    names of one such family are kept in memory by the task that deals with it. A null name
+    stays null.
     """
-    rank = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return df.withColumn("_rank", rank).withColumn(out, F.when(F.col("_rank") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("_rank"), ext))).drop("_rank")
+    root, ext = F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 2)
+    family = F.coalesce(F.concat(F.regexp_replace(root, r"(-\d+)+$", ""), F.lit("\0"), ext), F.lit(""))
+    rows = df.withColumn("_family", family)
+
+    def step(rows, state):
+        taken, following = state or (set(), {})
+        made = []
+        for one in rows[name].tolist():
+            if one is None or one != one:
+                made.append(None)
+                continue
+            free = one
+            if one in taken:
+                dot = one.rfind(".", one.rfind("/") + 1)
+                root, ext = (one[:dot], one[dot:]) if dot >= 0 else (one, "")
+                k = following.get(one, 1)
+                while (free := f"{root}-{k}{ext}") in taken:
+                    k += 1
+                following[one] = k + 1
+            taken.add(free)
+            made.append(free)
+        return rows.assign(**{out: made}), (taken, following)
+
+    schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
+    return fold(rows, "_family", order, step, f"{schema}, `{out}` string").drop("_family")
 
 
 def is_readable(path: Column) -> Column:
@@ -76,12 +106,11 @@ def suggest(word: str, choices: list[str], n: int = 3, cutoff: float = 0.4) -> l
     return difflib.get_close_matches(word, choices, n=n, cutoff=cutoff)
 
 
-def closest(df: DataFrame, word: str, choices: DataFrame, choice: str, n: int = 3) -> DataFrame:
-    """For each word of df its n closest choices by edit distance; choices is a short list that is broadcast (TOP02)."""
-    met = df.select(word).distinct().join(F.broadcast(choices.select(choice).distinct()))
-    scored = met.withColumn("distance", F.levenshtein(word, choice))
-    rank = F.row_number().over(Window.partitionBy(word).orderBy("distance", choice))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= n)
+def closest(df: DataFrame, word: str, choices: list[str], n: int = 3) -> DataFrame:
+    """For each word of df its n closest choices by edit distance; choices is a short list, as of options (TOP02)."""
+    ranked = F.array_sort(F.array(*(F.struct(F.levenshtein(word, F.lit(c)).alias("distance"), F.lit(c).alias("choice")) for c in sorted(set(choices)))))
+    met = df.select(word).distinct().select(word, F.posexplode(F.slice(ranked, 1, n)).alias("rank", "one"))
+    return met.select(word, F.col("one.choice").alias("choice"), F.col("one.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
 
 
 def can_decode_in_hardware(codec: Column, pixel_format: Column) -> Column:
@@ -95,20 +124,27 @@ def is_wide_gamut(space: Column, pixel_format: Column, transfer: Column) -> Colu
     return F.coalesce(space.isin(wide), F.lit(False)) | F.coalesce(pixel_format.isin(wide), F.lit(False)) | F.coalesce(transfer.isin(wide), F.lit(False))
 
 
+#: Encoders that store one format, whatever the picture; png by depth; all others as the last row.
+STORED = {
+    "hevc_amf_10bit": "p010le",
+    "jpeg": "yuvj444p",
+    "nvenc_h264": "yuv420p",
+    "nvenc_h265_10bit": "p010le",
+    "prores": "yuv444p10le",
+    "qsv_h265_10bit": "p010le",
+    "x264_10bit": "yuv420p10le",
+    "x264_animation_10bit": "yuv420p10le",
+    "x265_10bit": "yuv420p10le",
+}
+BY_DEPTH = {"png": ("rgb24", "rgb48le"), "": ("yuv420p", "yuv444p10le")}
+
+
 def pixel_format(encoder: Column, eight_bit: Column, grayscale: Column, transparent: Column) -> Column:
     """The stored pixel format for an encoder name and the kind of picture (SNK05)."""
-    deep = F.when(eight_bit, F.lit("yuv420p")).otherwise(F.lit("yuv444p10le"))
-    return (
-        F.when(transparent & (encoder != "prores_segment"), F.lit("yuva444p10le"))
-        .when(grayscale, deep)
-        .when(encoder.isin("x264_10bit", "x265_10bit", "x264_animation_10bit"), F.lit("yuv420p10le"))
-        .when(encoder == "nvenc_h264", F.lit("yuv420p"))
-        .when(encoder.isin("nvenc_h265_10bit", "hevc_amf_10bit", "qsv_h265_10bit"), F.lit("p010le"))
-        .when(encoder == "prores", F.lit("yuv444p10le"))
-        .when(encoder == "png", F.when(eight_bit, F.lit("rgb24")).otherwise(F.lit("rgb48le")))
-        .when(encoder == "jpeg", F.lit("yuvj444p"))
-        .otherwise(deep)
-    )
+    depth = lambda pair: F.when(eight_bit, F.lit(pair[0])).otherwise(F.lit(pair[1]))
+    table = F.create_map(*(F.lit(x) for pair in STORED.items() for x in pair))
+    own = F.coalesce(table[encoder], F.when(encoder == "png", depth(BY_DEPTH["png"])), depth(BY_DEPTH[""]))
+    return F.when(transparent & (encoder != "prores_segment"), F.lit("yuva444p10le")).otherwise(F.when(grayscale, depth(BY_DEPTH[""])).otherwise(own))
 
 
 def container_codec(extension: Column, codec: Column) -> Column:

@@ -41,25 +41,51 @@ def fold(df: DataFrame, clip: str, order: list[str], step: Callable[[pd.DataFram
 
     step takes rows of one clip that follow each other, and the state that it returned for
     the rows before (None at a clip's start); it returns output rows and the next state.
-    Clips share partitions, which are sorted by Spark and read in batches, so that a clip of
+    Rows of a null clip are one clip. Clips share partitions, which are sorted by Spark and read in batches, so that a clip of
     any length takes bounded memory in Python.
     """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        started, current, state = False, None, None
         for rows in batches:
             if not len(rows):
                 continue
             keys = rows[clip]
-            starts = keys.ne(keys.shift()).to_numpy().nonzero()[0].tolist() + [len(rows)]
+            changed = keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())
+            changed.iloc[0] = True
+            starts = changed.to_numpy().nonzero()[0].tolist() + [len(rows)]
             parts = []
             for low, high in zip(starts, starts[1:], strict=False):
                 key = keys.iloc[low]
-                if current is None or key != current:
-                    current, state = key, None
+                if not started or not (key == current or (pd.isna(key) and pd.isna(current))):
+                    started, current, state = True, key, None
                 out, state = step(rows.iloc[low:high], state)
                 parts.append(out)
             yield pd.concat(parts)
 
     return df.repartition(clip).sortWithinPartitions(clip, *order).mapInPandas(run, schema)
+
+
+def recurrent(df: DataFrame, clip: str, order: list[str], payload: str, kernel: Callable[[Any, Any], tuple[Any, float]], out: str, reset: str | None = None) -> DataFrame:
+    """df with what a recurrent kernel makes of each row (WIN08, UDF04).
+
+    kernel(state, value) returns the next state and the output; the state is None at a clip's
+    start and in a row for which the boolean column `reset` holds. A null value is passed over with a null output.
+    """
+
+    def step(rows, state):
+        made = []
+        resets = rows[reset].tolist() if reset else [False] * len(rows)
+        for value, anew in zip(rows[payload].tolist(), resets, strict=True):
+            if anew:
+                state = None
+            if value is None or value != value:
+                made.append(None)
+                continue
+            state, one = kernel(state, value)
+            made.append(one)
+        return rows.assign(**{out: made}), state
+
+    schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
+    return fold(df, clip, order, step, f"{schema}, `{out}` double")

@@ -7,7 +7,7 @@ of rows. Registered kernels run in pandas batches; simple projections are expres
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -41,53 +41,127 @@ def _gauss(x: np.ndarray) -> np.ndarray:
     return np.tensordot(np.array([1, 2, 1, 2, 4, 2, 1, 2, 1]) / 16, _around(x), axes=1)
 
 
-def _gradients(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = _around(x)
-    gx = (n[2] + 2 * n[5] + n[8] - n[0] - 2 * n[3] - n[6]) / 8
-    gy = (n[6] + 2 * n[7] + n[8] - n[0] - 2 * n[1] - n[2]) / 8
-    return gx, gy
+def _edged(x: np.ndarray, reach: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (reach, reach), (reach, reach)), mode="edge")
+
+
+def _correlate(padded: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each pixel's weighted sum of its surroundings; padded has the margin that the weights need."""
+    views = np.lib.stride_tricks.sliding_window_view(padded, weights.shape, axis=(1, 2))
+    return np.einsum("nijkl,kl->nij", views, weights)
+
+
+#: Fixed values of the sharpening: the band of log blur scores, the most, the local window, two floors.
+BLUR_BAND, MOST, WINDOW, CONTRAST_FLOOR, FLOOR = (-2.31, -1.19), 0.9, 7, 1e-3, 1e-6
+_SMOOTH = np.outer([1, 2, 1], [1, 2, 1]) / 16
+
+
+def _laplacian() -> np.ndarray:
+    """A Laplacian of smoothed brightness."""
+    out = np.zeros((5, 5))
+    for i, j, weight in ((0, 1, 1), (1, 0, 1), (1, 1, -4), (1, 2, 1), (2, 1, 1)):
+        out[i : i + 3, j : j + 3] += weight * _SMOOTH
+    return out
+
+
+def sharpening(x: np.ndarray) -> np.ndarray:
+    """How much each image is to be sharpened, from its own blur: detail relative to local contrast, where there is contrast."""
+    if min(x.shape[1:]) < 3:
+        return np.full(len(x), min(0.5, MOST))
+    box = np.full((WINDOW, WINDOW), 1 / WINDOW**2)
+    mean, square = _correlate(_edged(x, WINDOW // 2), box), _correlate(_edged(x * x, WINDOW // 2), box)
+    contrast = np.sqrt(np.maximum(square - mean * mean, 0) + FLOOR)
+    detail = (_correlate(_edged(x, 2), _laplacian()) / (contrast + CONTRAST_FLOOR)) ** 2
+    score = (detail * contrast).sum(axis=(1, 2)) / (contrast.sum(axis=(1, 2)) + FLOOR)
+    low, high = BLUR_BAND
+    return np.minimum(1 - np.clip((np.log(score + 1e-4) - low) / (high - low), 0, 1), MOST)
 
 
 @register("sharpen")
-def sharpen(x: np.ndarray, most: float = 0.9) -> np.ndarray:
-    """Contrast-adaptive sharpening; its amount falls with the detail that is there already (PRJ14)."""
+def sharpen(x: np.ndarray) -> np.ndarray:
+    """Contrast-adaptive sharpening of an amount that the image's blur sets (PRJ14)."""
     n = _around(x)
-    cross = n[[1, 3, 4, 5, 7]]
-    low, high = (cross.min(axis=0) + n.min(axis=0)) / 2, (cross.max(axis=0) + n.max(axis=0)) / 2
-    detail = np.abs(4 * x - n[1] - n[3] - n[5] - n[7])
-    contrast = high - low + 1e-6
-    mean = (detail * contrast).sum(axis=(1, 2)) / contrast.sum(axis=(1, 2))
-    amount = np.clip(1 - mean, 0, most)[:, None, None]
-    room = np.sqrt(np.clip(np.minimum(low, 1 - high) / np.maximum(high, 1e-6), 0, 1))
-    w = -room * amount / 5
-    return np.clip((x + w * (n[1] + n[3] + n[5] + n[7])) / (1 + 4 * w), 0, 1)
+    cross, four = n[[1, 3, 4, 5, 7]], n[1] + n[3] + n[5] + n[7]
+    low, high = cross.min(axis=0) + n.min(axis=0), cross.max(axis=0) + n.max(axis=0)
+    room = np.sqrt(np.clip(np.minimum(low, 2 - high) / np.maximum(high, 1e-4), 0, 1))
+    w = -room / (8 - 3 * sharpening(x))[:, None, None]
+    return np.clip((x + w * four) / (1 + 4 * w), 0, 1)
 
 
 @register("line_darken")
-def line_darken(x: np.ndarray, strength: float = 0.3) -> np.ndarray:
-    """Edges, scaled to their own range, thinned and softened, are taken off the brightness (PRJ15)."""
-    gx, gy = _gradients(x)
-    edge = np.hypot(gx, gy)
+def line_darken(x: np.ndarray, strength: float = 0.7) -> np.ndarray:
+    """Edges, scaled to their own range, thinned and softened, are taken off the brightness (PRJ15). Beyond its border an image is 0; a flat one has no edge."""
+    dark = np.pad(x, ((0, 0), (1, 1), (1, 1)))
+    across = np.outer([1, 2, 1], [-1, 0, 1])
+    edge = np.hypot(_correlate(dark, across), _correlate(dark, across.T))
     low, high = edge.min(axis=(1, 2), keepdims=True), edge.max(axis=(1, 2), keepdims=True)
-    edge = (edge - low) / np.maximum(high - low, 1e-6)
-    return np.clip(x - strength * _gauss(_around(edge).min(axis=0)), 0, 1)
+    edge = np.where(high > low, (edge - low) / np.where(high > low, high - low, 1), 0)
+    thin = _around(edge).min(axis=0)
+    bell = np.exp(-0.5 * np.array([1, 0, 1]))
+    soft = _correlate(np.pad(thin, ((0, 0), (1, 1), (1, 1))), np.outer(bell, bell) / bell.sum() ** 2)
+    return np.clip(x - strength * soft, 0, 1)
+
+
+def _sampled(x: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Bilinear samples of (images, channels, height, width) at (images or 1, height, width) places; edges go on."""
+    h, w = x.shape[2:]
+    ys, xs = np.broadcast_arrays(np.clip(ys, 0, h - 1), np.clip(xs, 0, w - 1))
+    y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
+    y1, x1, fy, fx = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1), ys - y0, xs - x0
+    images = np.arange(len(x))[:, None, None]
+    at = lambda y, x_: np.stack([x[images, c, y, x_] for c in range(x.shape[1])], axis=1)
+    fy, fx = fy[:, None], fx[:, None]
+    return (at(y0, x0) * (1 - fx) + at(y0, x1) * fx) * (1 - fy) + (at(y1, x0) * (1 - fx) + at(y1, x1) * fx) * fy
+
+
+def _resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    h, w = x.shape[2:]
+    return _sampled(x, np.linspace(0, h - 1, height)[None, :, None], np.linspace(0, w - 1, width)[None, None, :])
+
 
+def _slopes(x: np.ndarray, reach: float) -> np.ndarray:
+    """(images, 2, height, width): slopes across and down of (images, 1, height, width), from samples `reach` away in units of the side."""
+    h, w = x.shape[2:]
+    rows, columns = np.arange(h)[None, :, None], np.arange(w)[None, None, :]
+    left, right = (_sampled(x, rows, columns + k * reach * (w - 1) / w) for k in (-1, 1))
+    pair = np.concatenate([right - left, left + 2 * x + right], axis=1)
+    top, bottom = (_sampled(pair, rows + k * reach * (h - 1) / h, columns) for k in (-1, 1))
+    return np.stack([top[:, 0] + 2 * pair[:, 0] + bottom[:, 0], bottom[:, 1] - top[:, 1]], axis=1) / 8
 
-@register("line_thin")
-def line_thin(x: np.ndarray, strength: float = 0.6, rounds: int = 2) -> np.ndarray:
-    """Pixels are drawn along the gradient of edge strength, so that lines get thinner (PRJ16)."""
-    gx, gy = _gradients(x)
-    edge = _gauss(np.hypot(gx, gy) ** 0.7)
-    dx, dy = _gradients(_gauss(edge))
-    norm = np.maximum(np.hypot(dx, dy), 1e-6)
+
+#: Fixed values of the line thinners: scale of the brightness, of the edges, spread of their blur, reach of either gradient.
+THINNERS = {"lite": (0.5, 0.25, 0.5, 0.5, 0.25), "medium": (1.0, 0.5, 1.0, 1.0, 0.5), "heavy": (1.0, 1.0, 2.0, 1.0, 1.0)}
+
+
+def thin_lines(x: np.ndarray, variant: str, strength: float = 0.1, rounds: int = 6) -> np.ndarray:
+    """Pixels are drawn, step by step, down the slope of edge strength, so that lines get thinner (PRJ16). Steps grow with the height (1 at 1,080)."""
+    bright, small, spread, reach, second = THINNERS[variant]
     h, w = x.shape[1:]
-    rows, ys, xs = np.ogrid[: len(x), :h, :w]
+    image = x[:, None].astype(float)
+    luma = image
+    for scale in (bright, small):
+        if scale < 1:
+            luma = _resized(luma, max(int(h * scale), 1), max(int(w * scale), 1))
+    edge = (np.hypot(*_slopes(luma, reach).transpose(1, 0, 2, 3)) ** 0.7)[:, None]
+    sigma = spread * h / 1080
+    if sigma >= 0.1:
+        reached = max(int(np.ceil(2 * sigma)), 1)
+        bell = np.exp(-0.5 * (np.arange(-reached, reached + 1) / sigma) ** 2)
+        bell /= bell.sum()
+        edge = _correlate(_edged(edge[:, 0], reached), np.outer(bell, bell))[:, None]
+    field = _resized(_slopes(edge, second), h, w)
+    ys, xs = np.broadcast_to(np.arange(h, dtype=float)[None, :, None], x.shape), np.broadcast_to(np.arange(w, dtype=float)[None, None, :], x.shape)
+    step = strength * h / 1080
     for _ in range(rounds):
-        sx, sy = np.clip(xs - strength * dx / norm, 0, w - 1), np.clip(ys - strength * dy / norm, 0, h - 1)
-        x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-        x1, y1, fx, fy = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1), sx - x0, sy - y0
-        x = (x[rows, y0, x0] * (1 - fx) + x[rows, y0, x1] * fx) * (1 - fy) + (x[rows, y1, x0] * (1 - fx) + x[rows, y1, x1] * fx) * fy
-    return x
+        slope = _sampled(field, ys, xs)
+        slope = slope / (np.hypot(slope[:, 0], slope[:, 1]) + 0.01)[:, None]
+        xs, ys = xs - slope[:, 0] * step * (w - 1) / w, ys - slope[:, 1] * step * (h - 1) / h
+    return _sampled(image, ys, xs)[:, 0]
+
+
+for _variant in THINNERS:
+    register(f"line_thin_{_variant}")(partial(thin_lines, variant=_variant))
+KERNELS["line_thin"] = KERNELS["line_thin_medium"]
 
 
 @register("soften")
@@ -119,6 +193,24 @@ def apply_kernel(df: DataFrame, payload: str, name: str, height: int, width: int
     return df.mapInPandas(run, f"{schema}, `{out}` array<double>")
 
 
+def apply_pair_kernel(df: DataFrame, before: str, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], out: str) -> DataFrame:
+    """df with a number for each row from its array and that of the row before it, 0 where there is none (CUT01c).
+
+    score takes two arrays of shape (rows, length), such as the inputs of a classifier.
+    """
+    ship(df.sparkSession)
+    schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
+
+    def run(batches: Iterator) -> Iterator:
+        for rows in batches:
+            made, both = np.zeros(len(rows)), (rows[before].notna() & rows[payload].notna()).to_numpy()
+            if both.any():
+                made[both] = score(*(np.stack(rows.loc[both, c].to_numpy()).astype(float) for c in (before, payload)))
+            yield rows.assign(**{out: made})
+
+    return df.mapInPandas(run, f"{schema}, `{out}` double")
+
+
 def chain(df: DataFrame, payload: str, steps: list[Callable[[Column], Column]], out: str) -> DataFrame:
     """Projections one after another, left to right (PRJ13)."""
     return df.withColumn(out, reduce(lambda c, f: f(c), steps, F.col(payload)))

@@ -55,12 +55,29 @@ def top_k(df: DataFrame, clip: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(clip).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def suppress(df: DataFrame, clip: str, x: str, y: str, score: str, radius: int) -> DataFrame:
-    """Points without a better one in the same or a neighbouring cell of the grid (STB10)."""
-    cells = F.explode(F.array(*(F.struct((F.floor(F.col(x) / radius) + i).alias("gx"), (F.floor(F.col(y) / radius) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    best = df.select(clip, score, cells.alias("g")).groupBy(clip, "g.gx", "g.gy").agg(F.max(score).alias("_best"))
-    own = df.withColumn("gx", F.floor(F.col(x) / radius)).withColumn("gy", F.floor(F.col(y) / radius))
-    return own.join(best, [clip, "gx", "gy"]).filter(F.col(score) >= F.col("_best")).drop("gx", "gy", "_best")
+def suppress(df: DataFrame, clip: str, x: str, y: str, score: str, radius: float) -> DataFrame:
+    """Points without a better one at most `radius` away in both directions (STB10). Points meet by cells of the grid."""
+    near = F.explode(F.array(*(F.struct((F.floor(F.col(x) / radius) + i).alias("gx"), (F.floor(F.col(y) / radius) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    others = df.select(clip, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(score).alias("_score"), near.alias("_g")).select(F.col(clip).alias("_clip"), "_x", "_y", "_score", "_g.gx", "_g.gy")
+    own = df.withColumn("_gx", F.floor(F.col(x) / radius)).withColumn("_gy", F.floor(F.col(y) / radius))
+    same = (F.col(clip) == F.col("_clip")) & (F.col("_gx") == F.col("gx")) & (F.col("_gy") == F.col("gy"))
+    better = (F.abs(F.col(x) - F.col("_x")) <= radius) & (F.abs(F.col(y) - F.col("_y")) <= radius) & (F.col("_score") > F.col(score))
+    return own.join(others, same & better, "left_anti").drop("_gx", "_gy")
+
+
+def point_distances(points: DataFrame, others: DataFrame, pair: str, point: str, vector: str) -> DataFrame:
+    """(pair, point, other, distance) for the points of two frames of a pair, which have a few hundred points each (JON07)."""
+    far = others.select(F.col(pair).alias("_pair"), F.col(point).alias("other"), F.col(vector).alias("_other"))
+    met = points.select(pair, point, vector).join(far, F.col(pair) == F.col("_pair"))
+    squared = F.aggregate(F.zip_with(vector, "_other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d)
+    return met.select(pair, point, "other", F.sqrt(squared).alias("distance"))
+
+
+def mutual_matches(distances: DataFrame, pair: str, point: str, other: str = "other", distance: str = "distance") -> DataFrame:
+    """Points that are each other's nearest; of equal distances the first by name (JON07)."""
+    nearest = distances.groupBy(pair, point).agg(F.min(F.struct(distance, other)).alias("n")).select(pair, point, f"n.{other}", f"n.{distance}")
+    back = distances.groupBy(pair, other).agg(F.min(F.struct(distance, point)).alias("n")).select(pair, other, f"n.{point}")
+    return nearest.join(back, [pair, point, other])
 
 
 def ratio_test(matches: DataFrame, pair: str, point: str, distance: str, ratio: float = 0.8, least: int = 10) -> DataFrame:
@@ -90,3 +107,37 @@ def outcome(delivered, expected, error, produces_output, output_bytes):
     """Whether a run succeeded (SNK17): no error, unless all expected rows were delivered; and an output that isn't empty."""
     whole = F.coalesce(expected.isNotNull() & (delivered >= expected), F.lit(False))
     return (error.isNull() | whole) & (delivered >= F.coalesce(expected, F.lit(0))) & (~produces_output | F.coalesce(output_bytes > 0, F.lit(False)))
+
+
+def playable(formats: DataFrame, least: int = 240) -> DataFrame:
+    """Formats with a size, of at least `least` rows of pixels, and a real video codec (FIL07)."""
+    return formats.filter(F.col("width").isNotNull() & (F.col("height") >= least) & F.col("vcodec").isNotNull() & (F.col("vcodec") != "none"))
+
+
+def resolutions(formats: DataFrame, key: str) -> DataFrame:
+    """(key, heights): the distinct heights of each key, the largest first (SRT02, AGG13)."""
+    return formats.groupBy(key).agg(F.sort_array(F.collect_set("height"), asc=False).alias("heights"))
+
+
+def preview(values, most: int = 5):
+    """The first of a list, and how many more there are (LIM02)."""
+    shown = F.array_join(F.slice(values, 1, most), ", ")
+    return F.when(F.size(values) > most, F.concat(shown, F.lit(", … "), F.size(values) - most, F.lit(" more"))).otherwise(shown)
+
+
+def two_clusters(df: DataFrame, value: str, rounds: int = 20, out: str = "cluster") -> DataFrame:
+    """df with 0 or 1: the nearer of two means of a number, from its least and greatest value on, until they stay (AGG15).
+
+    Only the two means come to the driver. A null value has no cluster.
+    """
+    ends = df.agg(F.min(value).alias("a"), F.max(value).alias("b")).first()
+    a, b = ends["a"], ends["b"]
+    for _ in range(rounds if a is not None else 0):
+        low = F.abs(F.col(value) - F.lit(a)) <= F.abs(F.col(value) - F.lit(b))
+        means = df.agg(F.avg(F.when(low, F.col(value))).alias("a"), F.avg(F.when(~low, F.col(value))).alias("b")).first()
+        new = (means["a"], means["b"] if means["b"] is not None else b)
+        if new == (a, b):
+            break
+        a, b = new
+    near = F.abs(F.col(value) - F.lit(a).cast("double")) <= F.abs(F.col(value) - F.lit(b).cast("double"))
+    return df.withColumn(out, F.when(near, 0).when(~near, 1))

@@ -85,7 +85,7 @@ class Pipeline:
         rationalise(self.factor)
         spec = self
         if spec.smooth_dedup:
-            spec = replace(spec, interpolate=True, dedup=spec.dedup or "mse")
+            spec = replace(spec, interpolate=True, dedup=spec.dedup or "ssim")
         if spec.scene_change and not spec.interpolate:
             spec = replace(spec, scene_change=None)
         if spec.dedup and spec.dedup not in dedup.METHODS:
@@ -113,7 +113,11 @@ class Pipeline:
             elif spec.interpolate:  # gaps stay one wide (INT06)
                 rows = with_position(rows.withColumnRenamed("pos", "_source"), spec.clip, ["_source"]).drop("_source")
         if spec.scene_change:
-            method = "squared" if not dict(rows.dtypes)[spec.payload].startswith("array") else spec.scene_change
+            method = spec.scene_change
+            if not dict(rows.dtypes)[spec.payload].startswith("array"):
+                if method != "mse":
+                    raise ValueError(f"numbers have no {method}; cuts between them are by mse")
+                method = "squared"
             rows = cuts.mark_cuts(rows, spec.clip, ["pos"], spec.payload, method, cut_threshold(spec.scene_change, spec.scene_sens))
         if not spec.interpolate:
             return rows
@@ -137,12 +141,13 @@ def with_implied(options: dict) -> dict:
     return out
 
 
-def fall_back(name: str, available: set[str], order: tuple[str, ...] = ("-tensorrt", "-directml", "-openvino", "-ncnn", "")) -> str:
-    """A method's variant by the first suffix, in order, that is available (CFG08)."""
-    base = next((name.removesuffix(s) for s in order if s and name.endswith(s)), name)
-    tail = name[len(base) :]
-    later = order[order.index(tail) :] if tail in order else order
-    return next((base + s for s in later if base + s in available), name)
+#: Suffixes of a method's variants, the first that is there first; interpolation has its own order.
+FALL_BACKS = {"": ("-directml", "-ncnn"), "interpolate": ("-ncnn", "-directml")}
+
+
+def fall_back(name: str, available: set[str], capability: str = "") -> str:
+    """A method's variant by the first suffix that is available, or its own name (CFG08)."""
+    return next((v for s in FALL_BACKS.get(capability, FALL_BACKS[""]) if (v := f"{name.lower()}{s}") in available), name)
 
 
 def load_spec(text: str, **explicit) -> Pipeline:

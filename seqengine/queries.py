@@ -357,7 +357,7 @@ def sequence_gaps(spark, sf):
 
 
 @query(
-    r"""WITH n AS (SELECT p_partkey, regexp_replace(p_name, '[<>:"/\\|?*\x00-\x1F\s]', '_', 'g') || '-Size' || p_size || '.mp4' AS name FROM part)
+    r"""WITH n AS (SELECT p_partkey, regexp_replace(p_name, '[<>:"/\\|?*\x00-\x1F]', '_', 'g') || '-Size' || p_size || '.mp4' AS name FROM part)
 SELECT p_partkey, CASE WHEN k = 0 THEN name ELSE left(name, length(name) - 4) || '-' || k || '.mp4' END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) - 1 AS k FROM n)"""
 )
 def unique_output_names(spark, sf):
@@ -576,8 +576,25 @@ def _kernel(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES |= {"sharpen_cas": _kernel("sharpen"), "line_darken": _kernel("line_darken"), "line_thin": _kernel("line_thin"), "upscale_2x": _kernel("upscale_2x")}
+QUERIES |= {"sharpen_cas": _kernel("sharpen"), "line_darken": _kernel("line_darken"), "upscale_2x": _kernel("upscale_2x")} | {f"line_thin_{v}": _kernel(f"line_thin_{v}") for v in kernels.THINNERS}
 SQL["upscale_2x"] = f"WITH {V} SELECT label, vec_id, CAST(256 AS INT) AS n, round(4 * list_sum(vec), 6) AS total FROM v"
+PIXELS = f"{V}, px AS (SELECT label, vec_id, k // 8 AS i, k % 8 AS j, vec[k + 1] AS x FROM (SELECT label, vec_id, vec, CAST(unnest(range(0, 64)) AS INT) AS k FROM v))"
+SQL["line_darken"] = f"""WITH {PIXELS},
+near AS (SELECT p.vec_id, p.label, p.i, p.j, p.x AS own, q.x, q.i - p.i AS di, q.j - p.j AS dj FROM px p JOIN px q ON p.vec_id = q.vec_id AND abs(p.i - q.i) <= 1 AND abs(p.j - q.j) <= 1),
+e AS (SELECT vec_id, label, i, j, any_value(own) AS own, sqrt(pow(sum(x * dj * (2 - abs(di))), 2) + pow(sum(x * di * (2 - abs(dj))), 2)) AS edge FROM near GROUP BY vec_id, label, i, j),
+r AS (SELECT *, (edge - min(edge) OVER v) / (max(edge) OVER v - min(edge) OVER v) AS share FROM e WINDOW v AS (PARTITION BY vec_id)),
+thin AS (SELECT p.vec_id, p.i, p.j, min(q.share) AS share FROM r p JOIN r q ON p.vec_id = q.vec_id AND abs(p.i - q.i) <= 1 AND abs(p.j - q.j) <= 1 GROUP BY p.vec_id, p.i, p.j),
+soft AS (SELECT p.vec_id, p.i, p.j, sum(q.share * exp(-(pow(q.i - p.i, 2) + pow(q.j - p.j, 2)) / 2)) / pow(1 + 2 * exp(-0.5), 2) AS taken FROM thin p JOIN thin q ON p.vec_id = q.vec_id AND abs(p.i - q.i) <= 1 AND abs(p.j - q.j) <= 1 GROUP BY p.vec_id, p.i, p.j)
+SELECT label, vec_id, CAST(count(*) AS INT) AS n, round(sum(least(greatest(own - 0.7 * taken, 0.0), 1.0)), 6) AS total FROM r JOIN soft USING (vec_id, i, j) GROUP BY label, vec_id"""
+SQL["sharpen_cas"] = f"""WITH {PIXELS.replace("px AS", "px AS MATERIALIZED")},
+near AS (SELECT p.vec_id, p.label, p.i, p.j, q.x, di, dj FROM px p, (SELECT unnest(range(-3, 4)) AS di) a, (SELECT unnest(range(-3, 4)) AS dj) b, px q WHERE q.vec_id = p.vec_id AND q.i = least(greatest(p.i + di, 0), 7) AND q.j = least(greatest(p.j + dj, 0), 7)),
+m AS (SELECT *, CASE WHEN abs(di) > 2 OR abs(dj) > 2 THEN 0.0 ELSE [0, 0.0625, 0.125, 0.0625, 0, 0.0625, 0, -0.125, 0, 0.0625, 0.125, -0.125, -0.5, -0.125, 0.125, 0.0625, 0, -0.125, 0, 0.0625, 0, 0.0625, 0.125, 0.0625, 0][greatest(di + 2, 0) * 5 + dj + 3] END AS w FROM near),
+f AS (SELECT vec_id, label, i, j, max(x) FILTER (di = 0 AND dj = 0) AS own, sum(x) FILTER (abs(di) + abs(dj) = 1) AS four, min(x) FILTER (abs(di) + abs(dj) <= 1) AS low, max(x) FILTER (abs(di) + abs(dj) <= 1) AS high,
+  min(x) FILTER (abs(di) <= 1 AND abs(dj) <= 1) AS low9, max(x) FILTER (abs(di) <= 1 AND abs(dj) <= 1) AS high9, sum(w * x) AS lap, sqrt(greatest(avg(x * x) - pow(avg(x), 2), 0) + 0.000001) AS contrast FROM m GROUP BY vec_id, label, i, j),
+s AS (SELECT vec_id, sum(pow(lap / (contrast + 0.001), 2) * contrast) / (sum(contrast) + 0.000001) AS score FROM f GROUP BY vec_id),
+a AS (SELECT vec_id, least(1 - least(greatest((ln(score + 0.0001) + 2.31) / 1.12, 0), 1), 0.9) AS amount FROM s),
+o AS (SELECT vec_id, label, own, four, -sqrt(least(greatest(least(low + low9, 2 - (high + high9)) / greatest(high + high9, 0.0001), 0), 1)) / (8 - 3 * amount) AS w FROM f JOIN a USING (vec_id))
+SELECT label, vec_id, CAST(count(*) AS INT) AS n, round(sum(least(greatest((own + w * four) / (1 + 4 * w), 0.0), 1.0)), 6) AS total FROM o GROUP BY label, vec_id"""
 
 
 @query("SELECT l_suppkey, l_linenumber, l_extendedprice, l_orderkey, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_extendedprice DESC, l_orderkey DESC, l_partkey DESC) AS k FROM lineitem) WHERE k = 1")
@@ -647,9 +664,27 @@ def stream_gap_plan(spark, sf):
     return _rounded(processors.run_available(processors.interpolate(_stream(spark, sf), "user_id", "event_id", "value", 5, 2, 25.0)))
 
 
+@query(f"WITH {STREAM_P} SELECT user_id, event_id, value, successor FROM (SELECT *, lead(value) OVER w AS successor, lead(pos) OVER w AS next FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)) WHERE next IS NOT NULL")
+def stream_look_ahead(spark, sf):
+    return processors.run_available(processors.with_successor(_stream(spark, sf), "user_id", "event_id", "value"))
+
+
+HOLED = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(value AS DOUBLE) END"
+HOLED_P = STREAM_P.replace("CAST(value AS DOUBLE)", HOLED)
+
+
+@query(_fold_sql("coalesce(p.value IS NULL OR (p.value - r.ref) * (p.value - r.ref) < 25, FALSE)").replace(P, HOLED_P).replace("value AS ref, TRUE AS kept", "value AS ref, value IS NOT NULL AS kept") + " SELECT user_id, event_id, kept FROM r")
+def stream_dedup_nulls(spark, sf):
+    rows = _stream(spark, sf).withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    return processors.run_available(processors.mark_repeats(rows, "user_id", "event_id", "value", 25.0)).select("user_id", "event_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from . import queries_meta  # noqa: E402, F401  registers more queries above

@@ -26,7 +26,7 @@ def path_list(spark: SparkSession, path: str) -> DataFrame:
 
 def split_inputs(df: DataFrame, column: str) -> DataFrame:
     """A row for each of several inputs in one text (SRC11)."""
-    return df.select(F.explode(F.transform(F.split(column, ";"), F.trim)).alias("path")).filter("path <> ''")
+    return df.select(F.explode(F.transform(F.split(column, ";"), lambda x: F.trim(x))).alias("path")).filter("path <> ''")
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:

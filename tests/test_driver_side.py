@@ -60,7 +60,8 @@ def test_options():
     assert spec.with_implied({"dedup_sens": 1})["dedup"] is True
     assert spec.with_implied({"dedup_sens": 1, "dedup": False})["dedup"] is False
     assert spec.capability({"depth": True, "autoclip": True}) == "autoclip" and spec.capability({}) == "frames"
-    assert spec.fall_back("rife-tensorrt", {"rife-ncnn", "rife"}) == "rife-ncnn"
+    assert spec.fall_back("Depth", {"depth-ncnn", "depth-directml"}) == "depth-directml" and spec.fall_back("x", {"y"}) == "x"
+    assert spec.fall_back("rife", {"rife-ncnn", "rife-directml"}, "interpolate") == "rife-ncnn"
     one = spec.load_spec('{"clip": "c", "order": ["t"], "payload": "v", "dedup": "mse"}', factor=3.0)
     assert one.factor == 3.0 and spec.load_spec(spec.dump_spec(one)) == one
     with pytest.raises(ValueError, match="payload"):
@@ -107,10 +108,49 @@ def test_robust_line():
     assert robust_line(x, y) == pytest.approx((1.2, 0.1), abs=0.02)
 
 
-@pytest.mark.parametrize("name", ["sharpen", "line_darken", "line_thin", "soften"])
+def test_line_thinning_pixel_by_pixel():
+    """The plain definition, one pixel at a time, on an image whose lines are to move visibly."""
+    x = np.random.default_rng(4).uniform(size=(8, 10))
+    h, w = x.shape
+
+    def at(a, y, c):
+        y, c = min(max(y, 0), len(a) - 1), min(max(c, 0), len(a[0]) - 1)
+        y0, c0 = int(y), int(c)
+        y1, c1, fy, fc = min(y0 + 1, len(a) - 1), min(c0 + 1, len(a[0]) - 1), y - y0, c - c0
+        return (a[y0][c0] * (1 - fc) + a[y0][c1] * fc) * (1 - fy) + (a[y1][c0] * (1 - fc) + a[y1][c1] * fc) * fy
+
+    def slopes(a, reach):
+        dx, dy = reach * (w - 1) / w, reach * (h - 1) / h
+        across = [[at(a, i, j + dx) - at(a, i, j - dx) for j in range(w)] for i in range(h)]
+        along = [[at(a, i, j - dx) + 2 * a[i][j] + at(a, i, j + dx) for j in range(w)] for i in range(h)]
+        gx = [[(at(across, i - dy, j) + 2 * across[i][j] + at(across, i + dy, j)) / 8 for j in range(w)] for i in range(h)]
+        gy = [[(at(along, i + dy, j) - at(along, i - dy, j)) / 8 for j in range(w)] for i in range(h)]
+        return gx, gy
+
+    gx, gy = slopes(x, 1.0)
+    edge = [[(gx[i][j] ** 2 + gy[i][j] ** 2) ** 0.35 for j in range(w)] for i in range(h)]
+    gx, gy = slopes(edge, 1.0)
+    strength, want = 40.0, np.zeros_like(x)
+    for i in range(h):
+        for j in range(w):
+            y, c = float(i), float(j)
+            for _ in range(6):
+                dx, dy = at(gx, y, c), at(gy, y, c)
+                length = (dx * dx + dy * dy) ** 0.5 + 0.01
+                c, y = c - dx / length * strength * h / 1080 * (w - 1) / w, y - dy / length * strength * h / 1080 * (h - 1) / h
+            want[i, j] = at(x, y, c)
+    made = kernels.thin_lines(x[None], "heavy", strength=strength)[0]
+    assert made == pytest.approx(want) and np.abs(made - x).max() > 0.05
+
+
+@pytest.mark.parametrize("name", ["sharpen", "line_darken", "line_thin_lite", "line_thin_medium", "line_thin_heavy", "soften"])
 def test_kernels_keep_flat_rows(name):
     flat = np.full((2, 8, 8), 0.5)
-    assert kernels.KERNELS[name](flat) == pytest.approx(flat)
+    made = kernels.KERNELS[name](flat)
+    if name == "line_darken":  # beyond the border an image is dark
+        assert made[:, 3:5, 3:5] == pytest.approx(flat[:, 3:5, 3:5])
+    else:
+        assert made == pytest.approx(flat)
     noisy = np.random.default_rng(0).uniform(size=(3, 8, 8))
     made = kernels.KERNELS[name](noisy)
     assert made.shape == noisy.shape and made.min() >= 0 and made.max() <= 1

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from seqengine.functions import metrics, names, rates
 from seqengine.operators import blur, cuts, dedup, normalise, quality, resample, smooth, windows
-from seqengine.operators.clips import with_position
+from seqengine.operators.clips import recurrent, with_position
 from seqengine.plans.spec import Pipeline
 from seqengine.sources import readers, writers
 
@@ -181,6 +181,14 @@ def test_rates(spark):
 def test_names(spark):
     df = spark.createDataFrame([(1, "a.mp4"), (2, "a.mp4"), (3, "b")], "k int, n string")
     assert [r.unique_name for r in names.unique_names(df, "n", ["k"]).orderBy("k").collect()] == ["a.mp4", "a-1.mp4", "b"]
+    many = ["a.mp4", "a.mp4", "a-1.mp4", "a-1.mp4", "x/a.mp4", "a", "a", "a-1", None, "a.mp4", "v1.2/b", "v1.2/b", "a-1-1.mp4"]
+    df = spark.createDataFrame(list(enumerate(many)), "k int, n string").repartition(4)
+    found = [r.unique_name for r in names.unique_names(df, "n", ["k"]).orderBy("k").collect()]
+    assert found == ["a.mp4", "a-1.mp4", "a-1-1.mp4", "a-1-2.mp4", "x/a.mp4", "a", "a-1", "a-1-1", None, "a-2.mp4", "v1.2/b", "v1.2/b-1", "a-1-1-1.mp4"]
+    safe = spark.createDataFrame([("a b<c>:d\t",)], "n string").select(names.safe_name(F.col("n")).alias("s")).first().s
+    assert safe == "a b_c__d_"
+    listed = spark.createDataFrame([(" 0a.mp4 ; b.mp4;; 1c ",)], "l string")
+    assert [r.path for r in readers.split_inputs(listed, "l").collect()] == ["0a.mp4", "b.mp4", "1c"]
     paths = spark.createDataFrame([(f"x/f{i:04d}.png",) for i in (1, 2, 4)] + [(f"y/g{i}.PNG",) for i in (1, 2)], "path string")
     assert {r.prefix: r.whole for r in readers.image_sequences(paths).collect()} == {"x/f": False, "y/g": True}
     row = spark.range(1).select(names.parse_size(F.lit("1280x720"))[1].alias("h"), names.parse_size(F.lit("1280"))[0].alias("w"), names.truncated(F.lit("a" * 99)).alias("t"), names.human_size(F.lit(1536)).alias("s")).first()
@@ -196,8 +204,10 @@ def test_quality(spark):
     assert quality.even_samples(rows, "c", "pos", 30).count() == 30
     same = quality.clip_quality(rows, rows, "c", "pos", "value").first()
     assert (same.samples, same.mse, same.psnr) == (30, 0.0, 99.0)
-    points = spark.createDataFrame([(1, 1.0, 1.0, 5.0), (1, 2.0, 2.0, 9.0), (1, 50.0, 50.0, 1.0)], "c int, x double, y double, s double")
-    assert sorted(r.s for r in quality.suppress(points, "c", "x", "y", "s", 5).collect()) == [1.0, 9.0]
+    points = spark.createDataFrame([(1, 1.0, 1.0, 5.0), (1, 2.0, 2.0, 9.0), (1, 50.0, 50.0, 1.0), (1, 8.0, 2.0, 7.0), (2, 2.0, 2.0, 3.0)], "c int, x double, y double, s double")
+    assert sorted(r.s for r in quality.suppress(points, "c", "x", "y", "s", 5).collect()) == [1.0, 3.0, 7.0, 9.0]
+    values = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 40, 41, 45)] + [(None,)], "v double")
+    assert [r.cluster for r in quality.two_clusters(values, "v").orderBy("v").collect()] == [None, 0, 0, 0, 1, 1, 1]
 
 
 def test_sinks(spark, tmp_path):
@@ -210,3 +220,31 @@ def test_sinks(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/cuts").collect()] == ["1.0", "2.5"]
     (tmp_path / "list.txt").write_text("\"a.mp4\"\n\n b.mp4 \n")
     assert [r.path for r in readers.path_list(spark, str(tmp_path / "list.txt")).collect()] == ["a.mp4", "b.mp4"]
+
+
+def test_null_clips_are_one_clip(spark):
+    rows = spark.createDataFrame([(None, 1, 1.0), (None, 2, 1.0), (1.5, 1, 1.0), (None, 3, 9.0), (float("nan"), 1, 4.0), (float("nan"), 2, 4.0)], "c double, pos int, value double")
+    kept = dedup.mark_repeats(rows.filter("not isnan(c) or c is null"), "c", ["pos"], "value", "mse", 1.0)
+    assert {(r.c, r.pos): r.kept for r in kept.collect()} == {(None, 1): True, (None, 2): False, (None, 3): True, (1.5, 1): True}
+
+
+def test_numbers_are_cut_by_mse_only(spark):
+    rows = clip(spark, [1, 2, 90])
+    with pytest.raises(ValueError, match="ssim"):
+        Pipeline("c", ("pos",), "value", interpolate=True, scene_change="ssim").run(rows)
+    assert Pipeline("c", ("pos",), "value", smooth_dedup=True).normalised().dedup == "ssim"
+
+
+def test_scaling_and_interpolation_commute(spark):
+    """INT12: a pointwise linear kernel may come before or after resampling."""
+    rows = clip(spark, [3, 7, 1, 12])
+    first = resample.interpolate(rows.withColumn("value", F.col("value") * 2 + 1), "c", "pos", "value", 5, 2)
+    last = resample.interpolate(rows, "c", "pos", "value", 5, 2).withColumn("value", F.col("value") * 2 + 1)
+    as_set = lambda df: {(r.slot, r.kind, round(r.value, 9)) for r in df.collect()}
+    assert as_set(first) == as_set(last)
+
+
+def test_recurrent_resets(spark):
+    rows = clip(spark, [1, 2, 3, 4]).withColumn("anew", F.col("pos") == 3)
+    out = recurrent(rows, "c", ["pos"], "value", lambda s, x: ((s or 0) + x, float((s or 0) + x)), "total", reset="anew")
+    assert [r.total for r in out.orderBy("pos").collect()] == [1, 3, 3, 7]
