@@ -41,9 +41,11 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "documents"), uid
 
 
-def small(rows: DataFrame, most: int = 50_000) -> bool:
-    """Is it at most so many rows, to be sent to every task? For rows of a bounded size."""
-    return rows.limit(most + 1).count() <= most
+def small(rows: DataFrame, most: int = 50_000, text: str | None = None, most_bytes: int = 16 << 20) -> bool:
+    """Is it little enough to be sent to every task: at most so many rows, and so many bytes of its text column?"""
+    if rows.limit(most + 1).count() > most:
+        return False
+    return text is None or rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0] <= most_bytes
 
 
 #: For bytes.translate: A-Z to a-z.

@@ -16,21 +16,24 @@ from .license_scan import SPEAKS, TEMPLATES, corpus_paths, scan_licenses
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import score_quality, train_quality
-from .token_counts import apply_edit_lists, count_trees
+from .token_counts import count_edited
 from .toxicity import score_toxicity, train_toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts every document, then counts it again after three edits, each a rule of the text's length."""
-    trees = count_trees(read_table(spark, sf_dir, "documents"))
+    """Counts every document, then counts it again after five edits: rules of the text's length, one of which empties some
+    leaves and the next inserts there, and one that splits a word."""
+    docs = read_table(spark, sf_dir, "documents")
     n = F.length(F.coalesce("text", F.lit("")))
-    edit = lambda pos, removed, inserted: F.struct(pos.cast("long").alias("pos"), F.lit(removed).cast("long").alias("removed"), inserted.alias("inserted"))
+    edit = lambda pos, removed, inserted: F.struct(pos.cast("long").alias("pos"), removed.cast("long").alias("removed"), inserted.alias("inserted"))
     edits = F.array(
-        edit(F.floor(n / 3), 0, F.concat(F.lit(" revised "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
-        edit(F.floor(n / 2), 7, F.lit("")),
-        edit(F.lit(0), 0, F.lit("Revision 2.\n")),
+        edit(F.floor(n / 3), F.lit(0), F.concat(F.lit(" revised "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        edit(F.floor(n / 2), F.floor(n / 5), F.lit("")),
+        edit(F.floor(n / 2), F.lit(0), F.lit("x")),
+        edit(F.floor(n / 4), F.lit(3), F.lit("-")),
+        edit(F.lit(0), F.lit(0), F.lit("Revision 2.\n")),
     )
-    out = apply_edit_lists(trees.withColumn("edits", edits))
+    out = count_edited(docs.select("doc_id", "text", edits.alias("edits")))
     return out.select("doc_id", "n_tokens_before", "n_tokens", "n_encoded_chars", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -8,10 +8,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from seqengine.llm.packing import best_fit, cut, pack_documents, plan
+from seqengine.llm.packing import best_fit, cut, default_ranks, encoder, pack_documents, plan
 
 from .conftest import invented
 
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
 
 @given(st.lists(st.integers(1, 32), max_size=120))
 @settings(max_examples=150, deadline=None)
@@ -68,6 +70,29 @@ def test_round_trip_by_the_other_library(docs_of, rng):
         assert at <= 1024
 
 
+ODD = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\u00a0\u2028aé1'!<|")), max_size=80)
+
+
+@given(st.lists(ODD, min_size=1, max_size=8), st.sampled_from(["", "<|endoftext|>", " <|endoftext|>", "'ll"]))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_any_text(parts, between):
+    """The rank file and the tokenizer file give the same ids."""
+    text = between.join(parts)
+    assert encoder(default_ranks()).encode(text, allowed_special="all") == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_long_runs():
+    for text in ("a" * 30_000, "ab" * 20_000, "!" * 9_999, " " * 20_000, "日" * 5_000, "1" * 10_000, "\n" * 5_000 + "x", "é" * 7_777):
+        assert encoder(default_ranks()).encode(text, allowed_special="all") == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_clashing_columns_and_one_long_piece(docs_of):
+    docs = docs_of([(1, "z" * 40_000), (2, "b")]).selectExpr("*", "'x' as piece", "'y' as sequence_id", "0 as uid", "1 as shard")
+    rows = pack_documents(docs).collect()
+    ids = [*TOKENIZER.encode("z" * 40_000, add_special_tokens=False).ids, 2]
+    assert sum(r.length for r in rows if r.doc_id == 1) == len(ids) and {r.doc_id for r in rows} == {1, 2}
+
+
 def test_repeats_and_empty(docs_of, empty):
     rows = pack_documents(docs_of([(1, "a"), (1, "a"), (None, "b")]), shard_pieces=2).collect()
     assert len(rows) == 3 and len({(r.sequence_id, r.offset) for r in rows}) == 3
