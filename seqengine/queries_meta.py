@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from .functions import metrics, names, rates
 from .operators import blur, cuts, dedup, kernels, normalise, quality, resample
-from .operators.clips import recurrent
+from .operators.clips import recurrent, with_position
 from .plans import spec
-from .queries import P, S, V, _ssim_sql, _vector_fold_sql, cut_rows, events, query, r6, thumbs
+from .queries import MSE25, P, S, V, _ssim_sql, _vector_fold_sql, cut_rows, events, query, r6, thumbs
 from .sources import readers
 
 
@@ -221,6 +221,17 @@ def even_ladders(spark, sf):
     return rows.select("k", (F.col("i") + 1).alias("i"), r6("t").alias("t"))
 
 
+# --- one long clip over many tasks ---------------------------------------------------------
+
+
+@query(f"{MSE25} SELECT user_id, event_id, pos, kept FROM r")
+def dedup_mse_events_spread(spark, sf):
+    """As dedup_mse_events, with positions counted by day and clips folded in chunks, for clips too long for a task."""
+    rows = readers.signal(spark, f"{sf}/events.parquet", "user_id", ["ts", "event_id"], "value")
+    rows = with_position(rows, "user_id", ["ts", "event_id"], bucket=F.date_trunc("day", "ts")).drop("ts")
+    return dedup.mark_repeats_spread(rows, "user_id", "pos", "value", "mse", 25.0, rows_per_chunk=50).select("user_id", "event_id", "pos", "kept")
+
+
 # --- kernels, matches, points -------------------------------------------------------------
 
 

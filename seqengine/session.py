@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; it is removed when the driver process ends."""
+    """A new folder below the shared one; it is removed at the end of `temporary_tables`, or when the driver process ends."""
     path = f"{shared_dir(spark)}/seqengine-{uuid.uuid4().hex[:12]}-{name}"
     _scratch.append((spark, path))
     return path
@@ -42,8 +44,8 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remove_scratch() -> None:
-    for spark, path in _scratch:
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -51,7 +53,18 @@ def _remove_scratch() -> None:
             return
 
 
-atexit.register(_remove_scratch)
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Scratch tables that are made inside go at its end; results that read them must have been written or collected by then."""
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        _remove(_scratch[before:])
+        del _scratch[before:]
+
+
+atexit.register(_remove, _scratch)
 
 
 def ship(spark: SparkSession) -> None:
