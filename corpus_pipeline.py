@@ -16,7 +16,7 @@ from seqengine.llm.exact_dedup import drop_exact_copies
 from seqengine.llm.neardup import drop_near_duplicates
 from seqengine.llm.packing import pack_documents
 from seqengine.llm.quality import drop_low_quality, train_quality
-from seqengine.session import scratch_folder
+from seqengine.session import scratch_folder, temporary_tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     folder = scratch_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with temporary_tables():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
