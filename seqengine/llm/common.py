@@ -48,6 +48,12 @@ def small(rows: DataFrame, most: int = 50_000, text: str | None = None, most_byt
     return text is None or rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0] <= most_bytes
 
 
+def without(docs: DataFrame, uid: str, gone: DataFrame, name: str, most: int = 1_000_000) -> DataFrame:
+    """docs without the rows whose number is a uid of gone. So many numbers (8 bytes each) at most go to every task; more meet docs in a shuffled join."""
+    gone = materialize(gone.select(F.col("uid").alias(uid)), name)
+    return docs.join(F.broadcast(gone) if small(gone, most) else gone, uid, "left_anti")
+
+
 #: For bytes.translate: A-Z to a-z.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 

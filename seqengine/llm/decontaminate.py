@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import ASCII_LOWER, WordHashes, byte_texts, gram_hashes, materialize, numbered
+from .common import ASCII_LOWER, WordHashes, byte_texts, gram_hashes, materialize, numbered, without
 
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: Lower-cases A-Z; any other ASCII that is no letter or digit becomes a space.
@@ -231,7 +231,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, passage: int = 10,
     if not small:
         own, uid = numbered(docs)
         found = _by_join(own.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), items, passage, gram)
-        return own.join(found.filter(F.size("hits") > 0).select(F.col("uid").alias(uid)), uid, "left_anti").select(*docs.columns)
+        return without(own, uid, found.filter(F.size("hits") > 0), "gone").select(*docs.columns)
     known = _broadcast(items, passage, gram)
 
     def clean(batches: Iterator) -> Iterator:

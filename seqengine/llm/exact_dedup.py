@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lower_ascii, materialize, whole_text
+from .common import lower_ascii, materialize, numbered, whole_text, without
 
 
 def exact_groups(docs: DataFrame, first_digit: int = 64, growth: int = 16) -> DataFrame:
@@ -23,12 +23,13 @@ def exact_groups(docs: DataFrame, first_digit: int = 64, growth: int = 16) -> Da
 
     first_digit: bytes in the first digit; each later digit is growth times as wide.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.lit(0).cast("long").alias("gid"),
-        lower_ascii(whole_text()).cast("binary").alias("rest"),
-    )
+    numbers = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _groups(numbers, first_digit, growth).drop("uid")
+
+
+def _groups(docs: DataFrame, first_digit: int = 64, growth: int = 16) -> DataFrame:
+    """The same for docs (uid, doc_id, text), with uid; one row of each group is kept."""
+    rows = docs.select("uid", "doc_id", F.lit(0).cast("long").alias("gid"), lower_ascii(whole_text()).cast("binary").alias("rest"))
     width, done, first = first_digit, [], True
     while True:
         level = materialize(_split(rows, width, first), "radix")
@@ -40,11 +41,11 @@ def exact_groups(docs: DataFrame, first_digit: int = 64, growth: int = 16) -> Da
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    single = out.filter("group_size = 1").select("doc_id", F.col("doc_id").alias("keep_id"), "group_size", F.lit(True).alias("kept"), "text_sha256")
+    single = out.filter("group_size = 1").select("uid", "doc_id", F.col("doc_id").alias("keep_id"), "group_size", F.lit(True).alias("kept"), "text_sha256")
     copies = out.filter("group_size > 1")
     stays = copies.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("gid").agg(F.min("uid").alias("stays"))
     copies = copies.join(stays.withColumnRenamed("gid", "of"), F.struct("gid") == F.struct("of"), "left").select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("uid") == F.col("stays"), F.lit(False)).alias("kept"), "text_sha256"
+        "uid", "doc_id", "keep_id", "group_size", F.coalesce(F.col("uid") == F.col("stays"), F.lit(False)).alias("kept"), "text_sha256"
     )
     return single.unionByName(copies)
 
@@ -76,18 +77,8 @@ def _split(rows: DataFrame, width: int, first: bool) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs, with all their columns, with one row of each text: that with the largest doc_id.
 
-    Rows are found again by id and text, so that ids that are null or repeated do no harm.
+    Rows are told apart by a number of their own, so that ids that are null or repeated do no harm.
     """
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), "text_sha256")
-    groups = exact_groups(docs).filter("group_size > 1").groupBy(key.alias("key"))
-    groups = groups.agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("stay")).filter("stay = 0 or n > stay")
-    groups = materialize(groups, "copies")
-    text_key = F.struct(docs.doc_id.cast("long").alias("doc_id"), F.sha2(lower_ascii(whole_text()).cast("binary"), 256).alias("text_sha256"))
-    key, own = fresh(docs, "_key"), fresh(docs, "_own")
-    kept = docs.join(groups.select(F.col("key").alias(key)), text_key.eqNullSafe(F.col(key)), "left_anti")
-    repeated = groups.filter("stay > 0").select(F.col("key").alias(key))
-    if repeated.isEmpty():
-        return kept
-    # the same id and text in several rows: one of them
-    once = docs.withColumn(own, text_key).join(repeated, F.col(own).eqNullSafe(F.col(key)), "left_semi").dropDuplicates([own])
-    return kept.unionByName(once.drop(own))
+    own, uid = numbered(docs)
+    found = _groups(own.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return without(own, uid, found.filter("not kept"), "gone").select(*docs.columns)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import ASCII_LOWER, WordHashes, byte_texts, connected_components, gram_hashes, materialize, mix64, numbered
+from .common import ASCII_LOWER, WordHashes, byte_texts, connected_components, gram_hashes, materialize, mix64, numbered, without
 
 CHUNKS, PER_CHUNK = 10, 4
 VALUES = CHUNKS * PER_CHUNK
@@ -373,4 +373,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     ship(docs.sparkSession)
     own, uid = numbered(docs)
     found = _components(own.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent)
-    return own.join(found.filter("not stays").select(F.col("uid").alias(uid)), uid, "left_anti").select(*docs.columns)
+    return without(own, uid, found.filter("not stays"), "gone").select(*docs.columns)
