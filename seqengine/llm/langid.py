@@ -117,7 +117,7 @@ def train_languages(docs: DataFrame, clusters: int = 3, sample: int = 800) -> Ce
     for by in (["lang", F.pmod("rank", F.lit(64))], ["lang"]):
         least = least.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("rank"))).filter(F.col("k") <= sample).drop("k")
     least = materialize(least, "sample")
-    chosen = known.join(F.broadcast(least) if small(least, 100_000) else least, ["lang", "rank"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
+    chosen = known.join(F.broadcast(least) if small(least, 100_000, "lang") else least, ["lang", "rank"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
 
     def centre(rows):
         texts = [t.encode() for t in rows["text"]]
