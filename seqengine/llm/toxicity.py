@@ -266,6 +266,8 @@ def train_toxicity(
     names = [f":{name}" for name in (*LEXICONS, *PATTERNS)]
     if not len(y) or not (y == 1).any():
         return Toxicity({f":{name}": 4.5 for name in LEXICONS}, -2.3)
+    mixed = np.random.default_rng(5).permutation(len(y))  # the anchor is no range of ids
+    y, x, fixed = y[mixed], x[mixed], fixed[mixed]
     induced = cover(y, x, voters, purity=0.8)
     votes = np.column_stack([fixed, x[:, induced]]).astype(np.float64)
     votes = votes[:, votes.any(axis=0)]
