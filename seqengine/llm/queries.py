@@ -11,10 +11,13 @@ from .common import read_table
 from .decontaminate import contamination_report, find_contamination
 from .exact_dedup import exact_groups
 from .html_extract import extract_text
+from .infill import infill_report
 from .langid import language_report
 from .license_scan import SPEAKS, TEMPLATES, corpus_paths, scan_licenses
+from .line_dedup import line_report
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .periodic_runs import periodic_runs, runs_report, with_planted_runs
 from .quality import score_quality, train_quality
 from .token_counts import count_edited
 from .toxicity import score_toxicity, train_toxicity
@@ -75,6 +78,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(corpus_paths(read_table(spark, sf_dir, "documents")))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(read_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_report(periodic_runs(with_planted_runs(read_table(spark, sf_dir, "documents")), min_length=6, min_exponent=4))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill_report(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ALL}
 
@@ -90,11 +105,14 @@ ALL = (
     op8_decontamination,
     op9_toxicity,
     op10_license_scan,
+    op11_line_dedup,
+    op12_periodic_runs,
+    op13_fill_in_middle,
 )
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op8_decontamination": OP8_SQL, "op10_license_scan": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op8_decontamination": OP8_SQL, "op10_license_scan": OP10_SQL, "op11_line_dedup": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
 
 
 OP2_SQL = """
@@ -122,6 +140,27 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP11_SQL = """
+WITH lines AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+), common AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(common.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN common USING (key) GROUP BY doc_id
+"""
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y, ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM d),
+formed AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM formed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
 _QUOTED = [(name, text.replace("'", "''")) for name, text in TEMPLATES]
 _ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(string_split_regex({_ASCII}, '[^a-z0-9]+'), lambda w: w <> '')"
