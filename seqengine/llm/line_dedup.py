@@ -243,7 +243,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     found = _bitmaps(own, uid, min_docs, min_chars, keep_first)
     bits, lost = fresh(docs, "keep_bitmap"), fresh(docs, "n_dropped")
     found = found.select(F.col("uid").alias(uid), F.col("keep_bitmap").alias(bits), F.col("n_dropped").alias(lost))
-    met = own.join(found, uid, "left")
+    met = own.join(found.hint("merge"), uid, "left")  # bitmaps grow with the input: never sent to every task, however few they are
     text = F.coalesce(kept_lines(F.when(F.col(bits).isNotNull(), F.col("text")), F.col(bits)), F.col("text"))
     more = []
     if counts:
