@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import clamp
+from .banded import smoothest_paths
 from .clips import ordered
 
 
@@ -44,60 +45,13 @@ def moving_average(df: DataFrame, clip: str, pos: str, column: str, radius: int,
     return df.withColumn(out, F.when(n < 2 * radius + 1, F.col(column)).otherwise(mean))
 
 
-def smoothest(path: np.ndarray, weight: np.ndarray, closeness: float) -> np.ndarray:
-    """The curve with the least weighted energy of its first three differences, that stays close to path (STB05).
+def smooth_paths(df: DataFrame, clip: str, pos: str, paths: list[str], weight: str = "weight", seconds: float = 2.0, run: int = 8192) -> DataFrame:
+    """(clip, pos, smooth_<path>): the curves with the least weighted energy of their first three differences that stay close to the paths (STB05).
 
-    The energies are means, so the objective is quadratic and its minimum solves a banded
-    linear system; rows are eliminated band by band.
+    The energies are means, so that the minimum solves a banded linear system, which is solved in parts: no task holds more than
+    some `run` times three rows of a clip. `pos` counts a clip's rows from 1.
     """
-    n = len(path)
-    if n < 8:
-        return path
-    band = np.zeros((4, n))  # band[k, i]: element (i, i + k)
-    band[0] += closeness / n
-    for order, stencil in ((1, (-1.0, 1.0)), (2, (1.0, -2.0, 1.0)), (3, (-1.0, 3.0, -3.0, 1.0))):
-        rows = n - order
-        share = weight[:rows] / rows
-        for i, a in enumerate(stencil):
-            for j in range(i, order + 1):
-                band[j - i, i : i + rows] += share * a * stencil[j]
-    right = closeness / n * path.astype(float)
-    lower = np.zeros((3, n))
-    for i in range(n):  # L D L' of a symmetric band matrix
-        for k in range(1, 4):
-            if i + k < n:
-                f = lower[k - 1, i] = band[k, i] / band[0, i]
-                for m in range(k, 4):
-                    if i + m < n:
-                        band[m - k, i + k] -= f * band[m, i]
-    x = right.copy()
-    for i in range(n):
-        for k in range(1, 4):
-            if i + k < n:
-                x[i + k] -= lower[k - 1, i] * x[i]
-    x /= band[0]
-    for i in range(n - 1, -1, -1):
-        for k in range(1, 4):
-            if i + k < n:
-                x[i] -= lower[k - 1, i] * x[i + k]
-    return x
-
-
-def smooth_paths(df: DataFrame, clip: str, pos: str, paths: list[str], weight: str = "weight", seconds: float = 2.0) -> DataFrame:
-    """(clip, pos, smooth_<path>): the smoothest curves (STB05).
-
-    The solution needs a whole clip at once: each clip is one group, of its numbers alone.
-    """
-    closeness = 2e-3 / max(seconds, 0.25)
-
-    def solve(rows):
-        rows = rows.sort_values(pos)
-        w = rows[weight].to_numpy(float)
-        return rows[[clip, pos]].assign(**{f"smooth_{p}": smoothest(rows[p].to_numpy(float), w, closeness) for p in paths})
-
-    kinds = dict(df.dtypes)
-    schema = f"{clip} {kinds[clip]}, {pos} {kinds[pos]}, " + ", ".join(f"smooth_{p} double" for p in paths)
-    return df.select(clip, pos, weight, *paths).groupBy(clip).applyInPandas(solve, schema)
+    return smoothest_paths(df, clip, pos, paths, weight, 2e-3 / max(seconds, 0.25), run)
 
 
 def correct(df: DataFrame, fixes: DataFrame, clip: str, pos: str, moves: list[str]) -> DataFrame:

@@ -469,10 +469,48 @@ def trajectory_moving_average(spark, sf):
     return out.select("user_id", "event_id", F.round("smooth_dx", 10).alias("smooth_dx"))
 
 
-@query()
+#: Curves between equal rows pass through means of round numbers; this keeps them off the ties of rounding.
+OFF_TIES = 0.0000031416
+
+
+def _smoothest_sql(source: str, clip: str) -> str:
+    """s (clip, pos, x) of source (clip, pos, weight, path): the banded system row by row, eliminated downwards and put in upwards."""
+    return f"""n AS (SELECT *, count(*) OVER (PARTITION BY {clip}) AS n FROM {source}),
+w AS (SELECT {clip}, pos, n, path, weight AS w0, lag(weight, 1, 0) OVER o AS w1, lag(weight, 2, 0) OVER o AS w2, lag(weight, 3, 0) OVER o AS w3 FROM n WINDOW o AS (PARTITION BY {clip} ORDER BY pos)),
+e AS (SELECT *, CASE WHEN pos <= n - 1 THEN w0 ELSE 0 END / (n - 1) AS a0, w1 / (n - 1) AS a1,
+  CASE WHEN pos <= n - 2 THEN w0 ELSE 0 END / (n - 2) AS b0, CASE WHEN pos <= n - 1 THEN w1 ELSE 0 END / (n - 2) AS b1, w2 / (n - 2) AS b2,
+  CASE WHEN pos <= n - 3 THEN w0 ELSE 0 END / (n - 3) AS c0, CASE WHEN pos <= n - 2 THEN w1 ELSE 0 END / (n - 3) AS c1, CASE WHEN pos <= n - 1 THEN w2 ELSE 0 END / (n - 3) AS c2, w3 / (n - 3) AS c3 FROM w WHERE n >= 8),
+m AS (SELECT {clip}, pos, n, 0.001 / n + a0 + a1 + b0 + 4 * b1 + b2 + c0 + 9 * c1 + 9 * c2 + c3 AS d, -a0 - 2 * b0 - 2 * b1 - 3 * c0 - 9 * c1 - 3 * c2 AS u, b0 + 3 * c0 + 3 * c1 AS v, -c0 AS z, 0.001 / n * path AS y FROM e),
+f AS (
+  SELECT {clip}, pos, n, d, u, v, z, y, [1, 0, 0, 0]::DOUBLE[] AS p1, [1, 0, 0, 0]::DOUBLE[] AS p2 FROM m WHERE pos = 1
+  UNION ALL
+  SELECT m.{clip}, m.pos, m.n, m.d - f.u * f.u / f.d - p1[2] * p1[2] / p1[1] - p2[3] * p2[3] / p2[1], m.u - f.u * f.v / f.d - p1[2] * p1[3] / p1[1], m.v - f.u * f.z / f.d, m.z, m.y - f.u * f.y / f.d - p1[2] * p1[4] / p1[1] - p2[3] * p2[4] / p2[1], [f.d, f.v, f.z, f.y], p1
+  FROM f JOIN m ON m.{clip} = f.{clip} AND m.pos = f.pos + 1
+),
+s AS (
+  SELECT {clip}, pos, y / d AS x, 0::DOUBLE AS x1, 0::DOUBLE AS x2 FROM f WHERE pos = n
+  UNION ALL
+  SELECT f.{clip}, f.pos, (f.y - f.u * s.x - f.v * s.x1 - f.z * s.x2) / f.d, s.x, s.x1 FROM s JOIN f ON f.{clip} = s.{clip} AND f.pos = s.pos - 1
+)"""
+
+
+@query(f"WITH RECURSIVE {T}, given AS (SELECT user_id, pos, weight, path_dx AS path FROM tr), {_smoothest_sql('given', 'user_id')} SELECT user_id, pos, round(x + {OFF_TIES}, 5) AS smooth_path_dx FROM s UNION ALL SELECT user_id, pos, round(path + {OFF_TIES}, 5) FROM n WHERE n < 8")
 def trajectory_quadratic(spark, sf):
     out = smooth.smooth_paths(_motion(spark, sf), "user_id", "pos", ["path_dx"])
-    return out.select("user_id", "pos", r6("smooth_path_dx").alias("smooth_path_dx"))
+    return out.select("user_id", "pos", F.round(F.col("smooth_path_dx") + OFF_TIES, 5).alias("smooth_path_dx"))
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos, CAST(value AS DOUBLE) AS path, least(greatest((value % 10) / 8 - 0.2, 0.0), 1.0) AS weight FROM events),
+{_smoothest_sql('p', 'event_type')} SELECT event_type, pos, round(x, 4) AS smooth_value FROM s UNION ALL SELECT event_type, pos, round(path, 4) FROM n WHERE n < 8"""
+)
+def trajectory_quadratic_spread(spark, sf):
+    """Long clips in runs of 100 blocks, and these in runs again."""
+    rows = readers.signal(spark, f"{sf}/events.parquet", "event_type", ["ts", "event_id"], "value")
+    rows = with_position(rows, "event_type", ["ts", "event_id"], bucket=F.col("ts").cast("date"))
+    rows = rows.withColumn("weight", metrics.clamp((F.col("value") % 10) / 8 - 0.2))
+    out = smooth.smooth_paths(rows, "event_type", "pos", ["value"], run=100)
+    return out.select("event_type", "pos", F.round("smooth_value", 4).alias("smooth_value"))
 
 
 @query(f"WITH {T}, {AVG5} SELECT user_id, event_id, round(value + (smooth_dx - path_dx), 10) AS steadied FROM ma")

@@ -8,7 +8,8 @@ from seqengine.functions.names import suggest
 from seqengine.functions.weights import blend_weights, moving_window, shutter_samples, shutter_window
 from seqengine.operators import kernels, windows
 from seqengine.operators.normalise import next_range, robust_line
-from seqengine.operators.smooth import jacobi, smoothest
+from seqengine.operators.banded import smoothest
+from seqengine.operators.smooth import jacobi
 from seqengine.plans import spec
 
 
