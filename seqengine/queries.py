@@ -17,7 +17,7 @@ from .operators import blur, cuts, dedup, detections, kernels, normalise, qualit
 from .operators.clips import ordered, with_position
 from .plans.spec import Pipeline
 from .sources import readers
-from .streaming import processors
+from .streaming import event_time, processors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -702,9 +702,51 @@ def stream_gap_plan(spark, sf):
     return _rounded(processors.run_available(processors.interpolate(_stream(spark, sf), "user_id", "event_id", "value", 5, 2, 25.0)))
 
 
-@query(f"WITH {STREAM_P} SELECT user_id, event_id, value, successor FROM (SELECT *, lead(value) OVER w AS successor, lead(pos) OVER w AS next FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)) WHERE next IS NOT NULL")
+def _arrivals(spark: SparkSession, sf: str, late: bool) -> list[DataFrame]:
+    """The events in five lots of six days each; with late, every fiftieth row comes one lot later."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id", F.col("value").cast("double").alias("value"))
+    lot = F.least(F.floor((F.dayofmonth("ts") - 1) / 6) + F.when(F.lit(late) & (F.col("event_id") % 50 == 7), 1).otherwise(0), F.lit(4))
+    return [rows.filter(lot == k) for k in range(5)]
+
+
+def _replayed(spark: SparkSession, sf: str, fold: event_time.Fold, late: bool, idle: str = "60 days") -> DataFrame:
+    over = lambda stream: event_time.run_fold(stream, "user_id", "ts", "event_id", "value", fold, "12 hours", "1 day", idle)
+    return event_time.replay(_arrivals(spark, sf, late), over, "ts", "100 days")
+
+
+#: Rows as they come in lots, and which of them are late: their day was past when the watermark stood 12 hours before the latest row of all lots before.
+ARRIVED = """lots AS (SELECT *, CAST(value AS DOUBLE) AS x, epoch_ms(ts) AS ms, epoch_ms(ts) // 86400000 AS day, least((day(ts) - 1) // 6 + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END, 4) AS lot FROM events),
+marks AS (SELECT lot, max(max(ms)) OVER (ORDER BY lot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 43200000 AS mark FROM lots GROUP BY lot),
+came AS (SELECT lots.*, coalesce((day + 1) * 86400000 <= mark, FALSE) AS late FROM lots JOIN marks USING (lot)),
+p AS (SELECT user_id, event_id, x AS value, row_number() OVER (PARTITION BY user_id ORDER BY day, event_id) AS pos FROM came WHERE NOT late)"""
+
+
+@query(f"WITH {STREAM_P} SELECT user_id, event_id, value, lead(value) OVER (PARTITION BY user_id ORDER BY pos) AS successor FROM p")
 def stream_look_ahead(spark, sf):
-    return processors.run_available(processors.with_successor(_stream(spark, sf), "user_id", "event_id", "value"))
+    return _replayed(spark, sf, event_time.successors("event_id"), False).select("user_id", "event_id", "value", "successor")
+
+
+@query(MSE25.replace(P, ARRIVED) + " SELECT user_id, event_id, value, kept, FALSE AS late FROM r UNION ALL SELECT user_id, event_id, x, FALSE, TRUE FROM came WHERE late")
+def stream_late_dedup(spark, sf):
+    return _replayed(spark, sf, event_time.repeats(25.0, "event_id"), True)
+
+
+@query(
+    KEPT.replace(P, ARRIVED) + f""", {_gaps_sql('k', 5, 2)}, ends AS (SELECT user_id, (SELECT max(pos) FROM p WHERE p.user_id = k.user_id) AS last, max(pos) AS kept_pos, arg_max(value, pos) AS value FROM k GROUP BY user_id)
+{_linear_sql('k', 5, 2)} UNION ALL SELECT user_id, unnest(range(kept_pos * 5 // 2 + 1, last * 5 // 2 + 1)), 'tail', round(value, 6) FROM ends UNION ALL SELECT user_id, NULL, 'late', round(x, 6) FROM came WHERE late"""
+)
+def stream_late_slots(spark, sf):
+    return _rounded(_replayed(spark, sf, event_time.slots(5, 2, 25.0), True).drop("late"))
+
+
+@query(
+    f"""WITH {ARRIVED}, c AS (SELECT *, day - lag(day) OVER (PARTITION BY user_id ORDER BY day, event_id) > 2 AS starts FROM came WHERE NOT late),
+n AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY user_id ORDER BY day, event_id ROWS UNBOUNDED PRECEDING) AS session FROM c)
+SELECT user_id, arg_min(event_id, (day, event_id)) AS first_at, arg_max(event_id, (day, event_id)) AS last_at, count(*) AS n, round(sum(x), 4) AS total, FALSE AS late FROM n GROUP BY user_id, session
+UNION ALL SELECT user_id, event_id, event_id, 1, round(x, 4), TRUE FROM came WHERE late"""
+)
+def stream_sessions(spark, sf):
+    return _replayed(spark, sf, event_time.session_totals(), True, "1 day").withColumn("total", F.round("total", 4))
 
 
 HOLED = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(value AS DOUBLE) END"
