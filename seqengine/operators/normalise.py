@@ -34,9 +34,13 @@ def robust_spread(values: Column) -> Column:
     return 1.4826 * median(F.transform(values, lambda x: F.abs(x - m)))
 
 
-def normalise_rows(df: DataFrame, payload: str, low_q: float = 0.02, high_q: float = 0.98, out: str = "normalised") -> DataFrame:
-    """Adds each array scaled from its low and high quantile to [0, 1]; NaN counts as the low one, and a row without numbers is all 0 (NRM01)."""
-    df = df.withColumn("_ok", finite(F.col(payload)))
+def normalise_rows(df: DataFrame, payload: str, low_q: float = 0.02, high_q: float = 0.98, out: str = "normalised", mask: str | None = None) -> DataFrame:
+    """Adds each array scaled from its low and high quantile to [0, 1]; NaN counts as the low one, and a row without numbers is all 0 (NRM01).
+
+    mask: an array of booleans; the quantiles are of the places where it holds.
+    """
+    seen = F.zip_with(payload, mask, lambda x, m: F.when(m, x)) if mask else F.col(payload)
+    df = df.withColumn("_ok", finite(seen))
     df = df.withColumn("_low", quantile(F.col("_ok"), low_q)).withColumn("_high", quantile(F.col("_ok"), high_q))
     span = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-6))
     scaled = F.transform(payload, lambda x: F.when(F.col("_low").isNull(), F.lit(0.0)).when(F.isnan(x) | x.isNull(), F.lit(0.0)).otherwise(clamp((x - F.col("_low")) / span)))
@@ -80,31 +84,3 @@ def robust_line(x: np.ndarray, y: np.ndarray, rounds: int = 3) -> tuple[float, f
         w = np.minimum(1.0, 1.5 * max(float(np.median(off)) * 1.4826, 0.01) / (off + 1e-6))
         line = np.linalg.lstsq(design * w[:, None], y * w, rcond=None)[0]
     return float(line[0]), float(line[1])
-
-
-def steady_rows(df: DataFrame, clip: str, order: list[str], payload: str, strength: float = 0.75, most_scale: float = 0.1, most_shift: float = 0.04, coverage: float = 0.08, close: float = 0.12, out: str = "steady") -> DataFrame:
-    """Adds normalised arrays brought near those of the row before by a small scale and shift (NRM01, temporal part).
-
-    Places are compared with themselves (no motion search); those that changed by `close` or
-    are near 0 or 1 don't count, and fewer than `coverage` of all leave the row as it is.
-    """
-
-    def step(rows, state):
-        made = []
-        for values in rows[payload]:
-            now = np.asarray(values, dtype=float)
-            scale, shift = 1.0, 0.0
-            if state is not None and len(state[0]) == len(now):
-                seen, kept = state
-                use = (np.abs(seen - now) < close) & (now > 0.02) & (now < 0.98) & (kept > 0.02) & (kept < 0.98)
-                if len(now) and use.mean() >= coverage:
-                    a, b = robust_line(now[use], kept[use])
-                    scale = 1 + strength * (min(max(a, 1 - most_scale), 1 + most_scale) - 1)
-                    shift = strength * min(max(b, -most_shift), most_shift)
-            steady = np.clip(scale * now + shift, 0, 1)
-            made.append(steady.tolist())
-            state = now, steady
-        return rows.assign(**{out: made}), state
-
-    schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
-    return fold(df, clip, order, step, f"{schema}, `{out}` array<double>")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import metrics, names, rates
 from .functions.weights import blend_weights, shutter_samples
-from .operators import blur, cuts, dedup, detections, kernels, normalise, quality, resample, smooth, windows
+from .operators import blur, cuts, dedup, detections, kernels, motion, normalise, quality, resample, smooth, windows
 from .operators.clips import ordered, with_position
 from .plans.spec import Pipeline
 from .sources import readers
@@ -545,10 +545,45 @@ def normalise_slow_range(spark, sf):
     return out.select("label", "vec_id", r6("stable_low").alias("stable_low"), r6("stable_high").alias("stable_high"))
 
 
-@query()
+#: Pictures of 8 x 8, and where each place was in the picture before: moves of one place, surroundings of one place, there and back again.
+MATCHED = f"""{Q}, now AS (SELECT label, vec_id, pos, list_transform(vec, lambda x: least(greatest((x - low) / greatest(high - low, 0.000001), 0.0), 1.0)) AS now FROM q),
+pairs AS (SELECT a.label, a.pos, 0 AS way, a.now AS own, b.now AS far FROM now a JOIN now b ON a.label = b.label AND a.pos = b.pos + 1 UNION ALL SELECT a.label, a.pos, 1, b.now, a.now FROM now a JOIN now b ON a.label = b.label AND a.pos = b.pos + 1),
+places AS (SELECT k, k // 8 AS y, k % 8 AS x, dy, dx, list_transform(range(0, 9), lambda o: least(greatest(k // 8 + o // 3 - 1, 0), 7) * 8 + least(greatest(k % 8 + o % 3 - 1, 0), 7) + 1) AS near,
+  list_transform(range(0, 9), lambda o: least(greatest(k // 8 + dy + o // 3 - 1, 0), 7) * 8 + least(greatest(k % 8 + dx + o % 3 - 1, 0), 7) + 1) AS there FROM (SELECT unnest(range(0, 64)) AS k), (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx) WHERE k // 8 + dy BETWEEN 0 AND 7 AND k % 8 + dx BETWEEN 0 AND 7),
+best AS MATERIALIZED (SELECT label, pos, way, k, arg_min(dy * 8 + dx, (round(list_sum(list_transform(range(1, 10), lambda o: abs(own[near[o]] - far[there[o]]))), 9), dy * dy + dx * dx, dy, dx)) AS move FROM pairs, places GROUP BY label, pos, way, k),
+matched AS MATERIALIZED (SELECT a.label, a.pos, list(CASE WHEN a.move + b.move = 0 THEN a.k + a.move + 1 ELSE 0 END ORDER BY a.k) AS match FROM best a JOIN best b ON a.label = b.label AND a.pos = b.pos AND a.way = 0 AND b.way = 1 AND b.k = a.k + a.move GROUP BY a.label, a.pos)"""
+
+
+def _robust_line_sql(inner: str, rounds: int = 3) -> str:
+    """inner (pts: points x and y), with a and b of y ~ a * x + b; far points weigh less in each round."""
+    total = lambda x: f"list_sum(list_transform(range(1, len(pts) + 1), lambda i: ws[i] * ws[i] * {x}))"
+    sums = f"{total('1')} AS s, {total('pts[i].x')} AS sx, {total('pts[i].y')} AS sy, {total('pts[i].x * pts[i].x')} AS sxx, {total('pts[i].x * pts[i].y')} AS sxy"
+    out = f"SELECT *, list_transform(pts, lambda p: 1::DOUBLE) AS ws FROM ({inner})"
+    for k in range(rounds + 1):
+        out = f"SELECT *, (sy - a * sx) / s AS b FROM (SELECT *, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS a FROM (SELECT *, {sums} FROM ({out})))"
+        if k < rounds:
+            out = f"SELECT * EXCLUDE (off), list_transform(off, lambda o: least(1.0, 1.5 * greatest(list_median(off) * 1.4826, 0.01) / (o + 0.000001))) AS ws FROM (SELECT * EXCLUDE (s, sx, sy, sxx, sxy, a, b, ws), list_transform(pts, lambda p: abs(p.y - (a * p.x + b))) AS off FROM ({out}))"
+    return out
+
+
+POINTS = """SELECT n.label, n.vec_id, n.pos, n.now, list_filter(list_transform(range(1, 65), lambda k: CASE WHEN match[k] > 0 THEN {'x': n.now[k], 'y': r.kept[match[k]], 's': r.now[match[k]]} END),
+  lambda p: p IS NOT NULL AND abs(p.s - p.x) < 0.12 AND p.x > 0.02 AND p.x < 0.98 AND p.y > 0.02 AND p.y < 0.98) AS pts FROM r JOIN now n ON n.label = r.label AND n.pos = r.pos + 1 JOIN matched m ON m.label = n.label AND m.pos = n.pos"""
+
+
+@query(f"WITH {MATCHED} SELECT label, pos, CAST(len(list_filter(match, lambda m: m > 0)) AS INT) AS n, CAST(list_sum(match) AS BIGINT) AS places FROM matched")
+def block_motion(spark, sf):
+    rows = normalise.normalise_rows(thumbs(spark, sf), "vec").select("label", "pos", "normalised")
+    met = motion.with_matches(rows, "label", "pos", "normalised", 8, 8, reach=1, block=1).filter("match is not null")
+    return met.select("label", "pos", F.size(F.filter("match", lambda m: m >= 0)).alias("n"), F.aggregate("match", F.lit(0).cast("long"), lambda a, m: a + m + 1).alias("places"))
+
+
+@query(
+    f"""WITH RECURSIVE {MATCHED}, r AS (SELECT label, vec_id, pos, now, now AS kept FROM now WHERE pos = 1 UNION ALL SELECT label, vec_id, pos, now, list_transform(now, lambda x: least(greatest(x * scale + shift, 0.0), 1.0)) FROM (
+SELECT *, CASE WHEN len(pts) >= 0.08 * 64 THEN 1 + 0.75 * (least(greatest(a, 0.9), 1.1) - 1) ELSE 1.0 END AS scale, CASE WHEN len(pts) >= 0.08 * 64 THEN 0.75 * least(greatest(b, -0.04), 0.04) ELSE 0.0 END AS shift FROM ({_robust_line_sql(POINTS)})))
+SELECT label, vec_id, round(list_sum(kept), 6) AS total FROM r"""
+)
 def normalise_steady(spark, sf):
-    rows = normalise.normalise_rows(thumbs(spark, sf), "vec").select("label", "vec_id", "pos", "normalised")
-    out = normalise.steady_rows(rows, "label", ["pos"], "normalised")
+    out = motion.steady_pictures(thumbs(spark, sf).select("label", "vec_id", "pos", "vec"), "label", ["pos"], "vec", 8, 8, reach=1, block=1)
     return out.select("label", "vec_id", r6(F.aggregate("steady", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
