@@ -1,13 +1,13 @@
 """Toxicity by weak supervision.
 
 Voters are small hand-made lexicons, patterns (shouting, masked letters, "you are a ..."),
-and words and word beginnings that labelled rows for learning suggest. A generative label
+and words, word beginnings and their repetitions that labelled rows for learning suggest. A generative label
 model with a hidden type estimates, by expectation maximisation and from the votes alone, how
 often each voter fires in either type, and which voters are correlated beyond the type; these
 depend on each other in the model (a forest). A type is started for each group of voters that
 fire together (those of a language, as a rule), and one for rows without a vote that counts.
 A small part of the rows (`anchor`) shows its labels, which tell what share of each type is
-toxic. A linear classifier on words, word beginnings, lexicons and patterns is trained on the
+toxic. A linear classifier on words, word beginnings, their repetitions, lexicons and patterns is trained on the
 posterior labels and scores every whole text.
 
 The voters and models are fitted on a bounded sample of labelled rows (`sample`). Rows
@@ -53,13 +53,32 @@ _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 
 
-def parts_of(word: str) -> list[str]:
-    """A word as it is, and its beginnings marked by a hyphen."""
-    return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) >= n)]
+#: A beginning is frequent in a text if one in so many words has it, and two at least.
+FREQUENT = 100
 
 
-def words_of(text: bytes) -> set[str]:
-    return set(_WORD.findall(text.decode("utf-8", "replace").lower()))
+def beginnings_of(word: str) -> list[str]:
+    """The beginnings of a word, marked by a hyphen."""
+    return [f"{word[:n]}-" for n in BEGINNINGS if len(word) >= n]
+
+
+def words_of(text: bytes) -> Counter:
+    return Counter(_WORD.findall(text.decode("utf-8", "replace").lower()))
+
+
+def repeated(counts: Counter, n_words: int) -> list[str]:
+    """Parts that stand for beginnings that come twice (abcd-2), and for frequent ones (abcd-often)."""
+    twice = [p for p, k in counts.items() if k >= 2]
+    return [f"{p}2" for p in twice] + [f"{p}often" for p in twice if counts[p] * FREQUENT >= n_words]
+
+
+def parts_in(words: Counter) -> set[str]:
+    """The words of a text, their beginnings, and which of these are repeated."""
+    counts: Counter = Counter()
+    for w, k in words.items():
+        for p in beginnings_of(w):
+            counts[p] += k
+    return {*words, *counts, *repeated(counts, words.total())}
 
 
 def _forest(strength: np.ndarray, least: float) -> tuple[list[int], list[int]]:
@@ -160,8 +179,8 @@ class LabelModel:
         return self.type_posterior(votes) @ self.toxic
 
 
-def candidates(sample: DataFrame, most: int, support: int) -> list[str]:
-    """Words and word beginnings that mark label 1 among the rows of sample (y, text), at most `most`."""
+def candidates(sample: DataFrame, support: int, share: float) -> list[str]:
+    """All parts that mark label 1 among the rows of sample (y, text): half of the rows with it have label 1, and of those with label 1 at least `support` and `share` have it."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -169,15 +188,16 @@ def candidates(sample: DataFrame, most: int, support: int) -> list[str]:
         ones, rows = Counter(), Counter()
         for batch in batches:
             for y, text in zip(batch.column("y").to_pylist(), byte_texts(batch.column("text")), strict=True):
-                own = {p for w in words_of(text) for p in parts_of(w)}
+                own = parts_in(words_of(text))
                 rows.update(own)
                 if y:
                     ones.update(own)
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64()), pa.array([ones[p] for p in rows], pa.int64())], names=["part", "n", "ones"])
 
     sums = sample.select("y", "text").mapInArrow(count, "part string, n long, ones long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-    marked = sums.filter((F.col("ones") >= support) & (F.col("ones") >= 0.5 * F.col("n")))
-    return [r["part"] for r in marked.orderBy(F.desc("ones"), "part").limit(most).collect()]
+    least = max(support, share * sample.filter("y = 1").count())
+    marked = sums.filter((F.col("ones") >= least) & (F.col("ones") >= 0.5 * F.col("n")))
+    return [r["part"] for r in marked.orderBy(F.desc("ones"), "part").collect()]
 
 
 def sample_hits(sample: DataFrame, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,8 +211,8 @@ def sample_hits(sample: DataFrame, parts: list[str]) -> tuple[np.ndarray, np.nda
         for batch in batches:
             found, fixed = [], []
             for text in byte_texts(batch.column("text")):
-                own = words_of(text)
-                at = sorted({place[p] for w in own for p in parts_of(w) if p in place})
+                words = words_of(text)
+                own, at = set(words), sorted(place[p] for p in parts_in(words) if p in place)
                 whole = text.decode("utf-8", "replace")
                 found.append(at)
                 fixed.append([bool(own & x) for x in lexicons] + [bool(p.search(whole)) for p in _COMPILED.values()])
@@ -227,6 +247,7 @@ class Toxicity:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias, self.known = weights, bias, {}
+        self.beginnings = {p[: p.rindex("-") + 1] for p in weights if "-" in p}
         self.lexicon: dict[str, list[str]] = {}
         for name, words in LEXICONS.items():
             if weights.get(f":{name}"):
@@ -235,15 +256,21 @@ class Toxicity:
         self.patterns = [(f":{name}", p) for name, p in _COMPILED.items() if weights.get(f":{name}")]
 
     def score(self, text: bytes) -> float:
-        known, own = self.known, set()
-        for w in words_of(text):
+        known, own, counts = self.known, set(), Counter()
+        words = words_of(text)
+        for w, k in words.items():
             hit = known.get(w)
             if hit is None:
                 if len(known) > 300_000:
                     known.clear()
-                hit = known[w] = (*(p for p in parts_of(w) if p in self.weights), *self.lexicon.get(w, ()))
-            if hit:
-                own.update(hit)
+                whole = (*([w] if w in self.weights else []), *self.lexicon.get(w, ()))
+                hit = known[w] = (whole, tuple(p for p in beginnings_of(w) if p in self.beginnings))
+            if hit[0]:
+                own.update(hit[0])
+            for p in hit[1]:
+                counts[p] += k
+        if counts:
+            own.update(p for p in (*counts, *repeated(counts, words.total())) if p in self.weights)
         if self.patterns:
             whole = text.decode("utf-8", "replace")
             own.update(name for name, p in self.patterns if p.search(whole))
@@ -252,16 +279,16 @@ class Toxicity:
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, sample: int = 16_000, most: int = 600, voters: int = 60, anchor: int = 1_000
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, sample: int = 16_000, share: float = 0.005, voters: int = 200, anchor: int = 1_000
 ) -> Toxicity:
     """Voters from at most `sample` labelled rows outside fold 0, the label model on their votes, of which the first
-    `anchor` rows show their label, and the classifier on the posterior labels. Counts, and hits of at most `most`
-    parts, come to the driver."""
+    `anchor` rows show their label, and the classifier on the posterior labels. Counts, and hits of all parts that three rows and `share`
+    of the rows with label 1 have, come to the driver. At most `voters` parts vote, those first that mark what the others don't."""
     ship(docs.sparkSession)
     chosen = labelled_sample(labels, label, sample, folds)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
     texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))
-    parts = candidates(texts, most, support=3)
+    parts = candidates(texts, 3, share)
     y, x, fixed = sample_hits(texts, parts)
     names = [f":{name}" for name in (*LEXICONS, *PATTERNS)]
     if not len(y) or not (y == 1).any():

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from seqengine.llm import toxicity
 from seqengine.llm.langid import identify_languages, language_report, train_languages
 from seqengine.llm.linear import dual_coordinate_descent, logistic_of_margins
 from seqengine.llm.quality import drop_low_quality, score_quality, train_quality
@@ -101,6 +102,32 @@ def test_label_model_without_labels():
     assert ((model.posterior(np.delete(votes, 6, axis=1)) > 0.5) == y).mean() > 0.915
 
 
+def test_posterior_like_the_plain_product():
+    """The chance of each type is its share times the rates of all votes, each given its parent's vote."""
+    votes, _, y, _ = planted_votes()
+    model = LabelModel(votes[:400], y[:40])
+    for row in votes[:25]:
+        chances = []
+        for t, share in enumerate(model.types):
+            p = share
+            for j, vote in enumerate(row):
+                above = int(row[model.parents[j]]) if model.parents[j] >= 0 else 0
+                rate = min(max(model.rates[j, t, above], 1e-5), 1 - 1e-5)
+                p *= rate if vote else 1 - rate
+            chances.append(p)
+        expected = sum(c * share for c, share in zip(chances, model.toxic, strict=True)) / sum(chances)
+        assert abs(model.posterior(row[None, :])[0] - expected) < 1e-9
+
+
+def test_repeated_beginnings():
+    words = toxicity.words_of(b"abcdx abcdy " + b"zz " * 198)
+    assert {"abcd-", "abcd-2", "abcd-often", "abcdx", "abcdx-", "zz"} <= toxicity.parts_in(words) and "abcdx-2" not in toxicity.parts_in(words)
+    assert "abcd-often" not in toxicity.parts_in(toxicity.words_of(b"abcdx abcdy " + b"zz " * 199))
+    model = toxicity.Toxicity({"abcd-2": 3.0, "abcdx": 1.0, "wxyz-often": 5.0}, -2.0)
+    scores = [round(float(np.log(s / (1 - s))), 6) for s in map(model.score, (b"", b"abcdx", b"abcdy abcdz", b"abcdx abcdx", b"wxyz1 wxyza"))]
+    assert scores == [-2.0, -1.0, 1.0, 2.0, 3.0]
+
+
 def test_toxicity_edges(docs_of, spark, rng):
     """Repeated ids teach once, clashing columns are ignored, a lexicon without a hit still counts, long texts are read to their end."""
     docs, labels, _ = labelled(docs_of, spark, rng)
