@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,3 +143,21 @@ def two_clusters(df: DataFrame, value: str, rounds: int = 20, out: str = "cluste
         a, b = new
     near = F.abs(F.col(value) - F.lit(a).cast("double")) <= F.abs(F.col(value) - F.lit(b).cast("double"))
     return df.withColumn(out, F.when(near, 0).when(~near, 1))
+
+
+def longest_known(df: DataFrame, name: str, table: DataFrame, key: str, separator: str = "-", most_bytes: int = 16 << 20) -> DataFrame:
+    """df with `table`'s columns for the longest beginning of a name that it knows, cut at separators from the end (JON05).
+
+    A name meets the table once for each of its beginnings, and the longest that is met stays; without any, the columns are
+    null. key is unique in table, which goes to every task if its text has at most `most_bytes`. Columns of table must not be in df.
+    """
+    words = F.split(name, re.escape(separator))
+    starts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), separator))
+    names = df.select(name).filter(F.col(name).isNotNull()).distinct()
+    tried = names.select(name, F.explode(starts).alias("_start"))
+    columns = table.columns
+    size = table.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*columns)))), F.lit(0))).first()[0]
+    met = tried.join(F.broadcast(table) if size <= most_bytes else table, F.col("_start") == F.col(key))
+    best = met.groupBy(name).agg(F.max_by(F.struct(*columns), F.length("_start")).alias("_best")).select(F.col(name).alias("_name"), "_best")
+    found = df.join(best, F.col(name) == F.col("_name"), "left")
+    return found.select(*df.columns, *(F.col(f"_best.{c}").alias(c) for c in columns))

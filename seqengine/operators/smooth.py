@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import clamp
 from .banded import smoothest_paths
+from .bands import over_halo
 from .clips import ordered
 
 
@@ -66,9 +67,9 @@ def affine(dx: Column, dy: Column, da: Column, cx: Column, cy: Column) -> Column
     return F.array(c, -s, (1 - c) * cx + s * cy + dx, s, c, (1 - c) * cy - s * cx + dy)
 
 
-def jacobi(values: np.ndarray, rounds: int = 50, strength: float = 100.0, radius: int = 3) -> np.ndarray:
+def jacobi(values: np.ndarray, rounds: int = 50, strength: float = 100.0, radius: int = 3, least: int = 12) -> np.ndarray:
     """Repeated weighted means of the rows around each, against its own value (STB08); short series stay."""
-    if len(values) < 12:
+    if len(values) < least:
         return values
     taps = [k for k in range(-radius, radius + 1) if k]
     kernel = {k: float(np.exp(-9 * k * k / radius**2)) for k in taps}
@@ -77,7 +78,18 @@ def jacobi(values: np.ndarray, rounds: int = 50, strength: float = 100.0, radius
         total, norm = values.astype(float).copy(), np.ones(n)
         for k, w in kernel.items():
             low, high = max(0, -k), min(n, n - k)
+            if low >= high:
+                continue
             total[low:high] += strength * w * now[low + k : high + k]
             norm[low:high] += strength * w
         now = total / norm
     return now
+
+
+def jacobi_paths(df: DataFrame, clip: str, pos: str, column: str, rounds: int = 50, strength: float = 100.0, radius: int = 3, core: int = 4096, out: str = "smoothed") -> DataFrame:
+    """df with the repeated means of a column (STB08, WIN12), `core` rows of a clip in one task at a time.
+
+    Each round looks `radius` rows further, so with a halo of all rounds the result is that of the whole clip.
+    """
+    kernel = lambda values, whole: jacobi(values, rounds, strength, radius, 12 if whole else 0)
+    return over_halo(df, clip, pos, column, kernel, core, rounds * radius, out)
