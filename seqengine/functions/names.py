@@ -6,6 +6,7 @@ import difflib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..operators.clips import fold
 
@@ -31,22 +32,31 @@ def output_name(stem: Column, features: list[tuple[str, Column | None]], extensi
     return F.concat(F.concat_ws("", *parts), F.lit(f".{extension}"))
 
 
-def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
+def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_name", taken: DataFrame | None = None) -> DataFrame:
     """Adds a name that is unique in df: one that is taken gets the least of -1, -2, … before its extension that is free (SNK12).
 
     Names are handed out in order among those that can meet: equal but for such suffixes. The
     names of one such family are kept in memory by the task that deals with it. A null name
-    stays null.
+    stays null. taken: a table of names (one column) that are there already, as on disk, and go to no row.
     """
-    root, ext = F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 2)
-    family = F.coalesce(F.concat(F.regexp_replace(root, r"(-\d+)+$", ""), F.lit("\0"), ext), F.lit(""))
-    rows = df.withColumn("_family", family)
+    def family(of: Column) -> Column:
+        root, ext = F.regexp_extract(of, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(of, r"^(.*?)(\.[^./]*)?$", 2)
+        return F.coalesce(F.concat(F.regexp_replace(root, r"(-\d+)+$", ""), F.lit("\0"), ext), F.lit(""))
+
+    rows = df.withColumn("_family", family(F.col(name))).withColumn("_there", F.lit(False))
+    if taken is not None:
+        there = taken.select(F.col(taken.columns[0]).alias(name)).filter(F.col(name).isNotNull()).distinct()
+        there = there.withColumn("_family", family(F.col(name))).withColumn("_there", F.lit(True))
+        # only those that can meet a row
+        rows = rows.unionByName(there.join(rows.select("_family").distinct(), "_family", "left_semi"), allowMissingColumns=True)
 
     def step(rows, state):
         taken, following = state or (set(), {})
         made = []
-        for one in rows[name].tolist():
-            if one is None or one != one:
+        for one, there in zip(rows[name].tolist(), rows["_there"].tolist(), strict=True):
+            if there or one is None or one != one:
+                if there:
+                    taken.add(one)
                 made.append(None)
                 continue
             free = one
@@ -62,7 +72,8 @@ def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_
         return rows.assign(**{out: made}), (taken, following)
 
     schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
-    return fold(rows, "_family", order, step, f"{schema}, `{out}` string").drop("_family")
+    made = fold(rows.withColumn("_late", ~F.col("_there")), "_family", ["_late", *order], step, f"{schema}, `_late` boolean, `{out}` string")
+    return made.filter("not _there").drop("_family", "_there", "_late")
 
 
 def is_readable(path: Column) -> Column:
@@ -113,6 +124,17 @@ def closest(df: DataFrame, word: str, choices: list[str], n: int = 3) -> DataFra
     return met.select(word, F.col("one.choice").alias("choice"), F.col("one.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
 
 
+def closest_by_ratio(df: DataFrame, word: str, choices: list[str], n: int = 3, cutoff: float = 0.4) -> DataFrame:
+    """For each word of df at most n choices whose likeness (twice the matching characters over all) is `cutoff` at least, the likest first (FIL09, TOP02)."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def near(words):
+        return words.map(lambda w: [] if w is None else suggest(w, choices, n, cutoff))
+
+    met = df.select(word).distinct().select(word, F.posexplode(near(word)).alias("rank", "choice"))
+    return met.select(word, "choice", (F.col("rank") + 1).alias("rank"))
+
+
 def can_decode_in_hardware(codec: Column, pixel_format: Column) -> Column:
     """SRC02: neither the codec nor the pixel format rules it out; unknown ones are allowed."""
     return ~F.coalesce(F.lower(codec).isin(SOFTWARE_CODECS), F.lit(False)) & ~F.coalesce(F.lower(pixel_format).rlike(r"^(bgr|rgb|gbr|pal|ya)"), F.lit(False))

@@ -35,6 +35,12 @@ def shutter_samples(factor: int, angle: float) -> tuple[list[float], list[float]
     return [k / factor for k in range(factor - left, factor)], [k / factor for k in range(1, right + 1)]
 
 
+def shared_samples(factor: int, angle: float) -> list[float]:
+    """The times of an interval that the rows on either side of it need, each once (SET05)."""
+    left, right = shutter_samples(factor, angle)
+    return sorted({*left, *right})
+
+
 def moving_window(fps: float) -> int:
     """An odd window of about two seconds, at least 3 (STB04)."""
     n = max(3, round(fps * 2))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import clamp
@@ -84,3 +84,26 @@ def robust_line(x: np.ndarray, y: np.ndarray, rounds: int = 3) -> tuple[float, f
         w = np.minimum(1.0, 1.5 * max(float(np.median(off)) * 1.4826, 0.01) / (off + 1e-6))
         line = np.linalg.lstsq(design * w[:, None], y * w, rcond=None)[0]
     return float(line[0]), float(line[1])
+
+
+def robust_lines(df: DataFrame, group: str, x: str, y: str, rounds: int = 3) -> DataFrame:
+    """(group, n, scale, shift) of y ~ scale * x + shift in each group, far rows weighing less in each round (AGG11).
+
+    All rounds are windows over one partitioning. A null in x or y leaves a row out; a group of one x has no line.
+    """
+    whole = Window.partitionBy(group)
+    rows = df.select(group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x is not null and _y is not null")
+    rows = rows.withColumn("_w", F.lit(1.0))
+    a, b, u, v, w = (F.col(f"_{c}") for c in "abxyw")
+    for k in range(rounds + 1):
+        total = {"s": w * w, "sx": w * w * u, "sy": w * w * v}
+        rows = rows.withColumns({f"_{n}": F.sum(c).over(whole) for n, c in total.items()})
+        rows = rows.withColumns({"_u": u - F.col("_sx") / F.col("_s"), "_v": v - F.col("_sy") / F.col("_s")})
+        rows = rows.withColumns({"_uu": F.sum(w * w * F.col("_u") * F.col("_u")).over(whole), "_uv": F.sum(w * w * F.col("_u") * F.col("_v")).over(whole)})
+        rows = rows.withColumn("_a", F.when(F.col("_uu") > 0, F.col("_uv") / F.col("_uu"))).withColumn("_b", (F.col("_sy") - a * F.col("_sx")) / F.col("_s"))
+        if k < rounds:
+            rows = rows.withColumn("_off", F.abs(v - (a * u + b)))
+            sigma = F.greatest(F.median("_off").over(whole) * 1.4826, F.lit(0.01))
+            rows = rows.withColumn("_w", F.least(F.lit(1.0), 1.5 * sigma / (F.col("_off") + 1e-6)))
+        rows = rows.select(group, "_x", "_y", "_w", "_a", "_b")
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.first("_a").alias("scale"), F.first("_b").alias("shift"))

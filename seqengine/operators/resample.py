@@ -23,9 +23,10 @@ def time_in_gap(slot: Column, prev: Column, cur: Column, n: int, d: int) -> Colu
     return (slot * d - prev * n) / (F.lit(float(n)) * (cur - prev))
 
 
-def ladder(k: int) -> Column:
+def ladder(k: int | Column) -> Column:
     """k even times in (0, 1) (INT03)."""
-    return F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: i / F.lit(float(k + 1))) if k > 0 else F.array().cast("array<double>")
+    k = F.lit(k) if isinstance(k, int) else k
+    return F.when(k > 0, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: i / (k + 1).cast("double"))).otherwise(F.array().cast("array<double>"))
 
 
 def hold_before_cut(prev: Column, cur: Column, n: int, d: int) -> Column:

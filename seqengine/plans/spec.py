@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import suggest
@@ -55,6 +55,18 @@ def cut_threshold(method: str, sensitivity: float) -> float:
     return (100 - sensitivity) * 50 if method.startswith("mse") else 1 - sensitivity / 100
 
 
+def job_thresholds(method: Column, sensitivity: Column) -> tuple[Column, Column]:
+    """The dedup and cut thresholds of many jobs, each with its own method and sensitivity (CFG02, CFG03)."""
+    kind, s = F.lower(method), sensitivity.cast("double")
+    dedup = F.when(kind.startswith("ssim"), 1 - s / 1000).when(kind.startswith("vmaf"), 100 - s / 10).when(kind.startswith("flownet"), s / 100).otherwise(s)
+    return dedup, F.when(kind.startswith("ssim"), s / 100).when(kind.startswith("mse"), (100 - s) * 50).otherwise(1 - s / 100)
+
+
+def job_options(text: Column, schema: str) -> Column:
+    """The options of a job from its JSON text, null where it isn't any; unknown ones are left out (SRC16)."""
+    return F.from_json(text, schema)
+
+
 def autoclip_threshold(method: str, sensitivity: float) -> float:
     """CFG04."""
     return max(0.5, 3 * (100 - sensitivity) / 50) if method == "adaptive" else 1 - sensitivity / 100

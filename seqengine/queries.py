@@ -802,4 +802,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import queries_bands, queries_meta  # noqa: E402, F401  register more queries above
+from . import queries_bands, queries_meta, queries_runs  # noqa: E402, F401  register more queries above

@@ -111,13 +111,18 @@ def paddings(spark, sf):
     return parts(spark, sf).select("p_partkey", *(c.alias(n) for n, c in out.items()))
 
 
+JOB_METHODS = ["ssim", "mse", "vmaf", "flownets", "ssim-cuda", None]
+
+
 @query(
-    """SELECT 'ssim' AS method, CAST(s AS INT) AS sens, round(1 - s / 1000.0, 6) AS dedup, round(s / 100.0, 6) AS cut FROM range(0, 101) t(s) UNION ALL SELECT 'mse', s, s, (100 - s) * 50 FROM range(0, 101) t(s)
-UNION ALL SELECT 'vmaf', s, round(100 - s / 10.0, 6), round(1 - s / 100.0, 6) FROM range(0, 101) t(s) UNION ALL SELECT 'flownets', s, round(s / 100.0, 6), round(1 - s / 100.0, 6) FROM range(0, 101) t(s)"""
+    f"""WITH j AS (SELECT p_partkey, {_chosen('p_partkey', JOB_METHODS)} AS method, CAST(p_size AS DOUBLE) AS s FROM part)
+SELECT p_partkey, round(CASE WHEN method LIKE 'ssim%' THEN 1 - s / 1000 WHEN method = 'vmaf' THEN 100 - s / 10 WHEN method = 'flownets' THEN s / 100 ELSE s END, 6) AS dedup,
+  round(CASE WHEN method LIKE 'ssim%' THEN s / 100 WHEN method = 'mse' THEN (100 - s) * 50 ELSE 1 - s / 100 END, 6) AS cut FROM j"""
 )
 def thresholds(spark, sf):
-    rows = [(m, s, round(float(spec.dedup_threshold(m, s)), 6), round(float(spec.cut_threshold(m, s)), 6)) for m in ("ssim", "mse", "vmaf", "flownets") for s in range(101)]
-    return spark.createDataFrame(rows, "method string, sens int, dedup double, cut double")
+    """Parts as jobs, each with a method and a sensitivity of its own."""
+    dedup_at, cut_at = spec.job_thresholds(_choose(F.col("p_partkey"), JOB_METHODS), F.col("p_size"))
+    return parts(spark, sf).select("p_partkey", r6(dedup_at).alias("dedup"), r6(cut_at).alias("cut"))
 
 
 WORDS = ["EGYPT", "FRANCE", "GERMANY", "INDIA", "IRAN", "IRAQ", "JAPAN", "PERU"]
@@ -214,11 +219,10 @@ def mask_weights(spark, sf):
     return thumbs(spark, sf).select("vec_id", r6(metrics.luma(*c[:3])).alias("luma"), r6(blur.mask_weight(*c)).alias("weight"), r6(blur.mask_weight(*c[:3])).alias("opaque"))
 
 
-@query("SELECT CAST(k AS INT) AS k, CAST(i AS INT) AS i, round(i / CAST(k + 1 AS DOUBLE), 6) AS t FROM range(1, 9) a(k), range(1, 9) b(i) WHERE i <= k")
+@query("SELECT p_partkey, CAST(i AS INT) AS i, round(i / CAST(p_size % 9 + 1 AS DOUBLE), 6) AS t FROM (SELECT *, unnest(range(1, p_size % 9 + 1)) AS i FROM part)")
 def even_ladders(spark, sf):
-    rungs = F.array(*(resample.ladder(k) for k in range(1, 9)))
-    rows = spark.range(1).select(F.posexplode(rungs).alias("k", "rungs")).select((F.col("k") + 1).alias("k"), F.posexplode("rungs").alias("i", "t"))
-    return rows.select("k", (F.col("i") + 1).alias("i"), r6("t").alias("t"))
+    rungs = parts(spark, sf).select("p_partkey", F.posexplode(resample.ladder(F.col("p_size") % 9)).alias("i", "t"))
+    return rungs.select("p_partkey", (F.col("i") + 1).alias("i"), r6("t").alias("t"))
 
 
 # --- one long clip over many tasks ---------------------------------------------------------
@@ -289,11 +293,13 @@ def suppressed_points(spark, sf):
     return quality.suppress(rows, "user_id", "x", "y", "score", 8).select("user_id", "event_id")
 
 
-@query(f"WITH {P} SELECT user_id, count(*) AS n FROM p GROUP BY user_id")
+@query(f"WITH {P}, o AS (SELECT user_id, pos * 10 AS slot, pos FROM p WHERE pos % 2 = 0 UNION ALL SELECT user_id, pos * 10 + 1, pos FROM p WHERE pos % 3 = 0 UNION ALL SELECT user_id, pos * 10, pos FROM p WHERE pos % 2 = 1) SELECT user_id, slot, pos, row_number() OVER (PARTITION BY user_id ORDER BY slot) AS place FROM o")
 def ordered_union(spark, sf):
-    rows = events(spark, sf).select("user_id", "pos")
-    both = quality.ordered_union(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 = 1"))
-    return both.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Three parts of a clip that interleave; rows that two of them have stay twice, and all go by their slots."""
+    rows = events(spark, sf).select("user_id", (F.col("pos") * 10).alias("slot"), "pos")
+    again = rows.filter("pos % 3 = 0").withColumn("slot", F.col("slot") + 1)
+    both = quality.ordered_union(rows.filter("pos % 2 = 0"), again, rows.filter("pos % 2 = 1"))
+    return with_position(both, "user_id", ["slot"], "place")
 
 
 @query(f"WITH {P}, a AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) AS change FROM p) SELECT user_id, event_id, coalesce(change > 20, FALSE) AS is_cut FROM a")

@@ -20,7 +20,8 @@ def vectors(spark: SparkSession, path: str, clip: str, order: list[str], vector:
 
 def path_list(spark: SparkSession, path: str) -> DataFrame:
     """A text file with a path in each line: blank lines are left out, quotes taken off (SRC10)."""
-    line = F.trim(F.regexp_replace(F.trim("value"), r"^[\"']+|[\"']+$", ""))
+    stripped = lambda text: F.btrim(text, F.lit(" \t\r\n\x0b\x0c"))
+    line = stripped(F.regexp_replace(stripped(F.col("value")), r"^[\"']+|[\"']+$", ""))
     return spark.read.text(path).select(line.alias("path")).filter("path <> ''")
 
 
