@@ -23,8 +23,8 @@ def exact_groups(docs: DataFrame, first_digit: int = 64, growth: int = 16) -> Da
 
     first_digit: bytes in the first digit; each later digit is growth times as wide.
     """
-    numbers = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _groups(numbers, first_digit, growth).drop("uid")
+    own, uid = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return _groups(own.withColumnRenamed(uid, "uid"), first_digit, growth).drop("uid")
 
 
 def _groups(docs: DataFrame, first_digit: int = 64, growth: int = 16) -> DataFrame:

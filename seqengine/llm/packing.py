@@ -1,11 +1,11 @@
 """Packing of tokenised documents into sequences of a fixed length by exact-complement hashing.
 
-Documents become pieces (Spark: one pass, no shuffle). The pieces are dealt by hash into
-shards of a bounded number of pieces, each of which is packed by itself. A shard is packed
-from the counts of its piece lengths alone: for the longest length left, the gap is looked
+Documents become pieces (Spark: one pass, no shuffle). How many pieces there are of each length is all that a plan
+needs: for the longest length left, the gap is looked
 up among single lengths, then pair sums, then triple sums; a combination that fills the
 gap exactly is used as often as the counts allow. What finds no exact complement is
-packed by best fit. More data makes more shards, not larger ones.
+packed by best fit. The plan is made once, for all pieces, from these counts (as many as a sequence has tokens); a piece finds its
+place by its rank among the pieces of its length: its rank in the task that cut it, behind those of the tasks before.
 
 Rows and edge cases: a null or empty text is the end token alone; a repeated row or a null
 doc_id is packed like any other row; an empty table gives an empty result; other columns
@@ -19,13 +19,14 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PLACED = f"{PIECES}, sequence_id long, offset long"
 
 
 def default_ranks() -> str:
@@ -184,36 +185,73 @@ def best_fit(left: np.ndarray, capacity: int, part: list[tuple[tuple[int, ...],
     return [(held, many) for same in open_.values() for held, many in same.items()]
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, shard_pieces: int = 16384) -> DataFrame:
-    """pieces with sequence_id and offset: a place in a sequence of at most capacity tokens.
+class Slots:
+    """Where the pieces of each length go: the r-th piece of a length in the run of a plan's entry that holds r."""
 
-    shard_pieces: pieces packed together, on average; a shard wastes a sequence or two.
-    """
-    ship(pieces.sparkSession)
-    kept = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    shards = max(1, -(-kept.count() // shard_pieces))
-
-    def place(shard):
-        length = shard["length"].to_numpy()
-        order = np.argsort(length, kind="stable")
-        counts = np.bincount(length, minlength=capacity + 1)
-        following = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        sequence, offset, base = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), 0
-        for lengths, times in plan(counts, capacity):
+    def __init__(self, planned: list[tuple[tuple[int, ...], int]]):
+        self.runs: dict[int, list[list[int]]] = {}
+        taken, base = Counter(), 0
+        for lengths, times in planned:
             at = 0
             for x in lengths:
-                rows = order[following[x] : following[x] + times]
-                following[x] += times
-                sequence[rows], offset[rows] = np.arange(base, base + times), at
+                self.runs.setdefault(x, []).append([taken[x], base, at])
+                taken[x] += times
                 at += x
             base += times
-        first = int(shard["shard"].iloc[0]) << 32
-        return shard.drop(columns=["uid", "shard"]).assign(sequence_id=sequence + first, offset=offset)
 
-    dealt = kept.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    def arrays(self) -> dict[int, np.ndarray]:
+        """By length: the first rank of each run, and the sequence and the offset of the piece with that rank."""
+        return {x: np.array(runs, dtype=np.int64).T for x, runs in self.runs.items()}
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
+    """pieces with sequence_id and offset: a place in a sequence of at most capacity tokens."""
+    spark = pieces.sparkSession
+    ship(spark)
+
+    def rank(batches: Iterator) -> Iterator:
+        """Pieces with the number of the task and their rank among the pieces of their length in it."""
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        for batch in batches:
+            length = batch.column("length").to_numpy()
+            order = np.argsort(length, kind="stable")
+            starts = np.searchsorted(length[order], length[order])
+            ranks = np.empty(len(length), dtype=np.int64)
+            ranks[order] = seen[length[order]] + np.arange(len(length)) - starts
+            seen += np.bincount(length, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), task, dtype=np.int32)), pa.array(ranks)], names=[*batch.schema.names, "task", "rank"])
+
+    columns = PIECES.replace(" long", "").replace(" int", "").split(", ")
+    kept = materialize(pieces.select(*columns).mapInArrow(rank, f"{PIECES}, task int, rank long"), "pieces")
+    counts = materialize(kept.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    totals = np.zeros(capacity + 1, dtype=np.int64)
+    for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row for each length
+        totals[row["length"]] = row["n"]
+    shared = spark.sparkContext.broadcast(Slots(plan(totals, capacity)).arrays())
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("task", "length", F.coalesce(before, F.lit(0)).alias("before"))
+
+    def place(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        slots = shared.value
+        for batch in batches:
+            length, ranks = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            sequence, offset = np.empty(len(length), dtype=np.int64), np.empty(len(length), dtype=np.int64)
+            for x in np.unique(length).tolist():
+                own = np.flatnonzero(length == x)
+                first, base, at = slots[x]
+                run = np.searchsorted(first, ranks[own], side="right") - 1
+                sequence[own], offset[own] = base[run] + ranks[own] - first[run], at[run]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
+
+    met = kept.join(before.hint("merge"), ["task", "length"])
+    return met.select(*columns, (F.col("before") + F.col("rank")).alias("rank")).mapInArrow(place, PLACED)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks: str | None = None, shard_pieces: int = 16384) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks: str | None = None) -> DataFrame:
     """Tokenises docs (doc_id, text) and packs them; one row per piece."""
-    return pack_pieces(token_pieces(docs, capacity, end_id, ranks), capacity, shard_pieces)
+    return pack_pieces(token_pieces(docs, capacity, end_id, ranks), capacity)

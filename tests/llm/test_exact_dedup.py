@@ -39,6 +39,15 @@ def test_repeats_nulls_and_clashes(docs_of, empty):
     assert drop_exact_copies(empty).isEmpty()
 
 
+def test_rows_in_no_fixed_order(docs_of, rng):
+    """Rows whose order differs from one evaluation to the next are numbered once."""
+    texts = [invented(rng, rng.choice([1, 1, 3, 40])) for _ in range(60)]
+    rows = [(i, texts[i % 60] + "x" * (i % 3)) for i in range(400)]
+    shuffled = docs_of(rows).orderBy(F.rand()).repartition(7)
+    found = {tuple(r) for r in exact_groups(shuffled).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()}
+    assert found == brute(rows)
+
+
 def test_a_large_group(docs_of):
     docs = docs_of([(i, "same text " * 20) for i in range(500)] + [(i, f"other {i}") for i in range(500, 700)])
     found = exact_groups(docs)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from seqengine.llm.packing import best_fit, cut, default_ranks, encoder, pack_documents, plan
+from seqengine.llm.packing import PIECES, best_fit, cut, default_ranks, encoder, pack_documents, pack_pieces, plan
 
 from .conftest import invented
 
@@ -87,13 +87,27 @@ def test_ids_of_long_runs():
 
 
 def test_clashing_columns_and_one_long_piece(docs_of):
-    docs = docs_of([(1, "z" * 40_000), (2, "b")]).selectExpr("*", "'x' as piece", "'y' as sequence_id", "0 as uid", "1 as shard")
+    docs = docs_of([(1, "z" * 40_000), (2, "b")]).selectExpr("*", "'x' as piece", "'y' as sequence_id", "0 as uid", "1 as task", "2 as rank")
     rows = pack_documents(docs).collect()
     ids = [*TOKENIZER.encode("z" * 40_000, add_special_tokens=False).ids, 2]
     assert sum(r.length for r in rows if r.doc_id == 1) == len(ids) and {r.doc_id for r in rows} == {1, 2}
 
 
+def test_one_plan_for_all_tasks(spark):
+    """Complements meet though they were cut by different tasks; each place is taken once."""
+    rng = np.random.default_rng(2)
+    lengths = np.concatenate([np.repeat(700, 300), np.repeat(324, 300), rng.integers(1, 1025, 900)])
+    rows = [(int(i), 0, 0, int(n), 7) for i, n in enumerate(lengths)]
+    for parts in (1, 9):
+        pieces = spark.createDataFrame(rows, PIECES).repartition(parts)
+        found = pack_pieces(pieces).toPandas()
+        assert sorted(zip(found.doc_id, found.length)) == [(r[0], r[3]) for r in rows] and (found.ids_crc32 == 7).all()
+        assert found.sequence_id.nunique() == sum(times for _, times in plan(np.bincount(lengths, minlength=1025), 1024))
+        for _, own in found.sort_values("offset").groupby("sequence_id"):
+            assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 1024
+
+
 def test_repeats_and_empty(docs_of, empty):
-    rows = pack_documents(docs_of([(1, "a"), (1, "a"), (None, "b")]), shard_pieces=2).collect()
+    rows = pack_documents(docs_of([(1, "a"), (1, "a"), (None, "b")])).collect()
     assert len(rows) == 3 and len({(r.sequence_id, r.offset) for r in rows}) == 3
     assert pack_documents(empty).isEmpty()
