@@ -137,10 +137,10 @@ class Complements:
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths that share a sequence, number of such sequences), from the count of each length.
 
-    Exact complements are sought for all lengths, or for those above two thirds of the
-    capacity only, which keeps short pieces for the rest; the plan of fewer sequences counts.
+    Exact complements are sought for all lengths, or only for those above some part of the
+    capacity, which keeps short pieces for the rest; of sixteen such parts the plan of fewest sequences counts.
     """
-    plans = [_plan(counts, capacity, down_to) for down_to in (0, 2 * capacity // 3)]
+    plans = [_plan(counts, capacity, down_to) for down_to in range(0, capacity, max(1, capacity // 16))]
     return min(plans, key=lambda found: sum(times for _, times in found))
 
 
