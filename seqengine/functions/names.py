@@ -140,6 +140,18 @@ def can_decode_in_hardware(codec: Column, pixel_format: Column) -> Column:
     return ~F.coalesce(F.lower(codec).isin(SOFTWARE_CODECS), F.lit(False)) & ~F.coalesce(F.lower(pixel_format).rlike(r"^(bgr|rgb|gbr|pal|ya)"), F.lit(False))
 
 
+#: Transfer curves that can be handed on as they are.
+TRANSFERS = ["smpte2084", "arib-std-b67", "bt2020-10", "bt2020-12", "bt709", "smpte428", "linear", "iec61966-2-1"]
+
+
+def colour_conversion(space: Column, pixel_format: Column, transfer: Column) -> Column:
+    """SNK06: matrix, primaries and curve of the output; a wide source keeps its own curve if it is a known one, and has none otherwise."""
+    wide = is_wide_gamut(space, pixel_format, transfer)
+    own = F.when(transfer.isin(TRANSFERS), transfer)
+    pick = lambda yes, no: F.when(wide, yes).otherwise(F.lit(no))
+    return F.struct(pick(F.lit("bt2020nc"), "bt709").alias("matrix"), pick(F.lit("bt2020"), "bt709").alias("primaries"), pick(own, "bt709").alias("curve"))
+
+
 def is_wide_gamut(space: Column, pixel_format: Column, transfer: Column) -> Column:
     """SNK06: any of the three names BT.2020."""
     wide = ["bt2020", "bt2020nc", "bt2020c"]

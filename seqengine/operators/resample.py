@@ -7,6 +7,8 @@ next one at c, the slots strictly between theirs are filled at t = (slot * D - p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +54,49 @@ def _fill(pairs: DataFrame, n: int, d: int) -> DataFrame:
     return pairs.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high").withColumn("slot", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
 
 
-def linear(a: Column, b: Column, t: Column, vector: bool = False) -> Column:
-    """The default kernel between two rows (INT19)."""
-    return F.zip_with(a, b, lambda x, y: (1 - t) * x + t * y) if vector else (1 - t) * a + t * b
+Blend = Callable[[Column, Column, Column], Column]
+#: What stands between two numbers a and b at a time t in (0, 1), by name (INT23).
+BLENDS: dict[str, Blend] = {}
+
+
+def register_blend(name: str) -> Callable[[Blend], Blend]:
+    def put(blend: Blend) -> Blend:
+        BLENDS[name] = blend
+        return blend
+
+    return put
+
+
+@register_blend("linear")
+def linear(a: Column, b: Column, t: Column) -> Column:
+    """The default (INT19)."""
+    return (1 - t) * a + t * b
+
+
+@register_blend("hold")
+def hold(a: Column, b: Column, t: Column) -> Column:
+    """The row before."""
+    return a
+
+
+@register_blend("nearest")
+def nearest(a: Column, b: Column, t: Column) -> Column:
+    """The nearer row, the later one in the middle."""
+    return F.when(t < 0.5, a).otherwise(b)
+
+
+@register_blend("smooth")
+def smooth(a: Column, b: Column, t: Column) -> Column:
+    """Leaves each row slowly."""
+    return linear(a, b, t * t * (3 - 2 * t))
+
+
+def blended(method: str, a: Column, b: Column, t: Column, vector: bool = False) -> Column:
+    """Two numbers, or two arrays place by place, at a time between them."""
+    if method not in BLENDS:
+        raise ValueError(f"unknown interpolation {method}; there are {', '.join(sorted(BLENDS))}")
+    blend = BLENDS[method]
+    return F.zip_with(a, b, lambda x, y: blend(x, y, t)) if vector else blend(a, b, t)
 
 
 def interpolate(
@@ -68,6 +110,7 @@ def interpolate(
     max_span: int = 0,
     tail: DataFrame | None = None,
     weight: Column | None = None,
+    method: str = "linear",
 ) -> DataFrame:
     """(clip, slot, kind, value): the rows of df at their slots, and synthetic rows between them.
 
@@ -75,7 +118,7 @@ def interpolate(
     it, then of the row itself (INT08). max_span: a gap of more positions is filled with
     copies of the row before (INT07); 0 is no limit. tail: (clip, last_pos, trailing) of
     rows dropped at the end, which become copies of the last row (INT09). weight: of the
-    synthetic value against the row before it (INT13).
+    synthetic value against the row before it (INT13). method: one of BLENDS.
     """
     vector = dict(df.dtypes)[payload].startswith("array")
     wanted = [clip, F.col(pos).alias("cur_pos"), F.col(payload).alias("value")] + ([F.col(cut).alias("cut")] if cut else [])
@@ -83,7 +126,7 @@ def interpolate(
     real = paired.select(clip, _slot(F.col("cur_pos"), n, d).alias("slot"), F.lit("real").alias("kind"), "value")
     filled = _fill(paired, n, d)
     t = time_in_gap(F.col("slot"), F.col("prev_pos"), F.col("cur_pos"), n, d)
-    blend = linear(F.col("prev_value"), F.col("value"), t, vector)
+    blend = blended(method, F.col("prev_value"), F.col("value"), t, vector)
     if weight is not None:
         anchor = F.col("prev_value")
         blend = F.zip_with(anchor, blend, lambda a, b: a + weight * (b - a)) if vector else anchor + weight * (blend - anchor)
@@ -108,6 +151,18 @@ def interpolate(
     return out
 
 
+def interpolate_around(df: DataFrame, clip: str, pos: str, payload: str, n: int, d: int, project: Callable[[Column], Column], first: bool, **more) -> DataFrame:
+    """(clip, slot, kind, value) of rows that are interpolated and projected, such as enlarged (INT12).
+
+    first: interpolation comes first and synthetic rows are projected too; else projected rows are interpolated. Projections that are
+    linear in every place give the same either way.
+    """
+    if first:
+        out = interpolate(df, clip, pos, payload, n, d, **more)
+        return out.withColumn("value", project(F.col("value")))
+    return interpolate(df.withColumn(payload, project(F.col(payload))), clip, pos, payload, n, d, **more)
+
+
 def look_ahead(df: DataFrame, clip: str, pos: str, payload: str, n: int, d: int) -> DataFrame:
     """A kernel of three rows (before, at, after): t is pushed to the second half of the pair, and a
     missing row after is the row itself (INT22)."""

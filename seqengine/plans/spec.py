@@ -143,16 +143,57 @@ def capability(options: dict[str, bool]) -> str:
     return next((name for name in PRIORITY if options.get(name)), "frames")
 
 
-def with_implied(options: dict) -> dict:
-    """Options with the capabilities that they turn on; an explicit false stays (CFG06)."""
-    out = dict(options)
-    for name in options:
+#: What these options are where nobody gives them (CFG06).
+DEFAULTS = {
+    "interpolate_method": "rife4.6",
+    "interpolate_factor": 2.0,
+    "upscale_method": "shufflecugan",
+    "upscale_factor": 2,
+    "dedup_method": "ssim",
+    "dedup_sens": 35.0,
+    "smooth_dedup_method": "ssim",
+    "smooth_dedup_sens": 35.0,
+    "smooth_dedup_max_span": 6,
+    "restore_method": ["anime1080fixer"],
+    "segment_method": "anime",
+    "stabilize_method": "classic",
+    "depth_method": "small_v2",
+    "obj_detect_method": "yolov9_small-directml",
+    "resize_factor": 2,
+    "moblur_method": "rife4.25",
+    "moblur_factor": 8,
+    "moblur_strength": "gaussian_sym",
+    "moblur_shutter_angle": 180.0,
+}
+
+
+def with_implied(options: dict, given: set[str] | None = None) -> dict:
+    """Options with the capabilities that they turn on (CFG06).
+
+    given: the options that somebody gave, all of them if not told; the others turn something on only if they differ from their default. A capability that
+    was given as false stays off.
+    """
+    given, out = set(options) if given is None else given, dict(options)
+    for name, value in options.items():
         parent = IMPLIES.get(name)
-        if parent and options.get(parent) is None:
+        if parent and not (parent in given and not options.get(parent)) and (name in given or value != DEFAULTS[name]):
             out[parent] = True
     return out
 
 
+def job_capabilities(options: Column) -> Column:
+    """The capabilities, in order of their names, that a job's options (a map of texts, all given) turn on, or were given as true (CFG06)."""
+    parents = F.create_map(*(F.lit(x) for pair in IMPLIES.items() for x in pair))
+    own = F.map_keys(F.map_filter(options, lambda k, v: F.array_contains(F.array(*map(F.lit, sorted(set(IMPLIES.values())))), k) & (F.lower(v) == "true")))
+    implied = F.filter(F.transform(F.map_keys(options), lambda k: F.try_element_at(parents, k)), lambda p: p.isNotNull() & ~F.coalesce(F.lower(F.try_element_at(options, p)) == "false", F.lit(False)))
+    return F.array_sort(F.array_distinct(F.concat(own, implied)))
+
+
+def unknown_options(options: Column, known: list[str]) -> Column:
+    """The options of a job that nobody knows, in order (SET04)."""
+    return F.array_sort(F.array_except(F.map_keys(options), F.array(*map(F.lit, known))))
+
+
 #: Suffixes of a method's variants, the first that is there first; interpolation has its own order.
 FALL_BACKS = {"": ("-directml", "-ncnn"), "interpolate": ("-ncnn", "-directml")}
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .functions.weights import shared_samples
-from .operators import normalise, quality
+from .operators import normalise, quality, resample
 from .plans import spec
-from .queries import P, V, _robust_line_sql, events, query, r6, thumbs
+from .queries import P, QUERIES, SQL, V, _gaps_sql, _robust_line_sql, events, query, r6, thumbs
 from .queries_meta import parts
 from .session import scratch_folder
 from .sources import pictures, readers, writers
@@ -106,6 +106,98 @@ def job_options(spark, sf):
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("o.k").alias("total"), F.count_if(F.col("o.absent").isNull()).alias("without"))
 
 
+#: Orders as jobs, whose options are JSON.
+JOBS = """jobs AS (SELECT o_orderkey, '{' || concat_ws(', ', CASE WHEN o_orderkey % 2 = 0 THEN '"upscale_factor": ' || o_orderkey % 5 END, CASE WHEN o_orderkey % 3 = 0 THEN '"upscale": ' || CASE WHEN o_orderkey % 4 < 2 THEN 'false' ELSE 'true' END END,
+  CASE WHEN o_orderkey % 5 = 0 THEN '"dedup_sens": 35' END, CASE WHEN o_orderkey % 7 = 0 THEN '"moblur_strength": "equal", "odd_' || o_orderkey % 3 || '": 1' END, '"input": "a.mp4"') || '}' AS text FROM orders)"""
+
+
+def _jobs(spark, sf):
+    key = F.col("o_orderkey")
+    given = [
+        F.when(key % 2 == 0, F.concat(F.lit('"upscale_factor": '), (key % 5).cast("string"))),
+        F.when(key % 3 == 0, F.concat(F.lit('"upscale": '), F.when(key % 4 < 2, F.lit("false")).otherwise(F.lit("true")))),
+        F.when(key % 5 == 0, F.lit('"dedup_sens": 35')),
+        F.when(key % 7 == 0, F.concat(F.lit('"moblur_strength": "equal", "odd_'), (key % 3).cast("string"), F.lit('": 1'))),
+        F.lit('"input": "a.mp4"'),
+    ]
+    text = F.concat(F.lit("{"), F.concat_ws(", ", *given), F.lit("}"))
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", spec.job_options(text, "map<string, string>").alias("options"))
+
+
+@query(
+    f"""WITH {JOBS}, k AS (SELECT o_orderkey, text, json_keys(text) AS keys FROM jobs)
+SELECT o_orderkey, concat_ws(',', CASE WHEN list_contains(keys, 'dedup_sens') THEN 'dedup' END, CASE WHEN list_contains(keys, 'moblur_strength') THEN 'moblur' END,
+  CASE WHEN coalesce(text LIKE '%"upscale": true%', FALSE) OR (list_contains(keys, 'upscale_factor') AND text NOT LIKE '%"upscale": false%') THEN 'upscale' END) AS capabilities,
+  coalesce(array_to_string(list_sort(list_filter(keys, lambda k: k LIKE 'odd%')), ','), '') AS extra FROM k"""
+)
+def implied_capabilities(spark, sf):
+    jobs = _jobs(spark, sf)
+    known = sorted({*spec.IMPLIES, *spec.IMPLIES.values(), "input"})
+    return jobs.select("o_orderkey", F.concat_ws(",", spec.job_capabilities(F.col("options"))).alias("capabilities"), F.concat_ws(",", spec.unknown_options(F.col("options"), known)).alias("extra"))
+
+
+COLOURS = ["bt709", "bt2020", "bt2020nc", "bt2020c", "smpte170m", None, "unknown"]
+CURVES = ["smpte2084", "arib-std-b67", "bt709", "gamma22", None, "bt2020-10", "bt2020c", "unknown", "linear"]
+
+
+@query(
+    f"""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {[x or 'none' for x in COLOURS]}[CAST(l_partkey % 7 AS INT) + 1] AS space, {[x or 'none' for x in CURVES]}[CAST(l_suppkey % 9 AS INT) + 1] AS curve FROM lineitem),
+w AS (SELECT *, space IN ('bt2020', 'bt2020nc', 'bt2020c') OR curve IN ('bt2020', 'bt2020nc', 'bt2020c') AS wide FROM c)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN wide THEN 'bt2020nc' ELSE 'bt709' END AS matrix, CASE WHEN wide THEN 'bt2020' ELSE 'bt709' END AS primaries,
+  CASE WHEN NOT wide THEN 'bt709' WHEN curve IN ('smpte2084', 'arib-std-b67', 'bt2020-10', 'bt709', 'linear') THEN curve END AS curve FROM w"""
+)
+def colour_conversions(spark, sf):
+    pick = lambda by, values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.col(by) % len(values) + 1).cast("int"))
+    made = names.colour_conversion(pick("l_partkey", COLOURS), F.lit("yuv420p"), pick("l_suppkey", CURVES))
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", made.alias("c")).select("l_orderkey", "l_linenumber", "l_partkey", "c.*")
+
+
+@query(
+    r"""WITH p AS (SELECT DISTINCT 'o' || l_orderkey // 4 || '/f_' AS prefix, 7 * (l_orderkey % 4) + l_linenumber AS number FROM lineitem), g AS (SELECT prefix, count(*) AS n, min(number) AS low, max(number) AS high FROM p GROUP BY prefix),
+m AS (SELECT e.prefix, e.missing, row_number() OVER (PARTITION BY e.prefix ORDER BY e.missing) AS k FROM (SELECT prefix, unnest(range(low, high + 1)) AS missing FROM g) e LEFT JOIN p ON e.prefix = p.prefix AND e.missing = p.number WHERE p.number IS NULL),
+h AS (SELECT prefix, array_to_string(list(missing ORDER BY missing), ',') AS missing FROM m WHERE k <= 10 GROUP BY prefix)
+SELECT g.prefix, n, low, high, n >= 2 AND high - low + 1 = n AS whole, CASE WHEN n >= 2 AND high - low + 1 = n THEN g.prefix || '%05d.png' END AS pattern, coalesce(missing, '') AS missing FROM g LEFT JOIN h ON g.prefix = h.prefix"""
+)
+def numbered_sequences(spark, sf):
+    """Lines of four orders as the numbers of a sequence of images: whole ones have a pattern, others the first ten numbers that they lack."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    number = 7 * (F.col("l_orderkey") % 4) + F.col("l_linenumber")
+    path = F.format_string("o%d/f_%05d.png", F.floor(F.col("l_orderkey") / 4), number.cast("long"))
+    found = readers.image_sequences(rows.select(path.alias("path")))
+    return found.select("prefix", "n", "low", "high", "whole", "pattern", F.concat_ws(",", F.transform("missing", lambda x: x.cast("string"))).alias("missing"))
+
+
+# --- interpolation by method and before or after a projection -----------------------------
+
+SHARES = {"linear": "t", "hold": "0", "nearest": "CASE WHEN t < 0.5 THEN 0 ELSE 1 END", "smooth": "t * t * (3 - 2 * t)"}
+
+
+def _by_method(method):
+    def run(spark, sf):
+        out = resample.interpolate(events(spark, sf), "user_id", "pos", "value", 5, 2, method=method)
+        return out.withColumn("value", r6("value"))
+
+    return run
+
+
+for _method, _share in SHARES.items():
+    if _method != "linear":
+        QUERIES[f"interpolate_{_method}"] = _by_method(_method)
+        SQL[f"interpolate_{_method}"] = f"WITH {P}, {_gaps_sql('p', 5, 2)} SELECT user_id, pos * 5 // 2 AS slot, 'real' AS kind, round(value, 6) AS value FROM p UNION ALL SELECT user_id, slot, 'interp', round(prev_value + ({_share}) * (value - prev_value), 6) FROM g"
+
+
+@query(
+    f"""WITH {V}, n AS (SELECT *, lag(vec) OVER (PARTITION BY label ORDER BY pos) AS prev FROM v)
+SELECT label, 2 * pos AS slot, round(list_sum(list_transform(vec, lambda x: x * x)), 6) AS first, round(list_sum(list_transform(vec, lambda x: x * x)), 6) AS last FROM v
+UNION ALL SELECT label, 2 * pos - 1, round(list_sum(list_transform(range(1, 65), lambda i: pow((prev[i] + vec[i]) / 2, 2))), 6), round(list_sum(list_transform(range(1, 65), lambda i: (prev[i] * prev[i] + vec[i] * vec[i]) / 2)), 6) FROM n WHERE prev IS NOT NULL"""
+)
+def interpolate_first_or_last(spark, sf):
+    """Twice the rate around a projection that isn't linear (the squares): interpolation before and after it."""
+    rows, total = thumbs(spark, sf), F.aggregate("value", F.lit(0.0), lambda a, x: a + x)
+    made = [resample.interpolate_around(rows, "label", "pos", "vec", 2, 1, lambda v: F.transform(v, lambda x: x * x), first).select("label", "slot", r6(total).alias(name)) for first, name in ((True, "first"), (False, "last"))]
+    return made[0].join(made[1], ["label", "slot"])
+
+
 ANGLES = [0.0, 90.0, 180.0, 360.0]
 
 

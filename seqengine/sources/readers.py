@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, rates
@@ -42,12 +42,24 @@ def is_video_url(url: str):
     return host.rlike(r"(^|\.)(youtube\.com|youtu\.be)$")
 
 
-def image_sequences(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Numbered images by prefix and extension: counts, ends, and whether it is whole and of two or more (SRC08)."""
+def image_sequences(paths: DataFrame, path: str = "path", named: int = 10) -> DataFrame:
+    """Numbered images by prefix and extension: counts, ends, whether it is whole and of two or more, the pattern by which a whole one
+    is read (with the digits of its first path), and at most `named` of the numbers that it lacks (SRC08)."""
     prefix, number, ext = names.sequence_parts(F.col(path))
-    parts = paths.select(prefix.alias("prefix"), number.alias("number"), ext.alias("ext")).filter("number is not null")
-    out = parts.groupBy("prefix", "ext").agg(F.countDistinct("number").alias("n"), F.min("number").alias("low"), F.max("number").alias("high"))
-    return out.withColumn("whole", (F.col("n") >= 2) & (F.col("high") - F.col("low") + 1 == F.col("n")))
+    digits = F.length(F.regexp_extract(path, r"(\d+)\.[A-Za-z0-9]+$", 1))
+    parts = paths.select(prefix.alias("prefix"), number.alias("number"), ext.alias("ext"), F.struct(F.col(path).alias("p"), digits.alias("digits")).alias("_first")).filter("number is not null")
+    out = parts.groupBy("prefix", "ext").agg(F.countDistinct("number").alias("n"), F.min("number").alias("low"), F.max("number").alias("high"), F.min("_first")["digits"].alias("_digits"))
+    whole = (F.col("n") >= 2) & (F.col("high") - F.col("low") + 1 == F.col("n"))
+    pattern = F.concat("prefix", F.lit("%0"), F.col("_digits").cast("string"), F.lit("d."), "ext")
+    out = out.withColumn("whole", whole).withColumn("pattern", F.when(whole, pattern)).drop("_digits")
+    # a hole begins behind a number whose next one isn't the next
+    numbers = parts.select("prefix", "ext", "number").distinct()
+    after = F.lead("number").over(Window.partitionBy("prefix", "ext").orderBy("number"))
+    holes = numbers.withColumn("_next", after).filter(F.col("_next") > F.col("number") + 1)
+    holes = holes.withColumn("missing", F.explode(F.sequence(F.col("number") + 1, F.least(F.col("_next") - 1, F.col("number") + named))))
+    first = F.row_number().over(Window.partitionBy("prefix", "ext").orderBy("missing"))
+    holes = holes.withColumn("_k", first).filter(F.col("_k") <= named).groupBy("prefix", "ext").agg(F.sort_array(F.collect_list("missing")).alias("missing"))
+    return out.join(holes, ["prefix", "ext"], "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<bigint>")))
 
 
 def probe(clips: DataFrame) -> DataFrame:

@@ -97,3 +97,53 @@ def test_stop_within(spark):
     rates = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
     query = processors.sample_by_clock(rates, lambda rows: None, "1 second", f"{processors.scratch_folder(spark, 'rate')}/state")
     assert processors.stop_within(query, 20) and not query.isActive
+
+
+def test_defaults_and_implied_capabilities(spark):
+    assert spec.with_implied({"upscale_factor": 2}) == {"upscale_factor": 2, "upscale": True}
+    everything = spec.DEFAULTS | {"dedup_sens": 20.0, "resize": False, "resize_factor": 3, "upscale": False}
+    out = spec.with_implied(everything, given=set())
+    assert {k for k, v in out.items() if v is True} == {"dedup", "resize"} and out["upscale"] is False
+    assert not spec.with_implied(everything, given={"resize"})["resize"]
+    assert set(spec.DEFAULTS) == set(spec.IMPLIES)
+    jobs = ['{"upscale_factor": 3, "upscale": false, "dedup": true, "x": 1}', '{"moblur_factor": 8, "moblur_strength": "equal", "resize": "TRUE"}', "{}", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(jobs)], "i int, t string").select("i", spec.job_options(F.col("t"), "map<string, string>").alias("o"))
+    found = rows.select("i", spec.job_capabilities(F.col("o")).alias("c"), spec.unknown_options(F.col("o"), [*spec.IMPLIES, *spec.IMPLIES.values()]).alias("u")).orderBy("i").collect()
+    assert [(r.c, r.u) for r in found] == [(["dedup"], ["x"]), (["moblur", "resize"], []), ([], []), (None, None)]
+
+
+def test_sequences_with_holes(spark):
+    paths = [f"run/a_{n:04d}.PNG" for n in (3, 4, 5)] + [f"b{n}.png" for n in (1, 40, 42)] + ["c7.jpg", "none.png", "a_0003.png", "run/a_0004.PNG"]
+    found = {(r.prefix, r.ext): r for r in readers.image_sequences(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    whole = found["run/a_", "png"]
+    assert (whole.n, whole.low, whole.high, whole.whole, whole.pattern, whole.missing) == (3, 3, 5, True, "run/a_%04d.png", [])
+    assert found["b", "png"].missing == list(range(2, 12)) and found["b", "png"].pattern is None
+    assert not found["c", "jpg"].whole and found["a_", "png"].n == 1 and len(found) == 4
+
+
+def test_blends_by_name(spark):
+    t = F.col("t")
+    rows = spark.createDataFrame([(0.25,), (0.5,), (0.75,)], "t double")
+    found = {m: [r.x for r in rows.select(resample.blended(m, F.lit(10.0), F.lit(20.0), t).alias("x")).collect()] for m in resample.BLENDS}
+    assert found == {"linear": [12.5, 15.0, 17.5], "hold": [10.0] * 3, "nearest": [10.0, 20.0, 20.0], "smooth": [11.5625, 15.0, 18.4375]}
+    assert rows.select(resample.blended("nearest", F.array(F.lit(1.0)), F.array(F.lit(2.0)), t, True).alias("x")).first().x == [1.0]
+    with pytest.raises(ValueError, match="unknown interpolation"):
+        resample.blended("no", t, t, t)
+    resample.register_blend("twice")(lambda a, b, t: 2 * a)
+    try:
+        assert rows.select(resample.blended("twice", F.lit(4.0), t, t).alias("x")).first().x == 8
+    finally:
+        del resample.BLENDS["twice"]
+
+
+def test_linear_projections_commute(spark):
+    df = spark.createDataFrame([(1, i, [float(i % 3), float(i * i)]) for i in range(1, 9)], "c int, pos long, v array<double>")
+    made = [resample.interpolate_around(df, "c", "pos", "v", 5, 2, lambda v: F.concat(v, F.transform(v, lambda x: 2 * x)), first).collect() for first in (True, False)]
+    assert sorted((r.slot, [round(x, 9) for x in r.value]) for r in made[0]) == sorted((r.slot, [round(x, 9) for x in r.value]) for r in made[1])
+
+
+def test_colours(spark):
+    cases = [("bt709", "yuv420p", "bt709"), ("unknown", "yuv420p", "bt2020c"), ("bt2020nc", None, "smpte2084"), ("bt2020", None, None), (None, "bt2020", "gamma")]
+    df = spark.createDataFrame(cases, "s string, p string, t string")
+    found = [tuple(r.c) for r in df.select(names.colour_conversion(F.col("s"), F.col("p"), F.col("t")).alias("c")).collect()]
+    assert found == [("bt709", "bt709", "bt709"), ("bt2020nc", "bt2020", None), ("bt2020nc", "bt2020", "smpte2084"), ("bt2020nc", "bt2020", None), ("bt2020nc", "bt2020", None)]
