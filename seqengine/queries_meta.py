@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, names, rates
-from .operators import blur, cuts, dedup, kernels, normalise, quality, resample
+from .operators import blur, cuts, dedup, kernels, matching, normalise, quality, resample
 from .operators.clips import recurrent, with_position
 from .plans import spec
 from .queries import MSE25, P, S, V, _ssim_sql, _vector_fold_sql, cut_rows, events, query, r6, thumbs
@@ -268,15 +268,15 @@ def cut_by_kernel(spark, sf):
 MATCH_SQL = f"WITH {V}, d AS (SELECT a.label, a.vec_id AS point, b.vec_id AS other, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.vec[i] - b.vec[i], 2)))), 9) AS distance FROM v a JOIN v b ON a.label = b.label AND a.pos % 2 = 1 AND b.pos % 2 = 0)"
 
 
-def _distances(spark: SparkSession, sf: str) -> DataFrame:
+def _frames(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = thumbs(spark, sf)
-    far = quality.point_distances(rows.filter("pos % 2 = 1"), rows.filter("pos % 2 = 0"), "label", "vec_id", "vec")
-    return far.select("label", F.col("vec_id").alias("point"), "other", F.round("distance", 9).alias("distance"))
+    return rows.filter("pos % 2 = 1"), rows.filter("pos % 2 = 0")
 
 
 @query(f"{MATCH_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY label, point ORDER BY distance, other) AS a, row_number() OVER (PARTITION BY label, other ORDER BY distance, point) AS b FROM d) SELECT label, point, other FROM n WHERE a = 1 AND b = 1")
 def mutual_matches(spark, sf):
-    return quality.mutual_matches(_distances(spark, sf), "label", "point").select("label", "point", "other")
+    found = matching.mutual(*_frames(spark, sf), "label", "vec_id", "vec", block=20)
+    return found.select("label", F.col("vec_id").alias("point"), "other")
 
 
 @query(
@@ -284,7 +284,8 @@ def mutual_matches(spark, sf):
 g AS (SELECT * FROM n WHERE d1 < 0.97 * d2) SELECT label, point, round(d1, 6) AS d1 FROM g WHERE label IN (SELECT label FROM g GROUP BY label HAVING count(*) >= 5)"""
 )
 def ratio_matches(spark, sf):
-    return quality.ratio_test(_distances(spark, sf), "label", "point", "distance", 0.97, 5).select("label", "point", r6("d1").alias("d1"))
+    found = matching.distinct(*_frames(spark, sf), "label", "vec_id", "vec", 0.97, 5, block=20)
+    return found.select("label", F.col("vec_id").alias("point"), r6("distance").alias("d1"))
 
 
 @query(f"WITH {P}, q AS (SELECT user_id, event_id, value AS x, CAST(pos AS DOUBLE) AS y, event_id % 97 AS score FROM p) SELECT user_id, event_id FROM q a WHERE NOT EXISTS (SELECT 1 FROM q b WHERE b.user_id = a.user_id AND abs(b.x - a.x) <= 8 AND abs(b.y - a.y) <= 8 AND b.score > a.score)")
