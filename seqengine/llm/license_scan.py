@@ -148,8 +148,9 @@ def score_notices(found: DataFrame, threshold: float, templates: list[tuple[str,
     idf = frequencies.select("word", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
     theirs = _weights(known, idf).join(known.select("key", "license"), "key")
     theirs = theirs.select("word", F.col("key").alias("template"), "license", F.col("weight").alias("t_weight"), F.col("norm").alias("t_norm"))
-    # a few thousand rows: the words of the templates, which come from the driver
-    dots = _weights(found, idf).join(F.broadcast(theirs), "word").groupBy("key", "norm", "template", "license", "t_norm").agg(F.sum(F.col("weight") * F.col("t_weight")).alias("dot"))
+    # the words of the templates, which come from the driver: to every task up to 4 MB of text
+    theirs = F.broadcast(theirs) if sum(len(text) for _, text in templates) <= 4 << 20 else theirs
+    dots = _weights(found, idf).join(theirs, "word").groupBy("key", "norm", "template", "license", "t_norm").agg(F.sum(F.col("weight") * F.col("t_weight")).alias("dot"))
     scored = dots.select("key", "license", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("score")).filter(F.col("score") >= threshold)
     best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("rank"), "license")).alias("best"))
     return best.select("key", F.col("best.license").alias("license"), (-F.col("best.rank")).alias("score"))
