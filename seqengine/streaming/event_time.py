@@ -219,10 +219,11 @@ def session_totals(value: str = "value") -> Fold:
 
 
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries that are started inside keep their state with RocksDB, and write what changed at each checkpoint."""
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    for k, v in SETTINGS.items():
+def rocksdb(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries that are started inside keep their state with RocksDB, write what changed at each checkpoint, and deal state out to so many partitions (those of the session)."""
+    settings = SETTINGS | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -234,9 +235,9 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def run(df: DataFrame, out: str, checkpoint: str) -> None:
-    """Runs a stream over all that is there and adds what it gives to the folder `out`; started again with its checkpoint it goes on."""
-    with rocksdb(df.sparkSession):
+def run(df: DataFrame, out: str, checkpoint: str, partitions: int | None = None) -> None:
+    """Runs a stream over all that is there and adds what it gives to the folder `out`; started again with its checkpoint it goes on, with the partitions of its first start."""
+    with rocksdb(df.sparkSession, partitions):
         query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -244,7 +245,7 @@ def run(df: DataFrame, out: str, checkpoint: str) -> None:
 def replay(parts: list[DataFrame], over: Callable[[DataFrame], DataFrame], ts: str, beyond: str) -> DataFrame:
     """What a stream operator gives for the rows of parts that arrive one after another, with the query stopped and started again between them.
 
-    At the end comes a row of no clip, `beyond` later than all others, so that the watermark passes them.
+    At the end comes a row of no clip, `beyond` later than all others, so that the watermark passes them. State has a partition for each core.
     """
     spark, schema = parts[0].sparkSession, parts[0].schema
     folder = scratch_folder(spark, "replay")
@@ -255,7 +256,7 @@ def replay(parts: list[DataFrame], over: Callable[[DataFrame], DataFrame], ts: s
                 break
             part = spark.range(1).select(*[(F.lit(latest) + F.expr(f"interval {beyond}") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
         part.write.mode("append").parquet(f"{folder}/in")
-        run(over(spark.readStream.schema(schema).parquet(f"{folder}/in")), f"{folder}/out", f"{folder}/state")
+        run(over(spark.readStream.schema(schema).parquet(f"{folder}/in")), f"{folder}/out", f"{folder}/state", spark.sparkContext.defaultParallelism)
         came = part.agg(F.max(ts)).first()[0]
         latest = max(filter(None, (latest, came)), default=None)
     made = over(spark.readStream.schema(schema).parquet(f"{folder}/in")).schema
