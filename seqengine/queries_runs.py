@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .functions.weights import shared_samples
-from .operators import normalise, quality, resample
+from .operators import naming, normalise, quality, resample
 from .plans import spec
 from .queries import P, QUERIES, SQL, V, _gaps_sql, _robust_line_sql, events, query, r6, thumbs
 from .queries_meta import parts
@@ -225,6 +225,14 @@ def names_beside_those_on_disk(spark, sf):
     return names.unique_names(rows, "name", ["p_partkey"], taken=there).select("p_partkey", "unique_name")
 
 
+@query(SQL["names_beside_those_on_disk"])
+def names_given_in_rounds(spark, sf):
+    """The same names for families of any size: ranks first, then rounds in which rows move past names that others hold."""
+    rows = parts(spark, sf).select("p_partkey", F.concat("p_brand", F.lit(".mp4")).alias("name"))
+    there = rows.filter("p_partkey % 50 = 7").select("name")
+    return naming.unique_names_spread(rows, "name", ["p_partkey"], taken=there).select("p_partkey", "unique_name")
+
+
 # --- robust summaries ---------------------------------------------------------------------
 
 
