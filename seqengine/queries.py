@@ -436,7 +436,7 @@ def masked_interpolation(spark, sf):
     mask = rows.orderBy("vec_id").limit(1).select(F.col("vec").alias("weight"))
     gaps = resample.gaps(rows, "label", "pos", "vec").filter("prev_pos is not null")
     out = blur.with_mask(gaps, mask)
-    middle = resample.linear(F.col("prev_value"), F.col("vec"), F.lit(0.5), vector=True)
+    middle = resample.blended("linear", F.col("prev_value"), F.col("vec"), F.lit(0.5), vector=True)
     blended = blur.masked_vectors(F.col("prev_value"), middle, F.col("weight"))
     return out.select("label", "vec_id", r6(F.aggregate(blended, F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
