@@ -1,8 +1,9 @@
 """Stateful operators on streams in event time (STR03-STR05, STR08): rows may come late and mixed, over any number of micro-batches.
 
-Rows of a clip wait in its state, in spans of event time (`grain`), until the watermark has passed a span; a timer
-then takes that one span, sorts it and runs the fold over it, so that memory is bounded by a clip's rows of one span, however
-many rows a micro-batch brings. Each row is seen once and in order. A clip is over when no row came for longer than `idle`
+Clips are dealt into buckets by hash, and a bucket's rows wait in its state, in spans of event time (`grain`), until the watermark has passed a span;
+a timer then takes one span after the other, sorts each clip's rows and runs the fold over them, so that memory is bounded by a bucket's rows of one
+span, however many rows a micro-batch brings. State is read and written once for all clips of a bucket: a call between Spark and Python for each
+clip and span would cost more than all else. Each row is seen once and in order. A clip is over when no row came for longer than `idle`
 between two spans, or can come any more: what the fold still owes is emitted, its state goes, and later rows begin anew. A row whose span is already
 past comes out with `late` set, and touches no state. Nothing depends on how rows were dealt to micro-batches
 but which ones are late, and a query that is started again from its checkpoint goes on where it was.
@@ -19,7 +20,7 @@ from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -53,70 +54,68 @@ class _InOrder(StatefulProcessor):
         self.fold, self.names, self.grain, self.idle = fold, names, grain, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "span long", "at array<long>, value array<double>")
-        self.held = handle.getValueState("held", self.fold.state)
-        self.last = handle.getValueState("last", "span long")
-        self.done = handle.getValueState("done", "span long")
+        self.handle, self.seen = handle, {}
+        self.waiting = handle.getMapState("waiting", "span long", "clip array<string>, at array<long>, value array<double>")
+        self.held = handle.getListState("held", f"_clip string, _done long, {self.fold.state}")
 
-    def _table(self, key: tuple, rows: list[tuple], late: bool) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self.names[1:-1])
-        out.insert(0, self.names[0], [key[0]] * len(rows))
-        return out.assign(**{self.names[-1]: late})
+    def _table(self, rows: list[tuple], late: bool) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.names[:-1]).assign(**{self.names[-1]: late})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         watermark, late = timerValues.getCurrentWatermarkInMs(), []
         for part in rows:
-            part.columns = ["clip", "ms", "at", "value"]
+            part.columns = ["bucket", "clip", "ms", "at", "value"]
             for span, some in part.groupby(part["ms"] // self.grain, sort=True):
                 span, at, values = int(span), some["at"].tolist(), [NAN if x is None else float(x) for x in some["value"].tolist()]
+                clips = [None if x is None or x != x else x for x in some["clip"].tolist()]
                 if (span + 1) * self.grain <= watermark:
-                    late += [self.fold.late(*row) for row in zip(at, values, strict=True)]
+                    late += [(clip, *self.fold.late(*row)) for clip, *row in zip(clips, at, values, strict=True)]
                     continue
                 if self.waiting.containsKey((span,)):
                     old = self.waiting.getValue((span,))
-                    at, values = [*old[0], *at], [*old[1], *values]
+                    clips, at, values = [*old[0], *clips], [*old[1], *at], [*old[2], *values]
                 else:
                     self.handle.registerTimer((span + 1) * self.grain)
-                self.waiting.updateValue((span,), (at, values))
-                known = self.last.get() if self.last.exists() else None
-                if known is None or span > known[0]:
-                    if known is not None:
-                        self.handle.deleteTimer(self._end_of(known[0]))
                     self.handle.registerTimer(self._end_of(span))
-                    self.last.update((span,))
+                self.waiting.updateValue((span,), (clips, at, values))
         if late:
-            yield self._table(key, late, True)
+            yield self._table(late, True)
 
     def _end_of(self, span: int) -> int:
         """When no row can come any more that goes on with a clip whose last row is in a span; never at the end of a span."""
         return (span + 2) * self.grain + self.idle + 1
 
-    def _over(self, key: tuple) -> Iterator[pd.DataFrame]:
-        if rows := self.fold.end(tuple(self.held.get())):
-            yield self._table(key, rows, False)
-        self.held.clear()
-
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if at % self.grain:
-            if self.held.exists() and at == self._end_of(self.last.get()[0]):
-                yield from self._over(key)
-                self.last.clear()
-                self.done.clear()
+        """At a bucket's first timer in a micro-batch, all that the watermark has passed; at its others, nothing is left."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.seen.get(key) == watermark:
             return
-        span = at // self.grain - 1
-        if self.held.exists() and (span - self.done.get()[0] - 1) * self.grain > self.idle:
-            yield from self._over(key)
-        places, values = self.waiting.getValue((span,))
-        self.waiting.removeKey((span,))
-        ordered = sorted(zip(places, values, strict=True), key=lambda row: row[0])
-        state = tuple(self.held.get()) if self.held.exists() else None
-        rows, state = self.fold.step(state, [r[0] for r in ordered], [r[1] for r in ordered])
-        self.held.update(state)
-        self.done.update((span,))
-        if rows:
-            yield self._table(key, rows, False)
+        self.seen[key] = watermark
+        held = {row[0]: (row[1], tuple(row[2:])) for row in self.held.get()} if self.held.exists() else {}
+        for span in sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.grain <= watermark):
+            by_clip: dict[Any, list[tuple]] = {}
+            for clip, *row in zip(*self.waiting.getValue((span,)), strict=True):
+                by_clip.setdefault(clip, []).append(row)
+            self.waiting.removeKey((span,))
+            out = []
+            for clip, rows in by_clip.items():
+                done, state = held.get(clip, (span, None))
+                if state is not None and (span - done - 1) * self.grain > self.idle:
+                    out += [(clip, *row) for row in self.fold.end(state)]
+                    state = None
+                rows.sort(key=lambda row: row[0])
+                made, state = self.fold.step(state, [r[0] for r in rows], [r[1] for r in rows])
+                out += [(clip, *row) for row in made]
+                held[clip] = span, state
+            if out:
+                yield self._table(out, False)
+        over = [clip for clip, (done, _) in held.items() if self._end_of(done) <= watermark]
+        if out := [(clip, *row) for clip in over for row in self.fold.end(held.pop(clip)[1])]:
+            yield self._table(out, False)
+        if held:
+            self.held.put([(clip, done, *state) for clip, (done, state) in held.items()])
+        else:
+            self.held.clear()
 
     def close(self) -> None:
         pass
@@ -126,21 +125,35 @@ def _ms(span: str) -> int:
     return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
-def run_fold(df: DataFrame, clip: str, ts: str, order: str, value: str, fold: Fold, delay: str, grain: str, idle: str) -> DataFrame:
+def _as_key(clip: Column, kind: str) -> tuple[Column, Callable[[Column], Column]]:
+    """A clip's name as a string, so that Python loses no digit beside a null, and the way back."""
+    if kind == "binary":
+        return F.hex(clip), F.unhex
+    if kind == "timestamp":
+        return F.unix_micros(clip).cast("string"), lambda c: F.timestamp_micros(c.cast("long"))
+    if kind in ("float", "double"):  # one zero
+        return (clip + F.lit(0).cast(kind)).cast("string"), lambda c: c.cast(kind)
+    return clip.cast("string"), lambda c: c.cast(kind)
+
+
+def run_fold(df: DataFrame, clip: str, ts: str, order: str, value: str, fold: Fold, delay: str, grain: str, idle: str, buckets: int = 256) -> DataFrame:
     """(clip, columns of the fold, late) of a stream with a row's time in ts and its place in the clip, a long, in order.
 
     delay: how far the watermark is behind the latest row. idle: the longest time without rows, counted in whole spans, within a clip.
+    buckets: clips share the state of so many; more of them hold fewer rows each. A clip's name is of an atomic type.
     """
     if not 0 < _ms(grain) or _ms(idle) % _ms(grain):
         raise ValueError("idle must be a multiple of grain")
     # Spark runs a processor in a Python process of the driver too, which files sent to executors don't reach.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    kind = df.schema[clip].dataType.simpleString()
-    schema = StructType.fromDDL(f"`{clip}` {kind}, {fold.columns}, late boolean")
+    key, back = _as_key(F.col(clip), df.schema[clip].dataType.simpleString())
+    schema = StructType.fromDDL(f"`{clip}` string, {fold.columns}, late boolean")
     marked = with_watermark(df, ts, delay)
-    rows = marked.select(clip, F.unix_millis(ts).alias("_ms"), F.col(order).cast("long").alias("_at"), F.col(value).cast("double").alias("_value"))
+    rows = marked.select(key.alias("_clip"), F.unix_millis(ts).alias("_ms"), F.col(order).cast("long").alias("_at"), F.col(value).cast("double").alias("_value"))
+    rows = rows.select(F.pmod(F.xxhash64("_clip"), F.lit(buckets)).cast("int").alias("_bucket"), "*")
     processor = _InOrder(fold, schema.names, _ms(grain), _ms(idle))
-    return rows.groupBy(clip).transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
+    made = rows.groupBy("_bucket").transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
+    return made.withColumn(clip, back(F.col(clip)))
 
 
 def _null(x: float) -> float | None:
