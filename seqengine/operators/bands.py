@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import dot
-from ..session import ship
+from .clips import by_stretches
 
 
 def with_halo(df: DataFrame, pos: str, core: int, halo: int, n: str, chunk: str = "chunk", own: str = "own") -> DataFrame:
@@ -32,20 +34,21 @@ def over_halo(df: DataFrame, clip: str, pos: str, column: str, kernel: Callable[
     that stretch is all of the clip; what it returns is scaled back. The result is that of the clip in one piece if the kernel looks no further than halo rows.
     pos counts the rows from 1; a null in column is handed on as NaN. A clip of equal numbers is scaled to 0.
     """
-    ship(df.sparkSession)
     ends = df.groupBy(clip).agg(F.min(column).alias("_low"), F.max(column).alias("_high"), F.count(F.lit(1)).alias("_n")).withColumnRenamed(clip, "_clip")
     spread = with_halo(df.join(ends, F.col(clip).eqNullSafe(F.col("_clip"))).drop("_clip"), pos, core, halo, "_n", "_chunk", "_own")
     names = df.columns
 
-    def run(rows):
-        rows = rows.sort_values(pos)
-        low, span = float(rows["_low"].iloc[0]), float(rows["_high"].iloc[0] - rows["_low"].iloc[0])
-        scaled = (rows[column].to_numpy(float) - low) / (span or 1.0)
-        made = kernel(scaled, len(rows) == rows["_n"].iloc[0]) * (span or 1.0) + low
-        return rows.assign(**{out: made})[rows["_own"].to_numpy(bool)][[*names, out]]
+    def run(rows, starts):
+        numbers = lambda name: pc.cast(rows.column(name), pa.float64()).to_numpy()
+        low, high, sizes = numbers("_low"), numbers("_high"), numbers("_n")
+        span = np.where(high == low, 1.0, high - low)
+        scaled, made = (numbers(column) - low) / span, np.empty(len(rows))
+        for start, end in zip(starts, starts[1:], strict=False):
+            made[start:end] = kernel(scaled[start:end], end - start == sizes[start])
+        return rows.select(names).append_column(out, pa.array(made * span + low, from_pandas=True)).filter(rows.column("_own"))
 
     schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes) + f", `{out}` double"
-    return spread.groupBy(clip, "_chunk").applyInPandas(run, schema)
+    return by_stretches(spread, [clip, "_chunk"], [pos], run, schema)
 
 
 def unit(vector: Column) -> Column:

@@ -8,7 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,45 @@ def fold(df: DataFrame, clip: str, order: list[str], step: Callable[[pd.DataFram
     return df.repartition(clip).sortWithinPartitions(clip, *order).mapInPandas(run, schema)
 
 
+def _differ(values: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are equal, and so are NaNs."""
+    now, then = values[1:], values[:-1]
+    differ = pc.fill_null(pc.not_equal(now, then), False)
+    if pa.types.is_floating(values.type):
+        differ = pc.and_not(differ, pc.fill_null(pc.and_(pc.is_nan(now), pc.is_nan(then)), False))
+    return pc.or_(differ, pc.not_equal(pc.is_null(now), pc.is_null(then))).to_numpy(zero_copy_only=False)
+
+
+def by_stretches(df: DataFrame, keys: list[str], order: list[str], run: Callable[[pa.Table, list[int]], pa.Table], schema: str) -> DataFrame:
+    """What run makes of short stretches of rows that have equal keys, many at a time: applyInArrow without a call for each.
+
+    run gets whole stretches, each in order, and where each begins, with the number of rows at the end. Partitions are sorted by Spark and
+    read in batches; a stretch must fit into memory, all of a partition need not.
+    """
+    ship(df.sparkSession)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # of the last stretch, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [kept[-1].slice(kept[-1].num_rows - 1)] if kept else []
+            near = pa.Table.from_batches([*last, batch]).select(keys)
+            starts = (np.any([_differ(near.column(k)) for k in keys], axis=0).nonzero()[0] + 1 - len(last)).tolist()  # in the batch, of stretches that begin behind another
+            if not starts:
+                kept.append(batch)
+                continue
+            before, cut = sum(b.num_rows for b in kept), starts[-1]
+            done = pa.Table.from_batches([*kept, batch.slice(0, cut)]).combine_chunks()
+            yield from run(done, sorted({0, *(s + before for s in starts)})).to_batches()
+            kept = [batch.slice(cut)]
+        if kept:
+            done = pa.Table.from_batches(kept).combine_chunks()
+            yield from run(done, [0, done.num_rows]).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(whole, schema)
+
+
 def recurrent(df: DataFrame, clip: str, order: list[str], payload: str, kernel: Callable[[Any, Any], tuple[Any, float]], out: str, reset: str | None = None) -> DataFrame:
     """df with what a recurrent kernel makes of each row (WIN08, UDF04).
 
