@@ -8,12 +8,13 @@ order; clips run beside each other.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import SSIM_K1, SSIM_K2
-from ..session import materialize, ship
-from .clips import fold, ordered
+from ..session import materialize
+from .clips import by_stretches, fold, ordered
 
 
 def _ssim(a: np.ndarray, b: np.ndarray, peak: float) -> float:
@@ -97,44 +98,57 @@ def mark_repeats_spread(df: DataFrame, clip: str, pos: str, payload: str, method
     references soon keep the same rows, so the second pass is usually the last; in each pass
     at least the next chunk becomes right.
     """
-    ship(df.sparkSession)
     repeats = METHODS[method]
     chunk = ((F.col(pos) - 1) / rows_per_chunk).cast("bigint")
     rows = df.withColumn("_chunk", chunk)
     number = not dict(df.dtypes)[payload].startswith("array")
     kind, clip_kind = dict(df.dtypes)[payload], dict(df.dtypes)[clip]
 
+    plain = number and method in ("mse", "mad")
+    square = method == "mse"
+
     def walk(values, last):
         kept, at = [], None
         for i, x in enumerate(values):
             if x is None or (number and x != x):
                 kept.append(False)
                 continue
-            v = np.atleast_1d(np.asarray(x, dtype=np.float64))
-            kept.append(last is None or not repeats(last, v, threshold))
+            if plain:  # plain numbers need no arrays
+                x = float(x)
+                kept.append(last is None or not ((x - last) * (x - last) if square else abs(x - last)) < threshold)
+            else:
+                x = np.atleast_1d(np.asarray(x, dtype=np.float64))
+                kept.append(last is None or not repeats(last, x, threshold))
             if kept[-1]:
-                last, at = v, i
+                last, at = x, i
         return kept, at
 
     def first(key):
-        return None if key is None or (isinstance(key, float) and key != key) else np.atleast_1d(np.asarray(key, dtype=np.float64))
+        if key is None or (number and key != key):
+            return None
+        return float(key) if plain else np.atleast_1d(np.asarray(key, dtype=np.float64))
+
+    def walks(table, starts):
+        """(start, what is kept, the place that is kept last) of each chunk."""
+        values, given = table.column(payload).to_pylist(), table.column("_from").take(starts[:-1]).to_pylist()
+        return [(start, *walk(values[start:end], first(begun))) for start, end, begun in zip(starts, starts[1:], given, strict=False)]
 
-    def ends(frame):
+    def ends(table, starts):
         """The payload that a chunk keeps last, or what it began with."""
-        frame = frame.sort_values(pos)
-        _, at = walk(frame[payload].tolist(), first(frame["_from"].iloc[0]))
-        last = frame["_from"].iloc[0] if at is None else frame[payload].iloc[at]
-        return frame.iloc[:1][[clip, "_chunk"]].assign(_end=[last])
+        heads, n = table.take(starts[:-1]), len(table)
+        at = [n + k if place is None else start + place for k, (start, _, place) in enumerate(walks(table, starts))]
+        last = pa.chunked_array([*table.column(payload).chunks, *heads.column("_from").chunks]).take(at)
+        return heads.select([clip, "_chunk"]).append_column("_end", last)
 
-    def marks(frame):
-        frame = frame.sort_values(pos)
-        return frame.assign(kept=walk(frame[payload].tolist(), first(frame["_from"].iloc[0]))[0]).drop(columns=["_chunk", "_from"])
+    def marks(table, starts):
+        kept = pa.array([x for _, marked, _ in walks(table, starts) for x in marked], pa.bool_())
+        return table.drop_columns(["_chunk", "_from"]).append_column("kept", kept)
 
     light = rows.select(clip, "_chunk", pos, payload)
     given = None
     while True:
         source = light.withColumn("_from", F.lit(None).cast(kind)) if given is None else light.join(given, [clip, "_chunk"], "left")
-        found = materialize(source.groupBy(clip, "_chunk").applyInPandas(ends, f"`{clip}` {clip_kind}, _chunk bigint, _end {kind}"), "ends")
+        found = materialize(by_stretches(source, [clip, "_chunk"], [pos], ends, f"`{clip}` {clip_kind}, _chunk bigint, _end {kind}"), "ends")
         before = found.select(clip, (F.col("_chunk") + 1).alias("_chunk"), F.col("_end").alias("_from"))
         if given is not None:
             now, then = before.alias("n"), given.alias("t")
@@ -143,4 +157,4 @@ def mark_repeats_spread(df: DataFrame, clip: str, pos: str, payload: str, method
                 break
         given = before
     schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
-    return rows.join(given, [clip, "_chunk"], "left").groupBy(clip, "_chunk").applyInPandas(marks, f"{schema}, kept boolean")
+    return by_stretches(rows.join(given, [clip, "_chunk"], "left"), [clip, "_chunk"], [pos], marks, f"{schema}, kept boolean")
