@@ -29,13 +29,13 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
     solved one variable at a time; classes weigh alike.
     """
     w, bias = np.zeros(len(scale)), 0.0
-    values = [scale[r] / max(np.linalg.norm(scale[r]), 1e-12) for r in rows]
-    square = np.array([v @ v + 1.0 for v in values])
+    lengths = np.array([max(np.linalg.norm(scale[r]), 1e-12) for r in rows])  # the vectors are made anew in each pass: all of them are many times the rows
+    square = np.array([v @ v + 1.0 for v in (scale[r] / length for r, length in zip(rows, lengths, strict=True))])
     share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
     most, alpha, order = cost * 0.5 / share, np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(passes):
         for i in order.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r, v = rows[i], scale[rows[i]] / lengths[i]
             slope = y[i] * (w[r] @ v + bias) - 1.0
             new = min(max(alpha[i] - slope / square[i], 0.0), most[i])
             if step := (new - alpha[i]) * y[i]:
@@ -45,6 +45,21 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
     return w, bias
 
 
+def position_rows(column) -> list[np.ndarray]:
+    """The rows of an Arrow binary column as 32-bit positions: views of one buffer, none of which is copied."""
+    import pyarrow as pa
+
+    rows = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(chunk):
+            _, offsets, data = chunk.buffers()
+            wide = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+            at = np.frombuffer(offsets, dtype=wide, count=len(chunk) + 1, offset=chunk.offset * np.dtype(wide).itemsize).tolist()
+            held = data if data is not None else b""
+            rows += [np.frombuffer(held, dtype=np.int32, count=(high - low) // 4, offset=low) if high > low else np.empty(0, dtype=np.int32) for low, high in zip(at, at[1:], strict=False)]
+    return rows
+
+
 def logistic_of_margins(margins: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """(a, b) of sigmoid(a * margin + b), by Newton steps with smoothed targets."""
     ones = float((y > 0).sum())

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import ASCII_LOWER, WordHashes, byte_texts, gram_hashes
-from .linear import dual_coordinate_descent, fold, labelled_sample, logistic_of_margins
+from .linear import dual_coordinate_descent, fold, labelled_sample, logistic_of_margins, position_rows
 
 DIMENSIONS = 1 << 18
 
@@ -71,8 +71,10 @@ class Model:
 def _fit(rows: list[np.ndarray], y: np.ndarray, smooth: float, cost: float, passes: int) -> Model:
     counts = {}
     for sign in (1, -1):
-        mine = [r for r, s in zip(rows, y, strict=True) if s == sign]
-        counts[sign] = (np.bincount(np.concatenate(mine), minlength=DIMENSIONS) + smooth) / (len(mine) + 2 * smooth)
+        mine, found = [r for r, s in zip(rows, y, strict=True) if s == sign], np.zeros(DIMENSIONS)
+        for r in mine:  # positions of a row are distinct
+            found[r] += 1
+        counts[sign] = (found + smooth) / (len(mine) + 2 * smooth)
     ratio = np.log(counts[1] / counts[-1])
     w, bias = dual_coordinate_descent(rows, y, ratio, cost, passes)
     return Model(w * ratio, ratio * ratio, bias, 1.0, 0.0)
@@ -95,7 +97,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
     texts = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # a repeated id teaches once
     table = texts.mapInArrow(features, "id long, y int, at binary").toArrow()
     order = np.argsort(table.column("id").to_numpy()) if len(table) else []
-    at = [np.frombuffer(x, dtype=np.int32) for x in table.column("at").to_pylist()]
+    at = position_rows(table.column("at"))
     rows, y = [at[i] for i in order], np.array([1 if table.column("y")[int(i)].as_py() else -1 for i in order])
     if len(set(y.tolist())) < 2:
         share = float((y > 0).mean()) if len(y) else 0.5
