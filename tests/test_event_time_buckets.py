@@ -95,3 +95,12 @@ def test_large_names_beside_a_null(spark):
     marked = dedup.mark_repeats(spark.createDataFrame(rows, SCHEMA), "c", ["pos"], "value", "mse", 4.0)
     as_text = lambda c: None if c is None else str(c)
     assert sorted(((as_text(r.c), r.pos, r.kept) for r in found if not r.late), key=str) == sorted(((r.c, r.pos, r.kept) for r in marked.collect()), key=str)
+
+
+def test_tails_and_sessions_of_each_clip():
+    """What the clips of a bucket are owed at their ends doesn't mix."""
+    lots = [[(c, d, d, float(c == "a" or d == 0)) for c in ("a", "b", None) for d in (0, 1)], [("b", 9, 9, 0.0)]]
+    slots, _ = run(event_time.slots(2, 1, 0.5), lots)
+    assert sorted((str(c), s, k) for c, s, k, _, _ in slots) == sorted([("a", 2, "real"), ("a", 3, "tail"), ("a", 4, "tail"), *((c, s, "real") for c in ("b", "None") for s in (2, 4)), *((c, 3, "interp") for c in ("b", "None")), ("b", 5, "tail"), ("b", 6, "tail")])
+    sessions, _ = run(event_time.session_totals(), lots, idle=2)
+    assert sorted((str(c), *rest) for c, *rest in sessions) == [("None", 0, 1, 2, 1.0, False), ("a", 0, 1, 2, 2.0, False), ("b", 0, 1, 2, 1.0, False), ("b", 9, 9, 1, 0.0, False)]
