@@ -33,3 +33,14 @@ def test_blocks_grow_with_a_frame(spark):
     rows = spark.range(6000).select(F.lit("a").alias("pair"), F.col("id").alias("point"), F.array(F.col("id") * 1.0).alias("vec"))
     dealt = matching._dealt(rows, rows.limit(100), "pair", "point", "vec", 20, "_i")
     assert dealt.select("_i").distinct().count() == 8 and dealt.select("_j").distinct().count() == 5 and dealt.count() == 30_000
+
+
+def test_mutual_over_many_blocks(spark):
+    """Blocks of one point are for small frames only; who is nearest to whom is the same."""
+    rng = np.random.default_rng(2)
+    here, there = rng.integers(0, 5, (60, 3)).astype(float), rng.integers(0, 5, (45, 3)).astype(float)
+    frame = lambda rows, base: spark.createDataFrame([("a", base + i, v.tolist()) for i, v in enumerate(rows)], "pair string, point long, vec array<double>")
+    assert matching._dealt(frame(here, 0), frame(there, 100), "pair", "point", "vec", 1, "_i").select("_i", "_j").distinct().count() <= 64
+    far = np.round(np.sqrt(((here[:, None] - there[None]) ** 2).sum(axis=2)), 9)
+    expected = {(i, 100 + j) for i, j in enumerate(far.argmin(axis=1)) if far[:, j].argmin() == i}
+    assert {(r.point, r.other) for r in matching.mutual(frame(here, 0), frame(there, 100), "pair", "point", "vec", 1).collect()} == expected
