@@ -1,7 +1,7 @@
 """A corpus from raw documents to packed sequences: quality, exact copies, near copies, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next stage's docs. All but the last return the columns of documents.
+and read again as the next stage's docs. All but the last return the columns of documents. What a stage has left in the executors' memory goes before the next one.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from seqengine.llm.exact_dedup import drop_exact_copies
 from seqengine.llm.neardup import drop_near_duplicates
 from seqengine.llm.packing import pack_documents
 from seqengine.llm.quality import drop_low_quality, train_quality
-from seqengine.session import scratch_folder, temporary_tables
+from seqengine.session import let_go, scratch_folder, temporary_tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,18 +25,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_go(spark)
     return drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_go(spark)
     return drop_near_duplicates(docs, words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_go(spark)
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_go(spark)
     return pack_documents(docs, capacity=1024, end_id=2)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +72,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words; a bounded cache spares hashing the frequent ones again."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         import xxhash
 
         self.most, self.known, self.digest = most, {}, xxhash.xxh3_64_intdigest
@@ -99,6 +101,17 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return mix64(out)
 
 
+def in_slices(batches: Iterator, rows: int = 1024) -> Iterator:
+    """The Arrow batches in slices of at most so many rows. What Arrow holds without use goes back after each batch, as workers wait for later stages with all they have."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def byte_texts(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes, nulls as empty ones."""
     import pyarrow as pa

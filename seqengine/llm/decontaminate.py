@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import ASCII_LOWER, WordHashes, byte_texts, gram_hashes, materialize, numbered, without
+from .common import ASCII_LOWER, WordHashes, byte_texts, gram_hashes, in_slices, materialize, numbered, without
 
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: Lower-cases A-Z; any other ASCII that is no letter or digit becomes a space.
@@ -238,7 +238,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, passage: int = 10,
         import pyarrow as pa
 
         hashed = WordHashes()
-        for batch in batches:
+        for batch in in_slices(batches):
             yield batch.filter(pa.array([not known.value.find(words_of(t), hashed)[0] for t in byte_texts(batch.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

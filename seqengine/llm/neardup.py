@@ -35,8 +35,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import ASCII_LOWER, WordHashes, byte_texts, connected_components, gram_hashes, materialize, mix64, numbered, without
+from ..session import let_go, ship
+from .common import ASCII_LOWER, WordHashes, byte_texts, connected_components, gram_hashes, in_slices, materialize, mix64, numbered, without
 
 CHUNKS, PER_CHUNK = 10, 4
 VALUES = CHUNKS * PER_CHUNK
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         import pyarrow as pa
 
         hashed = WordHashes()
-        for batch in batches:
+        for batch in in_slices(batches):
             sizes, digests, signed = [], [], []
             for text in byte_texts(batch.column("text")):
                 own = words_of(text)
@@ -193,7 +193,7 @@ def _strays(rows: DataFrame, compared: DataFrame, texts: DataFrame, words: int,
         import pyarrow as pa
 
         hashed = WordHashes()
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [shingle_set(hashed(words_of(t)), words).view(np.int64) for t in byte_texts(batch.column("text"))]
             columns = [batch.column("id"), batch.column("comp"), batch.column("far"), pa.array([len(f) for f in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "comp", "far", "size", "shingles"])
@@ -259,7 +259,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, words: int, bounds: Bounds) ->
         import pyarrow as pa
 
         hashed, last, hub = WordHashes(), None, None
-        for batch in batches:
+        for batch in in_slices(batches):
             linked, close, covered, deltas, prefixes, sizes = [], [], [], [], [], []
             for b, one, other in zip(batch.column("b").to_pylist(), byte_texts(batch.column("text_a")), byte_texts(batch.column("text_b")), strict=True):
                 if b != last:
@@ -332,6 +332,8 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     state = materialize(state.select("id", "home", F.coalesce("comp", "id").alias("comp"), ((F.col("id") == F.col("home")) | F.coalesce("close", F.lit(False))).alias("at_home")), "state")
     comps = state.select("id", "comp")
 
+    let_go(docs.sparkSession)
+
     # keys that this leaves open
     left = materialize(_open_keys(keyed, state), "open")
     of_hub = _near_hubs(left.select("id", "hub").distinct(), narrow, bounds, False).select(F.col("id").alias("a"), F.col("hub").alias("b"))
@@ -342,6 +344,7 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     met = met.join(narrow.select(F.col("id").alias("a"), F.struct("n_shingles", *LANES).alias("one")), "a").join(narrow.select(F.col("id").alias("b"), F.struct("n_shingles", *LANES).alias("other")), "b")
     met = met.select(F.struct("a", "one.*").alias("a"), F.struct("b", "other.*").alias("b")).filter(_within(bounds)).select("a.a", "b.b")
     more = _compare(materialize(met, "met"), texts, words, bounds)
+    let_go(docs.sparkSession)
     links = compared.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b"))
     between = with_components(links, comps).filter("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
     last = connected_components(between).select(F.col("id").alias("comp"), F.col("comp").alias("joined"))

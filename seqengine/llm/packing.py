@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import materialize
+from .common import in_slices, materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -70,7 +70,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks:
         import pyarrow as pa
 
         encode = encoder(ranks).encode_to_numpy
-        for batch in batches:
+        for batch in in_slices(batches):
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(text or "", allowed_special="all"), end_id).astype("<u4")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import ASCII_LOWER, WordHashes, byte_texts, gram_hashes
+from .common import ASCII_LOWER, WordHashes, byte_texts, gram_hashes, in_slices
 from .linear import dual_coordinate_descent, fold, labelled_sample, logistic_of_margins, position_rows
 
 DIMENSIONS = 1 << 18
@@ -89,7 +89,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
         import pyarrow as pa
 
         indicators = Indicators()
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [indicators(t).tobytes() for t in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], names=["id", "y", "at"])
 
@@ -122,7 +122,7 @@ def score_quality(docs: DataFrame, model: Model, folds: int = 5, threshold: floa
         import pyarrow as pa
 
         indicators = Indicators()
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [shared.value.score(indicators(t)) for t in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
@@ -140,7 +140,7 @@ def drop_low_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> D
         import pyarrow as pa
 
         indicators = Indicators()
-        for batch in batches:
+        for batch in in_slices(batches):
             yield batch.filter(pa.array([shared.value.score(indicators(t)) >= threshold for t in byte_texts(batch.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -67,6 +68,15 @@ def temporary_tables() -> Iterator[None]:
 atexit.register(_remove, _scratch)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark remove the broadcast tables and shuffle files of queries that are over from the executors.
+
+    It does so when the driver's JVM has collected what refers to them, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once in each application."""
     context = spark.sparkContext
