@@ -746,7 +746,7 @@ def _arrivals(spark: SparkSession, sf: str, late: bool) -> list[DataFrame]:
 
 def _replayed(spark: SparkSession, sf: str, fold: event_time.Fold, late: bool, idle: str = "60 days") -> DataFrame:
     over = lambda stream: event_time.run_fold(stream, "user_id", "ts", "event_id", "value", fold, "12 hours", "1 day", idle)
-    return event_time.replay(_arrivals(spark, sf, late), over, "ts", "100 days")
+    return event_time.replay(_arrivals(spark, sf, late), over, "ts", "100 days", stops={4})
 
 
 #: Rows as they come in lots, and which of them are late: their day was past when the watermark stood 12 hours before the latest row of all lots before.

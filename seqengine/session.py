@@ -45,11 +45,29 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _there(spark: SparkSession, path: str):
+    """A path and its file system, for the driver."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    where, system = _there(spark, path)
+    system.mkdirs(where)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Gives a folder another name, within one file system."""
+    (where, system), (to, _) = _there(spark, old), _there(spark, new)
+    if not system.rename(where, to):
+        raise OSError(f"{old} could not be moved to {new}")
+
+
 def _remove(tables: list[tuple[SparkSession, str]]) -> None:
     for spark, path in tables:
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where, system = _there(spark, path)
+            system.delete(where, True)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             return
 

@@ -1,11 +1,12 @@
 """Stateful operators on streams in event time (STR03-STR05, STR08): rows may come late and mixed, over any number of micro-batches.
 
 Clips are dealt into buckets by hash, and a bucket's rows wait in its state, in spans of event time (`grain`), until the watermark has passed a span;
-a timer then takes one span after the other, sorts each clip's rows and runs the fold over them, so that memory is bounded by a bucket's rows of one
-span, however many rows a micro-batch brings. State is read and written once for all clips of a bucket: a call between Spark and Python for each
+a timer then takes the spans in order (small ones together), sorts each clip's rows and runs the fold over them, so that memory is bounded by a bucket's
+rows of one span, however many rows a micro-batch brings. State is read and written once for all clips of a bucket: a call between Spark and Python for each
 clip and span would cost more than all else. Each row is seen once and in order. A clip is over when no row came for longer than `idle`
 between two spans, or can come any more: what the fold still owes is emitted, its state goes, and later rows begin anew. A row whose span is already
-past comes out with `late` set, and touches no state. Nothing depends on how rows were dealt to micro-batches
+past comes out with `late` set, and touches no state. Rows go to Python and into state packed, those of a bucket as one binary,
+as each row by itself would be turned from one form into another several times. Nothing depends on how rows were dealt to micro-batches
 but which ones are late, and a query that is started again from its checkpoint goes on where it was.
 
 State is kept by RocksDB; `run` starts a query so. A null or NaN value is handed to the fold as NaN.
@@ -18,17 +19,21 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any, NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from ..session import scratch_folder
+from ..session import make_folder, move, scratch_folder
 from .processors import with_watermark
 
 NAN = float("nan")
+#: Bytes of rows that a task packs at a time, rows above which a bucket's spans are not folded together, and output rows that make a table.
+PACKED, FOLDED, MADE = 1 << 24, 50_000, 20_000
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -49,37 +54,104 @@ class Fold(NamedTuple):
     late: Callable[[int, float], tuple]
 
 
+def _to_bytes(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as writer:
+        writer.write_table(rows.combine_chunks())
+    return out.getvalue().to_pybytes()
+
+
+def _from_bytes(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(rows).read_all()
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of equal keys."""
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True) if len(keys) else iter(())
+
+
+def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_bucket, _rows) of rows (_bucket, clip, ms, at, value): those of each bucket as one binary, in the order they have."""
+
+    def pack(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(kept)
+        order = np.argsort(table["_bucket"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        buckets, rows = table["_bucket"].to_numpy(), table.drop_columns(["_bucket"])
+        runs = list(_runs(buckets))
+        return pa.RecordBatch.from_arrays([pa.array([buckets[a] for a, _ in runs], pa.int32()), pa.array([_to_bytes(rows.slice(a, b - a)) for a, b in runs], pa.binary())], names=["_bucket", "_rows"])
+
+    kept, size = [], 0
+    for part in parts:
+        kept.append(part)
+        size += part.nbytes
+        if size >= PACKED:
+            yield pack(kept)
+            kept, size = [], 0
+    if size:
+        yield pack(kept)
+
+
 class _InOrder(StatefulProcessor):
     def __init__(self, fold: Fold, names: list[str], grain: int, idle: int):
         self.fold, self.names, self.grain, self.idle = fold, names, grain, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.seen = handle, {}
-        self.waiting = handle.getMapState("waiting", "span long", "clip array<string>, at array<long>, value array<double>")
-        self.held = handle.getListState("held", f"_clip string, _done long, {self.fold.state}")
+        self.waiting = handle.getMapState("waiting", "span long", "rows binary")
+        columns = ", ".join("{} array<{}>".format(*x.rsplit(" ", 1)) for x in self.fold.state.split(", "))
+        self.held = handle.getListState("held", f"_clip array<string>, _done array<long>, {columns}")
 
     def _table(self, rows: list[tuple], late: bool) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=self.names[:-1]).assign(**{self.names[-1]: late})
 
+    def _came(self, part: pd.DataFrame) -> pa.Table:
+        """(clip, ms, at, value) of a table of packed rows, or of one of rows."""
+        if part.shape[1] == 2:
+            return pa.concat_tables([_from_bytes(x) for x in part.iloc[:, 1]]).combine_chunks()
+        clip, ms, at, value = (part.iloc[:, k].tolist() for k in range(1, 5))
+        columns = zip((clip, ms, at, value), (pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)
+        return pa.table([pa.array(x, kind, from_pandas=True) for x, kind in columns], names=["clip", "ms", "at", "value"])
+
+    def _columns(self, rows: pa.Table) -> tuple[list[int | None], list[float]]:
+        at, values = rows["at"], rows["value"].fill_null(NAN)
+        return at.to_pylist() if at.null_count else at.to_numpy().tolist(), values.to_numpy().tolist()
+
+    def _by_clip(self, waited: list[tuple[int, pa.Table]]) -> Iterator[tuple[str | None, int, int, list[int | None], list[float]]]:
+        """Clip, first and last span, places and values of each stretch of a clip without longer idleness, in order; rows of one place stay as they came."""
+        rows = pa.concat_tables([rows for _, rows in waited])
+        spans = np.repeat([span for span, _ in waited], [len(rows) for _, rows in waited])
+        clips = rows["clip"].combine_chunks().dictionary_encode(null_encoding="encode")
+        codes, names = clips.indices.to_numpy(), clips.dictionary.to_pylist()
+        order = np.lexsort((rows["at"].fill_null(np.iinfo("int64").min).to_numpy(), spans, codes))
+        at, values = self._columns(rows.take(pa.array(order)))
+        codes, spans = codes[order], spans[order]
+        apart = (codes[1:] != codes[:-1]) | ((spans[1:] - spans[:-1] - 1) * self.grain > self.idle)
+        for a, b in _runs(np.concatenate(([0], np.cumsum(apart)))):
+            yield names[codes[a]], int(spans[a]), int(spans[b - 1]), at[a:b], values[a:b]
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        watermark, late = timerValues.getCurrentWatermarkInMs(), []
+        watermark = timerValues.getCurrentWatermarkInMs()
         for part in rows:
-            part.columns = ["bucket", "clip", "ms", "at", "value"]
-            for span, some in part.groupby(part["ms"] // self.grain, sort=True):
-                span, at, values = int(span), some["at"].tolist(), [NAN if x is None else float(x) for x in some["value"].tolist()]
-                clips = [None if x is None or x != x else x for x in some["clip"].tolist()]
+            table, late = self._came(part), []
+            spans = table["ms"].to_numpy() // self.grain
+            order = np.argsort(spans, kind="stable")
+            spans, table = spans[order], table.select(["clip", "at", "value"]).take(pa.array(order))
+            for a, b in _runs(spans):
+                span, some = int(spans[a]), table.slice(a, b - a)
                 if (span + 1) * self.grain <= watermark:
-                    late += [(clip, *self.fold.late(*row)) for clip, *row in zip(clips, at, values, strict=True)]
+                    late += [(clip, *self.fold.late(*row)) for clip, *row in zip(some["clip"].to_pylist(), *self._columns(some), strict=True)]
                     continue
-                if self.waiting.containsKey((span,)):
-                    old = self.waiting.getValue((span,))
-                    clips, at, values = [*old[0], *clips], [*old[1], *at], [*old[2], *values]
-                else:
+                old = self.waiting.getValue((span,))
+                if old is None:
                     self.handle.registerTimer((span + 1) * self.grain)
                     self.handle.registerTimer(self._end_of(span))
-                self.waiting.updateValue((span,), (clips, at, values))
-        if late:
-            yield self._table(late, True)
+                else:
+                    some = pa.concat_tables([_from_bytes(old[0]), some])
+                self.waiting.updateValue((span,), (_to_bytes(some),))
+            if late:
+                yield self._table(late, True)
 
     def _end_of(self, span: int) -> int:
         """When no row can come any more that goes on with a clip whose last row is in a span; never at the end of a span."""
@@ -91,29 +163,31 @@ class _InOrder(StatefulProcessor):
         if self.seen.get(key) == watermark:
             return
         self.seen[key] = watermark
-        held = {row[0]: (row[1], tuple(row[2:])) for row in self.held.get()} if self.held.exists() else {}
-        for span in sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.grain <= watermark):
-            by_clip: dict[Any, list[tuple]] = {}
-            for clip, *row in zip(*self.waiting.getValue((span,)), strict=True):
-                by_clip.setdefault(clip, []).append(row)
+        held = {clip: (done, tuple(state)) for row in self.held.get() for clip, done, *state in zip(*row, strict=True)} if self.held.exists() else {}
+        spans, waited, out = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.grain <= watermark), [], []
+        for span in spans:
+            waited.append((span, _from_bytes(self.waiting.getValue((span,))[0])))
             self.waiting.removeKey((span,))
-            out = []
-            for clip, rows in by_clip.items():
-                done, state = held.get(clip, (span, None))
-                if state is not None and (span - done - 1) * self.grain > self.idle:
+            if span != spans[-1] and sum(len(rows) for _, rows in waited) < FOLDED:
+                continue
+            for clip, first, last, at, values in self._by_clip(waited):
+                done, state = held.get(clip, (first, None))
+                if state is not None and (first - done - 1) * self.grain > self.idle:
                     out += [(clip, *row) for row in self.fold.end(state)]
                     state = None
-                rows.sort(key=lambda row: row[0])
-                made, state = self.fold.step(state, [r[0] for r in rows], [r[1] for r in rows])
+                made, state = self.fold.step(state, at, values)
                 out += [(clip, *row) for row in made]
-                held[clip] = span, state
-            if out:
-                yield self._table(out, False)
+                held[clip] = last, state
+                if len(out) >= MADE:
+                    yield self._table(out, False)
+                    out = []
+            waited = []
         over = [clip for clip, (done, _) in held.items() if self._end_of(done) <= watermark]
-        if out := [(clip, *row) for clip in over for row in self.fold.end(held.pop(clip)[1])]:
+        out += [(clip, *row) for clip in over for row in self.fold.end(held.pop(clip)[1])]
+        if out:
             yield self._table(out, False)
         if held:
-            self.held.put([(clip, done, *state) for clip, (done, state) in held.items()])
+            self.held.put([tuple(map(list, zip(*((clip, done, *state) for clip, (done, state) in held.items()), strict=True)))])
         else:
             self.held.clear()
 
@@ -149,8 +223,8 @@ def run_fold(df: DataFrame, clip: str, ts: str, order: str, value: str, fold: Fo
     key, back = _as_key(F.col(clip), df.schema[clip].dataType.simpleString())
     schema = StructType.fromDDL(f"`{clip}` string, {fold.columns}, late boolean")
     marked = with_watermark(df, ts, delay)
-    rows = marked.select(key.alias("_clip"), F.unix_millis(ts).alias("_ms"), F.col(order).cast("long").alias("_at"), F.col(value).cast("double").alias("_value"))
-    rows = rows.select(F.pmod(F.xxhash64("_clip"), F.lit(buckets)).cast("int").alias("_bucket"), "*")
+    rows = marked.filter(F.col(ts).isNotNull()).select(key.alias("clip"), F.unix_millis(ts).alias("ms"), F.col(order).cast("long").alias("at"), F.col(value).cast("double").alias("value"))
+    rows = rows.select(F.pmod(F.xxhash64("clip"), F.lit(buckets)).cast("int").alias("_bucket"), "*").mapInArrow(_packed, "_bucket int, _rows binary")
     processor = _InOrder(fold, schema.names, _ms(grain), _ms(idle))
     made = rows.groupBy("_bucket").transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
     return made.withColumn(clip, back(F.col(clip)))
@@ -232,9 +306,12 @@ def session_totals(value: str = "value") -> Fold:
 
 
 @contextmanager
-def rocksdb(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
-    """Queries that are started inside keep their state with RocksDB, write what changed at each checkpoint, and deal state out to so many partitions (those of the session)."""
-    settings = SETTINGS | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+def rocksdb(spark: SparkSession, partitions: int | None = None, prompt: bool = True) -> Iterator[None]:
+    """Queries that are started inside keep their state with RocksDB, write what changed at each checkpoint, and deal state out to so many partitions (those of the session).
+
+    prompt: what a micro-batch's watermark has passed comes out in one without rows behind it, and not in the next one with rows.
+    """
+    settings = SETTINGS | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {}) | ({} if prompt else {"spark.sql.streaming.noDataMicroBatches.enabled": "false"})
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -248,29 +325,54 @@ def rocksdb(spark: SparkSession, partitions: int | None = None) -> Iterator[None
                 spark.conf.set(k, v)
 
 
+def _write(df: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+    return df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+
+
 def run(df: DataFrame, out: str, checkpoint: str, partitions: int | None = None) -> None:
     """Runs a stream over all that is there and adds what it gives to the folder `out`; started again with its checkpoint it goes on, with the partitions of its first start."""
     with rocksdb(df.sparkSession, partitions):
-        query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query = _write(df, out, checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def replay(parts: list[DataFrame], over: Callable[[DataFrame], DataFrame], ts: str, beyond: str) -> DataFrame:
-    """What a stream operator gives for the rows of parts that arrive one after another, with the query stopped and started again between them.
+def replay(parts: list[DataFrame], over: Callable[[DataFrame], DataFrame], ts: str, beyond: str, stops: set[int] | None = None) -> DataFrame:
+    """What a stream operator gives for the rows of parts that arrive one after another, a micro-batch each, with the query stopped and started again between them.
 
-    At the end comes a row of no clip, `beyond` later than all others, so that the watermark passes them. State has a partition for each core.
+    stops: the numbers of the parts before which that is so; without, all but the first. It always is before the last one. With that comes a row of
+    no clip, `beyond` later than all others, so that the watermark passes them. State has a partition for each core. What a part lets come out
+    does so with the next one, as each micro-batch costs seconds whatever it holds.
     """
     spark, schema = parts[0].sparkSession, parts[0].schema
     folder = scratch_folder(spark, "replay")
-    latest = None
-    for part in [*parts, None]:
-        if part is None:
-            if latest is None:
+    stops = {*(range(len(parts)) if stops is None else stops), len(parts) - 1}
+    partitions, latest, query = spark.sparkContext.defaultParallelism, None, None
+
+    def stream() -> DataFrame:
+        return over(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in"))
+
+    make_folder(spark, f"{folder}/in")
+    try:
+        for k, part in enumerate(parts):
+            seen = Observation()
+            part.observe(seen, F.max(ts).alias("latest")).write.parquet(f"{folder}/next/{k}")
+            latest = max(filter(None, (latest, seen.get["latest"])), default=None)
+            if query is not None and k in stops:
+                query.stop()
+                query = None
+            if k == len(parts) - 1:
                 break
-            part = spark.range(1).select(*[(F.lit(latest) + F.expr(f"interval {beyond}") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-        part.write.mode("append").parquet(f"{folder}/in")
-        run(over(spark.readStream.schema(schema).parquet(f"{folder}/in")), f"{folder}/out", f"{folder}/state", spark.sparkContext.defaultParallelism)
-        came = part.agg(F.max(ts)).first()[0]
-        latest = max(filter(None, (latest, came)), default=None)
-    made = over(spark.readStream.schema(schema).parquet(f"{folder}/in")).schema
-    return spark.read.schema(made).parquet(f"{folder}/out")
+            if query is None:
+                with rocksdb(spark, partitions, prompt=False):
+                    query = _write(stream(), f"{folder}/out", f"{folder}/state").start()
+            move(spark, f"{folder}/next/{k}", f"{folder}/in/{k}")  # at once, so that a part isn't seen by halves
+            query.processAllAvailable()
+    finally:
+        if query is not None:
+            query.stop()
+    if latest is not None:
+        end = [(F.lit(latest) + F.expr(f"interval {beyond}") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        spark.range(1).select(*end).write.mode("append").parquet(f"{folder}/next/{k}")
+    move(spark, f"{folder}/next/{k}", f"{folder}/in/{k}")
+    run(stream(), f"{folder}/out", f"{folder}/state", partitions)
+    return spark.read.schema(stream().schema).parquet(f"{folder}/out")
