@@ -737,16 +737,16 @@ def stream_gap_plan(spark, sf):
     return _rounded(processors.run_available(processors.interpolate(_stream(spark, sf), "user_id", "event_id", "value", 5, 2, 25.0)))
 
 
-def _arrivals(spark: SparkSession, sf: str, late: bool) -> list[DataFrame]:
-    """The events in five lots of six days each; with late, every fiftieth row comes one lot later."""
+def _arrivals(spark: SparkSession, sf: str, late: bool) -> DataFrame:
+    """The events with the number of their lot, of five of six days each; with late, every fiftieth row comes one lot later."""
     rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id", F.col("value").cast("double").alias("value"))
     lot = F.least(F.floor((F.dayofmonth("ts") - 1) / 6) + F.when(F.lit(late) & (F.col("event_id") % 50 == 7), 1).otherwise(0), F.lit(4))
-    return [rows.filter(lot == k) for k in range(5)]
+    return rows.withColumn("_lot", lot.cast("int"))
 
 
 def _replayed(spark: SparkSession, sf: str, fold: event_time.Fold, late: bool, idle: str = "60 days") -> DataFrame:
     over = lambda stream: event_time.run_fold(stream, "user_id", "ts", "event_id", "value", fold, "12 hours", "1 day", idle)
-    return event_time.replay(_arrivals(spark, sf, late), over, "ts", "100 days", stops={4})
+    return event_time.replay(_arrivals(spark, sf, late), over, "ts", "100 days", stops={4}, lots=5)
 
 
 #: Rows as they come in lots, and which of them are late: their day was past when the watermark stood 12 hours before the latest row of all lots before.

@@ -1,9 +1,10 @@
 """Stateful operators on streams in event time (STR03-STR05, STR08): rows may come late and mixed, over any number of micro-batches.
 
-Clips are dealt into buckets by hash, and a bucket's rows wait in its state, in spans of event time (`grain`), until the watermark has passed a span;
-a timer then takes the spans in order (small ones together), sorts each clip's rows and runs the fold over them, so that memory is bounded by a bucket's
-rows of one span, however many rows a micro-batch brings. State is read and written once for all clips of a bucket: a call between Spark and Python for each
-clip and span would cost more than all else. Each row is seen once and in order. A clip is over when no row came for longer than `idle`
+Clips are dealt into buckets by hash, and a bucket's rows wait in its state, in spans of event time (`grain`), until the watermark has passed a span.
+Rows of small spans that come together wait in one pack, with a timer for its first span. The timer takes what is past, sorts each clip's rows and runs the
+fold over them: all together if they are few, else in order of spans, for which packs are dealt out one by one, so that memory is bounded by a bucket's rows of
+one span, however many rows a micro-batch brings. State is read and written once for all clips and small spans of a bucket: a call between Spark and Python
+for each would cost more than all else. Each row is seen once and in order. A clip is over when no row came for longer than `idle`
 between two spans, or can come any more: what the fold still owes is emitted, its state goes, and later rows begin anew. A row whose span is already
 past comes out with `late` set, and touches no state. Rows go to Python and into state packed, those of a bucket as one binary,
 as each row by itself would be turned from one form into another several times. Nothing depends on how rows were dealt to micro-batches
@@ -32,7 +33,7 @@ from ..session import make_folder, move, scratch_folder
 from .processors import with_watermark
 
 NAN = float("nan")
-#: Bytes of rows that a task packs at a time, rows above which a bucket's spans are not folded together, and output rows that make a table.
+#: Bytes of rows that a task packs at a time, rows above which a bucket's spans do not wait and are not folded together, and output rows that make a table.
 PACKED, FOLDED, MADE = 1 << 24, 50_000, 20_000
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -99,7 +100,7 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.seen = handle, {}
-        self.waiting = handle.getMapState("waiting", "span long", "rows binary")
+        self.waiting = handle.getMapState("waiting", "first long, last long, n long, size long", "rows binary")
         columns = ", ".join("{} array<{}>".format(*x.rsplit(" ", 1)) for x in self.fold.state.split(", "))
         self.held = handle.getListState("held", f"_clip array<string>, _done array<long>, {columns}")
 
@@ -118,10 +119,9 @@ class _InOrder(StatefulProcessor):
         at, values = rows["at"], rows["value"].fill_null(NAN)
         return at.to_pylist() if at.null_count else at.to_numpy().tolist(), values.to_numpy().tolist()
 
-    def _by_clip(self, waited: list[tuple[int, pa.Table]]) -> Iterator[tuple[str | None, int, int, list[int | None], list[float]]]:
+    def _by_clip(self, rows: pa.Table) -> Iterator[tuple[str | None, int, int, list[int | None], list[float]]]:
         """Clip, first and last span, places and values of each stretch of a clip without longer idleness, in order; rows of one place stay as they came."""
-        rows = pa.concat_tables([rows for _, rows in waited])
-        spans = np.repeat([span for span, _ in waited], [len(rows) for _, rows in waited])
+        spans = rows["span"].to_numpy()
         clips = rows["clip"].combine_chunks().dictionary_encode(null_encoding="encode")
         codes, names = clips.indices.to_numpy(), clips.dictionary.to_pylist()
         order = np.lexsort((rows["at"].fill_null(np.iinfo("int64").min).to_numpy(), spans, codes))
@@ -131,46 +131,79 @@ class _InOrder(StatefulProcessor):
         for a, b in _runs(np.concatenate(([0], np.cumsum(apart)))):
             yield names[codes[a]], int(spans[a]), int(spans[b - 1]), at[a:b], values[a:b]
 
+    def _wait(self, rows: pa.Table, n: int, packs: set[tuple], past: int, most: int) -> None:
+        """Puts rows, in order of their spans, into packs of at most so many rows, or of one span; a timer is set for a pack's first span unless it is past."""
+        firsts, spans = {first for first, *_ in packs}, rows["span"].to_numpy()
+        ends = [b for _, b in _runs(spans)]
+        start = 0
+        for k, end in enumerate(ends):
+            if k + 1 < len(ends) and ends[k + 1] - start <= most:
+                continue
+            pack = (int(spans[start]), int(spans[end - 1]), n, end - start)
+            if pack[0] >= past and pack[0] not in firsts:
+                self.handle.registerTimer((pack[0] + 1) * self.grain)
+            self.waiting.updateValue(pack, (_to_bytes(rows.slice(start, end - start)),))
+            packs.add(pack)
+            start = end
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        for part in rows:
-            table, late = self._came(part), []
-            spans = table["ms"].to_numpy() // self.grain
-            order = np.argsort(spans, kind="stable")
-            spans, table = spans[order], table.select(["clip", "at", "value"]).take(pa.array(order))
-            for a, b in _runs(spans):
-                span, some = int(spans[a]), table.slice(a, b - a)
-                if (span + 1) * self.grain <= watermark:
-                    late += [(clip, *self.fold.late(*row)) for clip, *row in zip(some["clip"].to_pylist(), *self._columns(some), strict=True)]
-                    continue
-                old = self.waiting.getValue((span,))
-                if old is None:
-                    self.handle.registerTimer((span + 1) * self.grain)
-                    self.handle.registerTimer(self._end_of(span))
-                else:
-                    some = pa.concat_tables([_from_bytes(old[0]), some])
-                self.waiting.updateValue((span,), (_to_bytes(some),))
+        past = timerValues.getCurrentWatermarkInMs() // self.grain  # the first span that the watermark has not passed
+        packs = set(self.waiting.keys())
+        for n, part in enumerate(rows, 1 + max((n for _, _, n, _ in packs), default=0)):
+            table = self._came(part)
+            table = table.append_column("span", pa.array(table["ms"].to_numpy() // self.grain)).drop_columns(["ms"])
+            table = table.take(pa.array(np.argsort(table["span"].to_numpy(), kind="stable"))).combine_chunks()
+            late = int(np.searchsorted(table["span"].to_numpy(), past))
             if late:
-                yield self._table(late, True)
+                some = table.slice(0, late)
+                yield self._table([(clip, *self.fold.late(*row)) for clip, *row in zip(some["clip"].to_pylist(), *self._columns(some), strict=True)], True)
+            self._wait(table.slice(late), n, packs, past, FOLDED)
+
+    def _take(self, pack: tuple, packs: set[tuple]) -> pa.Table:
+        rows = _from_bytes(self.waiting.getValue(pack)[0])
+        self.waiting.removeKey(pack)
+        packs.remove(pack)
+        return rows
+
+    def _due(self, past: int) -> Iterator[pa.Table]:
+        """Takes the rows before a span out of state, in tables of whole spans, in order: all together or, if there are many, some spans at a time."""
+        packs = set(self.waiting.keys())
+        due = [pack for pack in packs if pack[0] < past]
+        if sum(size for *_, size in due) > FOLDED:
+            for pack in due:
+                if pack[0] != pack[1]:
+                    self._wait(self._take(pack, packs), pack[2], packs, past, 0)
+            due = [pack for pack in packs if pack[0] < past]
+        waited, size = [], 0
+        for k, pack in enumerate(due := sorted(due)):
+            rows = self._take(pack, packs)
+            split = int(np.searchsorted(rows["span"].to_numpy(), past))
+            if split < len(rows):
+                self._wait(rows.slice(split), pack[2], packs, past, FOLDED)
+            waited.append((pack[2], k, rows.slice(0, split)))
+            size += split
+            whole = k + 1 == len(due) or pack[1] < due[k + 1][0]
+            if k + 1 == len(due) or size >= FOLDED and whole:
+                yield pa.concat_tables([rows for *_, rows in sorted(waited, key=lambda x: x[:2])])
+                waited, size = [], 0
 
     def _end_of(self, span: int) -> int:
         """When no row can come any more that goes on with a clip whose last row is in a span; never at the end of a span."""
         return (span + 2) * self.grain + self.idle + 1
 
+    def _next_end(self, held: dict) -> int | None:
+        return self._end_of(min(done for done, _ in held.values())) if held else None
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         """At a bucket's first timer in a micro-batch, all that the watermark has passed; at its others, nothing is left."""
-        watermark = timerValues.getCurrentWatermarkInMs()
+        watermark, out = timerValues.getCurrentWatermarkInMs(), []
         if self.seen.get(key) == watermark:
             return
         self.seen[key] = watermark
         held = {clip: (done, tuple(state)) for row in self.held.get() for clip, done, *state in zip(*row, strict=True)} if self.held.exists() else {}
-        spans, waited, out = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.grain <= watermark), [], []
-        for span in spans:
-            waited.append((span, _from_bytes(self.waiting.getValue((span,))[0])))
-            self.waiting.removeKey((span,))
-            if span != spans[-1] and sum(len(rows) for _, rows in waited) < FOLDED:
-                continue
-            for clip, first, last, at, values in self._by_clip(waited):
+        timer = self._next_end(held)
+        for rows in self._due(watermark // self.grain):
+            for clip, first, last, at, values in self._by_clip(rows):
                 done, state = held.get(clip, (first, None))
                 if state is not None and (first - done - 1) * self.grain > self.idle:
                     out += [(clip, *row) for row in self.fold.end(state)]
@@ -181,13 +214,14 @@ class _InOrder(StatefulProcessor):
                 if len(out) >= MADE:
                     yield self._table(out, False)
                     out = []
-            waited = []
         over = [clip for clip, (done, _) in held.items() if self._end_of(done) <= watermark]
         out += [(clip, *row) for clip in over for row in self.fold.end(held.pop(clip)[1])]
         if out:
             yield self._table(out, False)
         if held:
             self.held.put([tuple(map(list, zip(*((clip, done, *state) for clip, (done, state) in held.items()), strict=True)))])
+            if self._next_end(held) != timer:
+                self.handle.registerTimer(self._next_end(held))
         else:
             self.held.clear()
 
@@ -336,43 +370,58 @@ def run(df: DataFrame, out: str, checkpoint: str, partitions: int | None = None)
     query.awaitTermination()
 
 
-def replay(parts: list[DataFrame], over: Callable[[DataFrame], DataFrame], ts: str, beyond: str, stops: set[int] | None = None) -> DataFrame:
+def _lay(rows: DataFrame, path: str, ts: str, lots: int = 0) -> Any:
+    """Writes rows, each part to a folder of its own if there are parts; gives the latest time."""
+    seen = Observation()
+    stray = ~F.coalesce(F.col("_lot").between(0, lots - 1), F.lit(False)) if lots else F.lit(False)
+    rows.observe(seen, F.max(ts).alias("latest"), F.count_if(stray).alias("stray")).write.partitionBy(*["_lot"] * bool(lots)).parquet(path)
+    if seen.get["stray"]:
+        raise ValueError(f"{seen.get['stray']} rows are of no part")
+    return seen.get["latest"]
+
+
+def replay(parts: list[DataFrame] | DataFrame, over: Callable[[DataFrame], DataFrame], ts: str, beyond: str, stops: set[int] | None = None, lots: int = 0) -> DataFrame:
     """What a stream operator gives for the rows of parts that arrive one after another, a micro-batch each, with the query stopped and started again between them.
 
+    parts: tables, or one with the number of a row's part, below `lots`, in its column _lot, which is read and dealt out once.
     stops: the numbers of the parts before which that is so; without, all but the first. It always is before the last one. With that comes a row of
     no clip, `beyond` later than all others, so that the watermark passes them. State has a partition for each core. What a part lets come out
     does so with the next one, as each micro-batch costs seconds whatever it holds.
     """
-    spark, schema = parts[0].sparkSession, parts[0].schema
+    one = isinstance(parts, DataFrame)
+    n, rows = (lots, parts.drop("_lot")) if one else (len(parts), parts[0])
+    spark, schema, last = rows.sparkSession, rows.schema, n - 1
     folder = scratch_folder(spark, "replay")
-    stops = {*(range(len(parts)) if stops is None else stops), len(parts) - 1}
-    partitions, latest, query = spark.sparkContext.defaultParallelism, None, None
+    stops = {*(range(n) if stops is None else stops), last}
+    partitions, query = spark.sparkContext.defaultParallelism, None
+    waiting = [f"{folder}/next/{'_lot=' * one}{k}" for k in range(n)]
+    latest = [_lay(parts, f"{folder}/next", ts, n)] if one else [_lay(part, path, ts) for part, path in zip(parts, waiting, strict=True)]
+    latest = max(filter(None, latest), default=None)
 
     def stream() -> DataFrame:
         return over(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in"))
 
+    def arrive(k: int) -> None:
+        make_folder(spark, waiting[k])  # a part without rows has none
+        move(spark, waiting[k], f"{folder}/in/{k}")  # at once, so that a part isn't seen by halves
+
     make_folder(spark, f"{folder}/in")
     try:
-        for k, part in enumerate(parts):
-            seen = Observation()
-            part.observe(seen, F.max(ts).alias("latest")).write.parquet(f"{folder}/next/{k}")
-            latest = max(filter(None, (latest, seen.get["latest"])), default=None)
+        for k in range(last):
             if query is not None and k in stops:
                 query.stop()
                 query = None
-            if k == len(parts) - 1:
-                break
             if query is None:
                 with rocksdb(spark, partitions, prompt=False):
                     query = _write(stream(), f"{folder}/out", f"{folder}/state").start()
-            move(spark, f"{folder}/next/{k}", f"{folder}/in/{k}")  # at once, so that a part isn't seen by halves
+            arrive(k)
             query.processAllAvailable()
     finally:
         if query is not None:
             query.stop()
     if latest is not None:
         end = [(F.lit(latest) + F.expr(f"interval {beyond}") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
-        spark.range(1).select(*end).write.mode("append").parquet(f"{folder}/next/{k}")
-    move(spark, f"{folder}/next/{k}", f"{folder}/in/{k}")
+        spark.range(1).select(*end).write.mode("append").parquet(waiting[last])
+    arrive(last)
     run(stream(), f"{folder}/out", f"{folder}/state", partitions)
     return spark.read.schema(stream().schema).parquet(f"{folder}/out")

@@ -54,7 +54,7 @@ class Progress(StreamingQueryListener):
 
 
 class watching:  # noqa: N801
-    """A context in which a listener sees the queries of a session."""
+    """A context in which a listener sees the queries of a session; of those that are over, it has seen all when the context ends."""
 
     def __init__(self, spark: SparkSession, most: int = 10_000):
         self.spark, self.progress = spark, Progress(most)
@@ -64,4 +64,8 @@ class watching:  # noqa: N801
         return self.progress
 
     def __exit__(self, *error) -> None:
+        running = {str(query.runId) for query in self.spark.streams.active}
+        for run, ended in list(self.progress.ended.items()):
+            if run not in running:
+                ended.wait(30.0)
         self.spark.streams.removeListener(self.progress)
